@@ -26,6 +26,33 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+@query
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylight.llm.decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE_SQL["op10_decontaminate"] = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+spots AS (SELECT item_id, words, unnest(range(1, greatest(1, len(words) - 12) + 1)) AS i FROM items WHERE len(words) > 0),
+windows AS (SELECT DISTINCT item_id, array_to_string(words[i:i + 12], ' ') AS w, len(words[i:i + 12]) AS n FROM spots),
+sizes AS (SELECT DISTINCT n FROM windows),
+pos AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM docs),
+runs AS (SELECT doc_id, i, n, array_to_string(words[i:i + n - 1], ' ') AS w FROM pos, sizes WHERE i + n - 1 <= len(words)),
+occ AS (SELECT doc_id, i, runs.n, item_id FROM runs JOIN windows USING (w)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM occ) GROUP BY 1),
+named AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM occ GROUP BY 1)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
