@@ -142,14 +142,30 @@ def best_fit(runs: list[Run], counts: dict[int, int], capacity: int) -> list[Run
     return [run for runs in by_room.values() for run in runs]
 
 
-def packing_plan(counts: dict[int, int], capacity: int = 2048, small: int = 128, groups: int = 64) -> list[Run]:
+def packing_plan(counts: dict[int, int], capacity: int = 2048, shares: tuple[float, ...] = (0.3, 0.125, 0.5), groups: int = 64) -> list[Run]:
     """How to fill sequences of ``capacity`` from ``counts`` (length -> pieces), in few sequences.
 
-    Linear grouping: lengths over ``small`` fall into ``groups`` groups of equal cardinality and
-    count as the longest of their group; the linear programme over configurations of these few
-    sizes is solved and rounded down; actual lengths take the places of the rounded ones; what the
-    rounding left, and then the small lengths, go in by best fit. Works on the histogram alone, so
-    its cost depends on the capacity and not on the number of documents.
+    Linear grouping, tried with each of ``shares`` of the capacity as the bound between small and
+    large lengths; the plan with the fewest sequences wins, and none is tried after one that meets
+    the bound by total length. Works on the histogram alone, so its cost depends on the capacity
+    and not on the number of documents.
+    """
+    least = -(-sum(n * c for n, c in counts.items()) // capacity)
+    best: list[Run] | None = None
+    for share in shares:
+        plan = linear_grouping(counts, capacity, int(share * capacity), groups)
+        if best is None or sum(n for _, n in plan) < sum(n for _, n in best):
+            best = plan
+        if sum(n for _, n in best) <= least:
+            break
+    return best or []
+
+
+def linear_grouping(counts: dict[int, int], capacity: int, small: int, groups: int) -> list[Run]:
+    """Lengths over ``small`` fall into ``groups`` groups of equal cardinality and count as the
+    longest of their group; the linear programme over configurations of these few sizes is solved
+    and rounded down; actual lengths take the places of the rounded ones; what the rounding left,
+    and then the small lengths, go in by best fit.
     """
     full = counts.get(capacity, 0)
     large = {n: c for n, c in counts.items() if small < n < capacity}
