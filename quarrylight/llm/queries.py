@@ -53,6 +53,13 @@ FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+@query
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylight.llm.langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrylight.llm.packing import pack
