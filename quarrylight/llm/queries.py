@@ -26,6 +26,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylight.llm.htmltext import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 @query
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrylight.llm.decontaminate import contamination
@@ -53,6 +60,41 @@ FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+@query
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylight.llm.urlfilter import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
+def _spread_sql(rounds: int = 10) -> str:
+    steps = "".join(
+        f"""r{k} AS (SELECT host, 0.15::DOUBLE * trusted + 0.85::DOUBLE * coalesce(it, 0) AS trust, 0.15::DOUBLE * blocked + 0.85::DOUBLE * coalesce(id, 0) AS distrust, trusted, blocked
+  FROM r{k - 1} LEFT JOIN (SELECT dst AS host, sum(trust / n_out) AS it FROM links JOIN r{k - 1} ON src = host JOIN (SELECT src, count(*) AS n_out FROM links GROUP BY 1) USING (src) GROUP BY 1) USING (host)
+  LEFT JOIN (SELECT src AS host, sum(distrust / n_in) AS id FROM links JOIN r{k - 1} ON dst = host JOIN (SELECT dst, count(*) AS n_in FROM links GROUP BY 1) USING (dst) GROUP BY 1) USING (host)),
+"""
+        for k in range(1, rounds + 1)
+    )
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH placed AS (SELECT page_id, html, {low.format("regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1)")} AS host, regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+ruled AS (SELECT *, CASE
+  WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+  WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+  WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+  WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM placed),
+hosts AS (SELECT host, avg(CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 1.0 ELSE 0.0 END)::DOUBLE AS trusted, avg(CASE WHEN rule IN ('net/', 'example.com/de/') THEN 1.0 ELSE 0.0 END)::DOUBLE AS blocked FROM ruled WHERE host <> '' GROUP BY 1),
+raw AS (SELECT host AS src, {low.format("unnest(regexp_extract_all(html, '(?i)href\\s*=\\s*[\"'']?\\s*(?:[a-z][a-z0-9+.\\-]*:)?//([^/?#\"''\\s<>]+)', 1))")} AS dst FROM placed WHERE host <> ''),
+links AS (SELECT DISTINCT src, dst FROM raw WHERE src <> dst AND dst IN (SELECT host FROM hosts)),
+r0 AS (SELECT host, 0.15::DOUBLE * trusted AS trust, 0.15::DOUBLE * blocked AS distrust, trusted, blocked FROM hosts),
+{steps}bad AS (SELECT host FROM r{rounds} WHERE distrust - trust > 0.5::DOUBLE * (1 - 0.85::DOUBLE))
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END AS verdict FROM ruled
+"""
+
+
+ORACLE_SQL["op4_url_filter"] = _spread_sql()
+
+
 @query
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrylight.llm.langid import identify
