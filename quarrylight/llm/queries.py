@@ -19,6 +19,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylight.llm.licenses import scan, templates
+
+    return scan(table(spark, sf_dir, "documents"), templates(spark))
+
+
+def _license_sql() -> str:
+    from quarrylight.llm.licenses import TEMPLATES
+
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    known = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in sorted(TEMPLATES.items()))
+    words = r"regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"""
+WITH known AS (SELECT license, {words} AS words FROM (VALUES {known}) AS t(license, text)),
+wanted AS (SELECT DISTINCT license, array_to_string(words[i:i + 4], ' ') AS s FROM (SELECT license, words, unnest(range(1, len(words) - 3)) AS i FROM known)),
+docs AS (SELECT doc_id, {words} AS words FROM documents),
+has AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS s FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM docs)),
+totals AS (SELECT license, count(*) AS n_shingles FROM wanted GROUP BY 1),
+shared AS (SELECT doc_id, license, count(*) AS n_shared FROM has JOIN wanted USING (s) GROUP BY 1, 2)
+SELECT doc_id, license, n_shared, n_shingles, round(n_shared / n_shingles, 6) AS containment FROM shared JOIN totals USING (license) WHERE n_shared >= 0.8 * n_shingles
+"""
+
+
+ORACLE_SQL["op7_licenses"] = _license_sql()
+
+
 @query
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrylight.llm.simhash import simhash_components
@@ -60,6 +87,20 @@ FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+@query
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from quarrylight.llm.sharding import compacted
+    from quarrylight.llm.store import work_dir
+
+    store = compacted(table(spark, sf_dir, "documents"), work_dir(spark, "shards"))
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"))
+
+
+ORACLE_SQL["op2_sharding"] = "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents"
+
+
 @query
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
