@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.llm.decontaminate import spaced
+from quarrylight.llm.linededup import least_hash
 from quarrylight.llm.store import saved
 
 # Public notices, as their licences ask to have them written.
@@ -45,7 +46,7 @@ def _bands(hashes: Column, starts: Column) -> Column:
     """Per window start (from 1): a struct of band and least hash, for every band."""
     def window(start: Column) -> Column:
         part = F.slice(hashes, start, WINDOW)
-        return F.array(*[F.struct(F.lit(b).alias("band"), F.array_min(F.transform(part, lambda x, o=o: x.bitwiseXOR(F.lit(o)))).alias("value")) for b, o in enumerate(ORDERS)])
+        return F.array(*[F.struct(F.lit(b).alias("band"), least_hash(part, order).alias("value")) for b, order in enumerate(ORDERS)])
 
     return F.flatten(F.transform(starts, window))
 
