@@ -14,6 +14,7 @@ AT_WORDS = r"(?<![^ ])(?=([^ ]+(?: [^ ]+){0,2}))"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Broadcast the benchmark's shingles up to this many; beyond it they are shuffled.
 BROADCAST_SHINGLES = 500_000
+BROADCAST_ROWS = 2_000_000
 
 
 def spaced(text: Column) -> Column:
@@ -47,7 +48,21 @@ def window_shingles(windows: DataFrame) -> DataFrame:
     return at.select("window", "n", "size", "offset", shingle.alias("shingle"), cover.alias("cover"))
 
 
-def contamination(
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """``judged`` without the row hash: id_col, n_words, n_hit, n_items, items_sha256, contaminated."""
+    return judged(docs, items, id_col, **options).select(id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def uncontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, that are not contaminated."""
+    gone = saved(judged(docs, items, id_col, text_col, **options).where("contaminated").select("row").distinct(), "contaminated")
+    few = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    keyed = docs.withColumn(text_col, F.struct(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text")))
+    left = keyed.join(few, keyed[text_col]["row"] == few["row"], "left_anti")
+    return left.withColumn(text_col, F.col(f"{text_col}.text")).select(*docs.columns)
+
+
+def judged(
     docs: DataFrame,
     items: DataFrame,
     id_col: str = "doc_id",
@@ -57,7 +72,7 @@ def contamination(
     width: int = 13,
     share: int = 20,
 ) -> DataFrame:
-    """Per document: n_words, n_hit, n_items, items_sha256, contaminated.
+    """Per document: id_col, row (hash of id and text), n_words, n_hit, n_items, items_sha256, contaminated.
 
     Words: A-Z lower-cased runs of digits, a-z and characters beyond ASCII. A window is ``width``
     consecutive words of an item; an item of fewer words, but not none, is one window. A document
@@ -123,6 +138,7 @@ def contamination(
     n_hit = F.coalesce("n_hit", F.lit(0))
     return joined.select(
         F.col("id").alias(id_col),
+        "row",
         "n_words",
         n_hit.cast("long").alias("n_hit"),
         F.size(items_col).cast("long").alias("n_items"),

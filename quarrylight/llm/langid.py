@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import sentencepiece
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
@@ -206,8 +206,6 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             part = list(zip(*rows_out[at : at + 100_000], strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1]), pa.array(part[2], pa.int64())], ["lang", "word", "n"])
 
-    from pyspark.sql import Window
-
     counted = labelled.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("word") != "", F.desc("n"), "word"))
     top = counted.withColumn("rank", rank).where(F.col("rank") <= FIT_WORDS + 1).drop("rank").toPandas()
@@ -269,7 +267,34 @@ class Scorer:
 
 
 #: The scorer of the last model in this Python worker.
-_scorers: dict[bytes, Scorer] = {}
+_scorers: dict[str, Scorer] = {}
+
+
+def with_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None, model: Model | None = None) -> DataFrame:
+    """Columns ``carry`` as c0, c1, ..., then held_out, lang_pred and score, one row per row of ``docs``."""
+    model = model or fit(docs, id_col, text_col, lang_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # pieces x languages, whatever the corpus
+    key = str(zlib.crc32(model.p.tobytes())) if model else ""
+    carry = [id_col] if carry is None else carry
+    names = [f"c{k}" for k in range(len(carry))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = shared.value
+        if fitted and key not in _scorers:
+            _scorers.clear()
+            _scorers[key] = Scorer(fitted)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                texts = part.column(len(names)).to_pylist()
+                langs, scores = _scorers[key].score(texts) if fitted else ([UNKNOWN] * len(texts), np.zeros(len(texts)))
+                kept = [part.column(k) for k in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*kept, part.column(len(names) + 1), pa.array(langs, pa.string()), pa.array(scores)], [*names, "held_out", "lang_pred", "score"])
+
+    held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(carry, names, strict=True)], F.col(text_col).alias("text"), held.alias("held_out"))
+    types = [docs.schema[c].dataType.simpleString() for c in carry]
+    return rows.mapInArrow(run, ", ".join([*(f"{n} {t}" for n, t in zip(names, types, strict=True)), "held_out boolean, lang_pred string, score double"]))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: Model | None = None) -> DataFrame:
@@ -282,23 +307,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     when divided by 3; false for a null id, which is not learned from either. Repeated rows each
     get their row, an empty table gives none; other columns are ignored.
     """
-    model = model or fit(docs, id_col, text_col, lang_col)
-    id_type = docs.schema[id_col].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # pieces x languages, whatever the corpus
-    key = f"{zlib.crc32(model.p.tobytes())}".encode() if model else b""
+    return with_language(docs, id_col, text_col, lang_col, [id_col], model).withColumnRenamed("c0", id_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model_ := shared.value:
-            if key not in _scorers:
-                _scorers.clear()
-                _scorers[key] = Scorer(model_)
-        for batch in batches:
-            ids = batch.column(0)
-            for at in range(0, batch.num_rows, 500):
-                texts = batch.column(1).slice(at, 500).to_pylist()
-                langs, scores = _scorers[key].score(texts) if model_ else ([UNKNOWN] * len(texts), np.zeros(len(texts)))
-                yield pa.RecordBatch.from_arrays([ids.slice(at, 500), batch.column(2).slice(at, 500), pa.array(langs, pa.string()), pa.array(scores)], ["id", "held_out", "lang_pred", "score"])
 
-    held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held.alias("held_out"))
-    return rows.mapInArrow(run, f"id {id_type}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
+def in_known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, but those without a language or of a posterior under ``least``."""
+    kept = with_language(docs, id_col, text_col, lang_col, docs.columns).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    return kept.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -17,6 +17,7 @@ from quarrylight.llm.store import saved
 SPACE = b" \t\n\x0b\x0c\r"
 UPPER_TO_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 BLOCKS, BLOCK_BITS = 4, 16
+BROADCAST_ROWS = 2_000_000
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -148,10 +149,33 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     An empty table gives no rows; other columns are ignored, whatever their names.
     """
     fps = saved(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min("id").alias("least"))
-    distinct = saved(classes, "classes")
-    roots = connected_components(near_links(distinct.select("fp"), radius))
-    placed = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    placed = _rooted(fps, radius)
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = placed.join(least, "root").select("fp", "component_id")
     return fps.join(by_fp, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _rooted(fps: DataFrame, radius: int) -> DataFrame:
+    """(fp, root, least): the component of each distinct fingerprint, and its least ``id``."""
+    distinct = saved(fps.groupBy("fp").agg(F.min("id").alias("least")), "classes")
+    roots = connected_components(near_links(distinct.select("fp"), radius))
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
+    """The rows of ``docs``, all columns, one for each component: that of least id, then text hash.
+
+    Of rows that repeat id and text, one stays. The rows to go are broadcast while they are few.
+    """
+    keyed = docs.withColumn(text_col, F.struct(F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text")))
+    named = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row")).alias("key"), F.col(text_col).alias("text"))
+    fps = saved(fingerprints(named, "key", "text", width), "fingerprints")
+    placed = _rooted(fps, radius)
+    least = placed.groupBy("root").agg(F.min("least").alias("kept"))
+    by_fp = placed.join(least, "root").select("fp", "kept")
+    gone = saved(fps.join(by_fp, "fp").where("not id <=> kept").select("id.row").distinct(), "gone")
+    few = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    left = keyed.join(few, keyed[text_col]["row"] == few["row"], "left_anti")
+    left = left.withColumn(text_col, F.col(f"{text_col}.text")).select(*docs.columns)
+    again = fps.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+    return left if again.isEmpty() else left.dropDuplicates([id_col, text_col])
