@@ -10,6 +10,7 @@ from urllib.parse import parse_qsl, urldefrag, urlencode, urljoin, urlparse, url
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 CONTEXT = ("nav", "menu", "tab", "tree", "list", "ul", "ol")
@@ -200,7 +201,7 @@ def plain_text(html: str) -> str:
     return "\n".join(x for x in lines if x)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_to_text(pages: pd.Series) -> pd.Series:
     """A page's text without scripts and styles, a line for each block."""
     return pages.map(plain_text, na_action="ignore")

@@ -8,9 +8,10 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib's ratio, which is not an edit distance."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
@@ -53,7 +54,7 @@ def repaired(text: str | None) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def repair_json(texts: pd.Series) -> pd.Series:
     return texts.map(repaired)
 
@@ -78,14 +79,14 @@ def chunks(text: str, budget: int) -> list[str]:
 
 
 def chunk_text(budget: int):
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(ArrayType(StringType()))
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: chunks(t or "", budget))
 
     return run
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def repair_mojibake(texts: pd.Series) -> pd.Series:
     """UTF-8 Chinese text that was read as Latin-1, put right; other texts as they are."""
 
@@ -129,6 +130,6 @@ def claims_academician(name: str, *texts: str | None) -> bool:
     return False
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def is_self_academician(name: pd.Series, title: pd.Series, bio: pd.Series) -> pd.Series:
     return pd.Series([claims_academician(*row) for row in zip(name, title, bio, strict=True)])

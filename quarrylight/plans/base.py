@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ()
+MODULES = ("reports", "texts")
 
 
 @dataclass(frozen=True)

@@ -9,6 +9,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quarrylight.functions.urls import clean_url
 
@@ -61,7 +62,7 @@ def _docx(content: bytes) -> str:
     return "\n".join(p for p in paragraphs if p)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _text_of_file(path: pd.Series, content: pd.Series) -> pd.Series:
     def read(name: str, data: bytes) -> str | None:
         if name.lower().endswith((".txt", ".md", ".markdown")):
