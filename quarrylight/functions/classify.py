@@ -69,7 +69,7 @@ def excluded_unit(name: Column, kind: Column, url: Column, active: list[str] | N
     if not rules:
         return F.lit(None).cast("string")
     # the first hit of an ordered array keeps the plan flat where a chain of WHENs would nest
-    return F.element_at(F.filter(F.array(*[F.when(h, F.lit(n)) for n, h in rules], F.lit("")), lambda x: x.isNotNull()), 1)
+    return F.nullif(F.element_at(F.filter(F.array(*[F.when(h, F.lit(n)) for n, h in rules], F.lit("")), lambda x: x.isNotNull()), 1), F.lit(""))
 
 
 def block_reason(status: Column, body: Column, action: Column) -> Column:

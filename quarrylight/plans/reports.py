@@ -91,7 +91,7 @@ def filtered_group_top(spark, d):
     return table(spark, d, "orders").where("o_orderstatus = 'F'").groupBy("o_orderpriority").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "o_orderpriority").limit(3)
 
 
-@catalog("time_range", "SELECT min(epoch(ts))::BIGINT AS first, max(epoch(ts))::BIGINT AS last, count(*) AS n FROM events")
+@catalog("time_range", "SELECT CAST(floor(min(epoch(ts))) AS BIGINT) AS first, CAST(floor(max(epoch(ts))) AS BIGINT) AS last, count(*) AS n FROM events")
 def time_range(spark, d):
     t = F.unix_timestamp(F.col("ts").cast("timestamp"))
     return table(spark, d, "events").agg(F.min(t).alias("first"), F.max(t).alias("last"), F.count("*").alias("n"))
