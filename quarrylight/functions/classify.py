@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import urls as U
 from quarrylight.functions import vocabulary as V
-from quarrylight.functions.text import contains_any, none_array, text_of
+from quarrylight.functions.text import contains_any, let, none_array, text_of
 
 
 def assess_candidate(url: Column, anchor: Column, heading: Column, context: Column) -> Column:
@@ -60,16 +60,17 @@ def excluded_unit(name: Column, kind: Column, url: Column, active: list[str] | N
     groups = [(c, [w for w in words if active is None or w in active]) for c, words in V.EXCLUDED_UNITS]
     groups.append(("custom", [w.lower() for w in active or [] if w.lower() not in known]))
 
-    def hit(word: str) -> Column:
+    def hit(said: Column, word: str) -> Column:
         if word.isascii():
-            return text.rlike(rf"(?<![a-z0-9])\Q{word}\E(?![a-z0-9])")
-        return F.contains(text, F.lit(word))
+            return said.rlike(rf"(?<![a-z0-9])\Q{word}\E(?![a-z0-9])")
+        return F.contains(said, F.lit(word))
 
-    rules = [(f"{c}:{w}", hit(w)) for c, words in groups for w in words]
-    if not rules:
+    words_of = [(f"{c}:{w}", w) for c, words in groups for w in words]
+    if not words_of:
         return F.lit(None).cast("string")
     # the first hit of an ordered array keeps the plan flat where a chain of WHENs would nest
-    return F.nullif(F.element_at(F.filter(F.array(*[F.when(h, F.lit(n)) for n, h in rules], F.lit("")), lambda x: x.isNotNull()), 1), F.lit(""))
+    hits = let(text, lambda said: F.array(*[F.when(hit(said, w), F.lit(n)) for n, w in words_of], F.lit("")))
+    return F.nullif(F.element_at(F.filter(hits, lambda x: x.isNotNull()), 1), F.lit(""))
 
 
 def block_reason(status: Column, body: Column, action: Column) -> Column:

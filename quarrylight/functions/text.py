@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import vocabulary as V
 
-EMPTY = F.array
+
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: keeps trees small where a value is used often."""
+    return F.transform(F.array(value), lambda v: use(v))[0]
 
 
 def none_array() -> Column:
@@ -76,14 +79,17 @@ def extract_concepts(*values: Column, limit: int = 16) -> Column:
 
 def contains_any(text: Column, words: list[str]) -> Column:
     """Whether a text, lower-cased, holds any of the words."""
-    return F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.contains(F.lower(text_of(text)), w))
+    return let(F.lower(text_of(text)), lambda low: F.exists(F.array(*[F.lit(w.lower()) for w in words]), lambda w: F.contains(low, w)))
 
 
 def hit_count(text: Column, words: list[str]) -> Column:
     """Occurrences of all words in a text, summed."""
-    low = F.lower(text_of(text))
-    each = [((F.length(low) - F.length(F.replace(low, F.lit(w.lower()), F.lit("")))) / len(w)).cast("int") for w in words]
-    return sum(each[1:], each[0])
+
+    def count(low: Column) -> Column:
+        each = [((F.length(low) - F.length(F.replace(low, F.lit(w.lower()), F.lit("")))) / len(w)).cast("int") for w in words]
+        return sum(each[1:], each[0])
+
+    return let(F.lower(text_of(text)), count)
 
 
 def looks_retired(text: Column, title: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quarrylight.functions import vocabulary as V
-from quarrylight.functions.text import contains_any, text_of
+from quarrylight.functions.text import contains_any, let, text_of
 
 PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?"
 
@@ -20,16 +20,18 @@ def clean_url(value: Column) -> Column:
     """Without quotes, angle brackets or a Markdown link around it."""
     text = F.btrim(F.btrim(F.btrim(text_of(value)), F.lit("\"'")))
     text = F.btrim(F.regexp_replace(F.regexp_replace(text, "^<", ""), ">$", ""))
-    linked = F.regexp_extract(text, r"^\[.*?\]\((.*)\)$", 1)
-    return F.btrim(F.when(linked != "", linked).otherwise(text))
+    return let(text, lambda t: F.btrim(F.coalesce(F.nullif(F.regexp_extract(t, r"^\[.*?\]\((.*)\)$", 1), F.lit("")), t)))
 
 
 def normalise_url(value: Column) -> Column:
     """Scheme and host in lower case, no fragment, no slash at the path's end."""
-    url = clean_url(value)
-    scheme, host, path, query = (part(url, n) for n in (1, 2, 3, 4))
-    full = F.concat(F.lower(scheme), F.lit("://"), F.lower(host), F.rtrim(path, F.lit("/")), F.when(query == "?", "").otherwise(query))
-    return F.when((scheme != "") & (host != ""), full).otherwise(F.rtrim(F.regexp_replace(url, "#.*$", ""), F.lit("/")))
+
+    def normal(url: Column) -> Column:
+        scheme, host, path, query = (part(url, n) for n in (1, 2, 3, 4))
+        full = F.concat(F.lower(scheme), F.lit("://"), F.lower(host), F.rtrim(path, F.lit("/")), F.when(query == "?", "").otherwise(query))
+        return F.when((scheme != "") & (host != ""), full).otherwise(F.rtrim(F.regexp_replace(url, "#.*$", ""), F.lit("/")))
+
+    return let(clean_url(value), normal)
 
 
 def host_of(url: Column) -> Column:
@@ -104,8 +106,10 @@ def is_query_profile(url: Column) -> Column:
 
 def profile_url_quality(url: Column) -> Column:
     """How much a URL looks like one person's page."""
-    normal = normalise_url(url)
-    path = F.lower(path_of(normal))
+    return let(normalise_url(url), lambda normal: let(F.lower(path_of(normal)), lambda path: _profile_score(normal, path)))
+
+
+def _profile_score(normal: Column, path: Column) -> Column:
     score = (
         F.when(is_query_profile(normal), 95).otherwise(0)
         + F.when(path.rlike("/info/|/profile|/detail|/show|/mentor"), 70).otherwise(0)
@@ -121,14 +125,16 @@ def profile_url_quality(url: Column) -> Column:
 def better_profile_url(current: Column, candidate: Column) -> Column:
     """The one of higher quality; of equals the deeper candidate, else the current one."""
     depth = lambda u: F.greatest(F.lit(0), slashes(path_of(u)) - 1)
-    old, new = profile_url_quality(current), profile_url_quality(candidate)
-    takes = (new > old) | ((new == old) & (depth(candidate) > depth(current)))
+    takes = let(profile_url_quality(candidate) - profile_url_quality(current), lambda gain: (gain > 0) | ((gain == 0) & (depth(candidate) > depth(current))))
     return F.when(F.coalesce(candidate, F.lit("")) == "", current).when(F.coalesce(current, F.lit("")) == "", candidate).when(takes, candidate).otherwise(current)
 
 
 def profile_homepage(value: Column) -> Column:
     """The normal form of a homepage that can be one person's, else NULL."""
-    url = normalise_url(value)
+    return let(normalise_url(value), _if_personal)
+
+
+def _if_personal(url: Column) -> Column:
     path = F.rtrim(F.lower(path_of(url)), F.lit("/"))
     stem = F.regexp_extract(path, r"([^/]*?)(\.[^./]*)?$", 1)
     lists = "faculty teacher teachers staff directory team szdw jsdw szll jzg jsml list teamlist teacherlist facultylist tu-list".split()
@@ -138,8 +144,11 @@ def profile_homepage(value: Column) -> Column:
 
 def org_url_quality(url: Column) -> Column:
     """How much a URL looks like a unit's own front page."""
-    normal = normalise_url(url)
-    host, path = host_of(normal), F.rtrim(F.lower(path_of(normal)), F.lit("/"))
+    return let(normalise_url(url), lambda normal: let(F.rtrim(F.lower(path_of(normal)), F.lit("/")), lambda path: _unit_score(normal, path)))
+
+
+def _unit_score(normal: Column, path: Column) -> Column:
+    host = host_of(normal)
     depth = F.greatest(F.lit(0), slashes(path) - 1)
     score = (
         F.when((part(normal, 1) != "") & (part(normal, 2) != ""), 20).otherwise(0)
