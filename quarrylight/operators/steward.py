@@ -14,6 +14,7 @@ from quarrylight.functions.python_udfs import is_self_academician
 from quarrylight.functions.text import text_of
 from quarrylight.operators.ladder import ladder_match
 from quarrylight.operators.merge import repair_identities
+from quarrylight.sources.tables import saved
 
 AUDIT = ["entity_type", "entity_id", "issue_type", "field_name", "reason", "confidence", "action"]
 #: What marks a profile that was made up from a page's navigation.
@@ -83,8 +84,9 @@ def run(tables: dict[str, DataFrame], apply: bool) -> tuple[dict[str, DataFrame]
     """The stages in order over org_units, professors, professor_affiliations, academicians, crawl_logs
     and crawl_extraction_failures: (tables after the run, audits).
 
-    Off-domain units aside, each stage sees what the one before has left if changes are applied; a
-    dry run changes nothing, so one row can be audited by several stages.
+    Each stage sees what the one before has left if changes are applied; a
+    dry run changes nothing, so one row can be audited by several stages. Tables that change are
+    written between the stages, so no stage runs the ones before it again.
     """
     t, audits = dict(tables), []
     units = t["org_units"].withColumn("why", excluded_unit(F.col("name"), F.col("kind"), F.col("url"))).where("why is not null")
@@ -97,23 +99,24 @@ def run(tables: dict[str, DataFrame], apply: bool) -> tuple[dict[str, DataFrame]
         t["org_units"] = t["org_units"].join(units.select("id"), "id", "left_anti")
         t["academicians"] = t["academicians"].join(gone, "org_unit_id", "left_anti")
         t["professor_affiliations"] = left
-        t["professors"] = t["professors"].join(orphaned, "id", "left_anti")
+        t["professors"] = saved(t["professors"].join(orphaned, "id", "left_anti"))
     made_up = synthetic_profiles(t["professors"])
     audits.append(audit(made_up, "professor", "synthetic_profile", F.lit("synthetic_unlinked_profile"), F.lit(0.95), apply, action="deleted"))
     if apply:
-        t["professors"] = t["professors"].join(made_up.select("id"), "id", "left_anti")
+        t["professors"] = saved(t["professors"].join(made_up.select("id"), "id", "left_anti"))
         t["professor_affiliations"] = t["professor_affiliations"].join(made_up.select(F.col("id").alias("professor_id")), "professor_id", "left_anti")
     merged, moved = repair_identities(t["professors"], t["professor_affiliations"])
+    moved = saved(moved)
     victims = moved.where("id <> keeper_id")
     audits.append(audit(victims, "professor", "duplicate_identity", F.lit("same_identity"), F.lit(0.95), apply, action="merged"))
     if apply:
         renamed = t["professor_affiliations"].join(victims.select(F.col("id").alias("professor_id"), "keeper_id"), "professor_id", "left")
-        t["professors"] = merged.select(*t["professors"].columns)
+        t["professors"] = saved(merged.select(*t["professors"].columns))
         t["professor_affiliations"] = renamed.withColumn("professor_id", F.coalesce("keeper_id", "professor_id")).drop("keeper_id").dropDuplicates(["professor_id", "org_unit_id"])
     twins = academician_matches(t["professors"], t["academicians"].withColumnRenamed("id", "academician_id").join(t["org_units"].select(F.col("id").alias("org_unit_id"), F.col("name").alias("org_unit_name")), "org_unit_id", "left"))
     audits.append(audit(twins, "professor", "academician_duplicate", F.col("reason"), F.lit(1.0), apply, action="deleted"))
     if apply:
-        t["professors"] = t["professors"].join(twins.select("id"), "id", "left_anti")
+        t["professors"] = saved(t["professors"].join(twins.select("id"), "id", "left_anti"))
     # a native look for the two words comes before the Python check
     hinted = t["professors"].where(F.concat_ws(" ", "title", "bio").rlike("(?i)院士|academician"))
     promoted = hinted.where(is_self_academician("name", "title", "bio"))
