@@ -12,9 +12,11 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import sentencepiece
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylight.llm.store import saved
+
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 #: Runs of word characters without digits and underscores.
 WORD = re.compile(r"[^\W\d_]+")
@@ -142,7 +144,7 @@ class Model:
         for k, word in enumerate(words):
             hashes = _hash(_codes([START + word], length + 1))[0]
             alpha, scale = [np.ones(len(self.languages))], 0.0
-            found = [self.segmenter.find(hashes[n:] - hashes[: len(hashes) - n] * self.segmenter.power[n]) for n in range(1, MAX_PIECE + 1)]
+            found = [self.segmenter.find(hashes[n:] - hashes[: len(hashes) - n] * self.segmenter.power[n]) for n in range(1, min(length + 1, MAX_PIECE) + 1)]
             for e in range(1, length + 2):
                 new = alpha[-1] * (self.p[found[0][e - 1]] if found[0][e - 1] < self.segmenter.size else self.stray)
                 for n in range(2, min(e, MAX_PIECE) + 1):
@@ -183,8 +185,9 @@ class Model:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS, rounds: int = 2) -> Model | None:
     """Learn from rows with text and a label that the fold lets; None if there are none.
 
-    The rows of least id hash are taken, ``rows`` at most, and of each language's words the
-    ``FIT_WORDS`` most frequent: both bound what comes to the driver. Piece probabilities start from
+    The rows of least id hash are taken, about ``rows`` at most, and of each language's words the
+    most frequent, up to ``FIT_WORDS`` or those of the highest count: both bound what comes to the
+    driver. Piece probabilities start from
     the vocabulary's own segmentation of these words and are refined by expectation-maximisation.
     """
     fold = F.crc32(F.col(id_col).cast("string")) % 3
@@ -207,10 +210,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1]), pa.array(part[2], pa.int64())], ["lang", "word", "n"])
 
     counted = labelled.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("word") != "", F.desc("n"), "word"))
-    top = counted.withColumn("rank", rank).where(F.col("rank") <= FIT_WORDS + 1).drop("rank").toPandas()
-    if not len(top):
+    counted = saved(counted, "words")
+    # how many words of a language occur how often: tells the least count that keeps within FIT_WORDS
+    least: dict[str, int] = {}
+    held: Counter = Counter()
+    for lang, n, words in sorted(counted.where("word <> ''").groupBy("lang", "n").agg(F.count("*").alias("words")).collect(), key=lambda r: (r[0], -r[1])):
+        held[lang] += words
+        if lang not in least or held[lang] <= FIT_WORDS:
+            least[lang] = n
+    if not least:
         return None
+    bounds = docs.sparkSession.createDataFrame(list(least.items()), "lang string, least long")
+    top = counted.join(F.broadcast(bounds), "lang").where("n >= least or word = ''").select("lang", "word", "n").toPandas()
     languages = sorted(top["lang"].unique())
     place = {lang: k for k, lang in enumerate(languages)}
     priors, counts = np.zeros(len(languages)), {}
