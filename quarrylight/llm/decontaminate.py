@@ -10,7 +10,7 @@ from quarrylight.llm.store import saved
 #: Words are runs of digits, letters A-Z and characters beyond ASCII.
 NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SHINGLE = 3
-AT_WORDS = r"(?<![^ ])(?=([^ ]+(?: [^ ]+){0,2}))"
+AT_WORDS = r"(?=([^ ]+(?: [^ ]+){0,2}))[^ ]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Broadcast the benchmark's shingles up to this many; beyond it they are shuffled.
 BROADCAST_SHINGLES = 500_000

@@ -26,7 +26,7 @@ TEMPLATES = {
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 WIDTH = 5
-AT_WORDS = r"(?<![^ ])(?=([^ ]+(?: [^ ]+){4}))"
+AT_WORDS = r"(?=([^ ]+(?: [^ ]+){4}))[^ ]+"
 #: Long templates are found by windows of so many shingles, at half of that apart.
 WINDOW = 16
 #: One MinHash value a band. Windows that share four tenths of their shingles meet in one of eight
