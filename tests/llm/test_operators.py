@@ -72,6 +72,27 @@ def test_line_dedup_equals_brute_force(documents):
     assert got == brute_lines(rows)
 
 
+def test_line_dedup_finds_all_pairs_of_a_large_band_group(spark):
+    common = " ".join(f"standing{k} phrase{k}" for k in range(14))
+    lines = [f"{common} " + " ".join(f"own{n}x{k}" for k in range(8)) + f" end{n}{side}" for n in range(80) for side in "ab"]
+    rows = list(enumerate(lines))
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_lines(rows) and sum(t != "" for t in got.values()) == 80
+
+
+def test_rare_shingles_keep_every_similar_pair(spark):
+    rng = np.random.default_rng(5)
+    sets = [sorted({int(v) for v in rng.zipf(1.3, 14) % 60}) for _ in range(120)]
+    sets += [[*s[:-1], 100 + k] for k, s in enumerate(sets)]
+    table = spark.createDataFrame(list(enumerate(sets)), "lh long, s array<long>")
+    rare = linededup._rare_shingles(table, table.selectExpr("lh", "lh AS root"), 0.8)
+    met = {(r.a, r.b) for r in rare.alias("x").join(rare.alias("y"), "key").where("x.lh < y.lh").selectExpr("x.lh AS a", "y.lh AS b").distinct().collect()}
+    for a in range(len(sets)):
+        for b in range(a + 1, len(sets)):
+            x, y = set(sets[a]), set(sets[b])
+            assert len(x & y) < 0.8 * len(x | y) or (a, b) in met
+
+
 def test_line_dedup_edges(edges):
     out = linededup.dedup_lines(edges)
     assert out.columns == [*edges.columns, "n_lines", "n_kept"]
@@ -317,7 +338,6 @@ def test_tiles_lose_no_link_and_stay_linear(spark):
     links = simhash.near_links(df, 3, tile=64).collect()
     got, want, u = Sets(), Sets(), values.view(np.uint64)
     for r in links:
-        assert bin((r.a ^ r.b) & (2**64 - 1)).count("1") <= 3 or True
         got.join(r.a, r.b)
     for i in range(len(u)):
         for j in np.flatnonzero(np.bitwise_count(u[i] ^ u[i + 1 :]) <= 3):
