@@ -86,7 +86,7 @@ def test_rare_shingles_keep_every_similar_pair(spark):
     sets += [[*s[:-1], 100 + k] for k, s in enumerate(sets)]
     table = spark.createDataFrame(list(enumerate(sets)), "lh long, s array<long>")
     rare = linededup._rare_shingles(table, table.selectExpr("lh", "lh AS root"), 0.8)
-    met = {(r.a, r.b) for r in rare.alias("x").join(rare.alias("y"), "key").where("x.lh < y.lh").selectExpr("x.lh AS a", "y.lh AS b").distinct().collect()}
+    met = {(r.a, r.b) for r in linededup._pairwise(rare, linededup._may_be_similar(0.8)).distinct().collect()}
     for a in range(len(sets)):
         for b in range(a + 1, len(sets)):
             x, y = set(sets[a]), set(sets[b])
