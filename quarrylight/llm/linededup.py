@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from quarrylight.llm.components import connected_components
 from quarrylight.llm.store import saved
 
-#: Up to SPAN characters from each word start of a lower-cased line.
+#: Up to SPAN characters of a lower-cased line from each word start. A longer word restarts, so that every character
+#: is covered: after each SPAN characters, and at each character of scripts that put no spaces between words.
 SPAN = 12
-SHINGLES = rf"(?s)(?=(\S.{{0,{SPAN - 1}}}))\S+"
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+SHINGLES = rf"(?s)(?=(\S.{{0,{SPAN - 1}}}))(?:(?<!\S)\S{{1,{SPAN}}}+(?!\S)|[{UNSPACED}]|[^\s{UNSPACED}]{{1,{SPAN}}})"
 #: Lines as similar as the threshold of 0.8 meet in one of six bands of two with probability 0.998.
 #: An order compares hashes from another bit on; its least and greatest hash serve different bands.
 BANDS, SHIFT = 6, 9
@@ -142,9 +144,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with one line kept of each class of equal or near-equal lines.
 
     Adds n_lines (lines that aren't blank) and n_kept. Lines end at line feeds. Two lines are linked
-    if they are equal or if their shingle sets (up to 12 characters from each word start, lower-cased)
-    have a Jaccard similarity of at least ``similarity``; classes are the links' components. The
-    line of least id, then least text hash and place, stays, the others go from their texts; blank
+    if they are equal or if their shingle sets (lower-cased, up to 12 characters from each word start;
+    in longer words again after each 12 characters, or at each one of a script without spaces, so
+    that every character counts) have a Jaccard similarity of at least ``similarity``; classes are the links' components. The line of least id, then least text hash and place, stays, the others go from their texts; blank
     lines stay as they are. Distinct lines are told apart by 64-bit hashes.
 
     Null text stays null, with counts of zero. A text may lose all its lines and become empty. A

@@ -101,6 +101,38 @@ def test_line_dedup_edges(edges):
     assert linededup.dedup_lines(edges.limit(0)).count() == 0
 
 
+def every_character(line):
+    """Shingles word by word, character by character, without the pattern."""
+    out, line, at = set(), line.lower(), 0
+    for word in re.split(r"([ \t]+)", line):
+        since = linededup.SPAN
+        for k, c in enumerate(word if word.strip() else ""):
+            unspaced = len(word) > linededup.SPAN and regex.match(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]", c)
+            if k == 0 or unspaced or since == linededup.SPAN:
+                out.add(line[at + k : at + k + linededup.SPAN])
+                since = linededup.SPAN - 1 if unspaced else 0
+            since += 1
+        at += len(word)
+    return out
+
+
+def linked_roots(lines, shingles):
+    sets, parts = Sets(), [shingles(x) for x in lines]
+    for a in range(len(lines)):
+        for b in range(a):
+            if len(parts[a] & parts[b]) >= 0.8 * len(parts[a] | parts[b]):
+                sets.join(a, b)
+    return {sets.find(k) for k in range(len(lines))}
+
+
+def test_line_dedup_looks_at_every_character(spark):
+    start, url = "東京都で今日は朝から強い雨が降って", "https://example.com/"
+    kept = [f"see {url}a", f"see {url}b", f"{url}first/page", f"{url}other/way", "1234567890123", "1234567890129", "d41d8cd98f00b204e980", "d41d8cd98f00ffffffff", f"{start}電車が止まりました", f"{start}午後に晴れました", f"a {url}x y", f"b {url}x z"]
+    lines = [*kept, "x" + "".join(chr(0x4E00 + k) for k in range(200)), "".join(chr(0x4E00 + k) for k in range(200)), f"{url}path/" + "segment/" * 3 + "".join(f"{k}-" for k in range(60)), f"{url}path/" + "segment/" * 3 + "".join(f"{k}-" for k in range(60)) + "Z"]
+    got = {r.doc_id for r in linededup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).where("n_kept > 0").collect()}
+    assert set(range(10)) <= got == linked_roots(lines, every_character) and len(got) < len(lines)
+
+
 # -- sharding --------------------------------------------------------------------------------------
 
 
