@@ -18,8 +18,8 @@ SHINGLES = rf"(?s)(?=(\S.{{0,{SPAN - 1}}}))(?:(?<!\S)\S{{1,{SPAN}}}+(?!\S)|[{UNS
 BANDS, SHIFT = 6, 9
 #: Groups of up to so many lines are compared pair by pair, where not yet linked.
 PAIRWISE = 16
-#: Larger groups of lines that share a rare shingle compare their components' delegates, elected anew in so many ways.
-DELEGATES = 3
+#: Larger groups that share two rare shingles are cut into blocks of about so many lines; a task's cell is two blocks.
+BLOCK = 256
 BROADCAST_ROWS = 1_000_000
 
 
@@ -78,12 +78,26 @@ def _pairwise(few: DataFrame, fits: Column | None = None) -> DataFrame:
     return (met if fits is None else met.where(fits)).select(F.col("x.lh").alias("a"), F.col("y.lh").alias("b"))
 
 
-def _rare_shingles(sets: DataFrame, many: DataFrame, similarity: float) -> DataFrame:
-    """(key, pos, size, lh, root): each line under its rarest shingles among the lines (lh, root) of ``many``.
+def _in_cells(rows: DataFrame, fits: Column) -> DataFrame:
+    """Pairs across the components of groups of any size, of those that fit; each meets in one cell."""
+    block = F.pmod(F.xxhash64("lh"), F.col("blocks"))
+    cut = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", block)
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    cells = cut.withColumn("other", other).select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "pos", "size", "lh", "root")
+    once = F.expr("x.root < y.root and (x.block <> y.block or x.low = x.high)")
+    met = cells.alias("x").join(cells.alias("y"), ["key", "low", "high"]).where(once & fits)
+    return met.select(F.col("x.lh").alias("a"), F.col("y.lh").alias("b"))
 
-    The prefix filter: two sets as similar as asked share one of the |s| - ceil(similarity * |s|) + 1
-    first shingles of either, in whatever order all sets keep. Shingles of few lines come first, then
-    the common ones by their count. Only the common ones are joined, so lines stay whole on one task.
+
+def _prefix_length(similarity: float) -> Column:
+    return F.col("size") - F.ceil(F.col("size") * similarity - 1e-9).cast("int") + 1
+
+
+def _prefixes(sets: DataFrame, many: DataFrame, similarity: float) -> DataFrame:
+    """(lh, root, size, by): the rarest shingles of each line of ``many`` (lh, root), one more than the prefix filter needs.
+
+    Shingles of few lines come first, then the common ones by their count. Only the common ones are
+    joined, so lines stay whole on one task.
     """
     held = sets.join(many, "lh").repartition("lh")
     tokens = held.select("lh", "root", F.size("s").alias("size"), F.explode("s").alias("key"))
@@ -91,8 +105,32 @@ def _rare_shingles(sets: DataFrame, many: DataFrame, similarity: float) -> DataF
     few = F.broadcast(common) if common.count() <= BROADCAST_ROWS else common
     ranked = F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "key")
     rare = tokens.join(few, "key", "left").groupBy("lh", "root", "size").agg(F.sort_array(F.collect_list(ranked)).alias("by"))
-    length = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9).cast("int") + 1
-    return rare.select("lh", "root", "size", F.posexplode(F.slice("by", F.lit(1), length)).alias("pos", "p")).select("p.key", "pos", "size", "lh", "root")
+    return rare.select("lh", "root", "size", F.slice(F.col("by.key"), F.lit(1), _prefix_length(similarity) + 1).alias("by"))
+
+
+def _keyed(prefixes: DataFrame, similarity: float) -> DataFrame:
+    """(key, pos, size, lh, root): each line under its rarest shingles.
+
+    The prefix filter: two sets as similar as asked share one of the |s| - ceil(similarity * |s|) + 1
+    first shingles of either, in whatever order all sets keep.
+    """
+    return prefixes.select("lh", "root", "size", F.posexplode(F.slice("by", F.lit(1), _prefix_length(similarity))).alias("pos", "key")).select("key", "pos", "size", "lh", "root")
+
+
+def _rare_shingles(sets: DataFrame, many: DataFrame, similarity: float) -> DataFrame:
+    return _keyed(_prefixes(sets, many, similarity), similarity)
+
+
+def _key_pairs(prefixes: DataFrame, keyed: DataFrame) -> DataFrame:
+    """(key, pos, size, lh, root): the lines of ``keyed`` (lh, key, pos) under their shingle and each later one of ``by``.
+
+    Similar sets of two or more share their first two common shingles, and both have these within
+    the prefix and one more. A set of one shingle is similar to equal ones only, which its band has
+    linked. ``pos`` is one less than the second shingle's, as the first is common too.
+    """
+    later = F.posexplode(F.slice("by", F.col("pos") + 2, F.size("by")))
+    two = keyed.select("lh", "key", "pos").join(prefixes, "lh").select("lh", "root", "size", "key", F.col("pos").alias("at"), later.alias("k", "next"))
+    return two.select(F.xxhash64("key", "next").alias("key"), (F.col("at") + F.col("k")).alias("pos"), "size", "lh", "root")
 
 
 def _may_be_similar(similarity: float) -> Column:
@@ -107,9 +145,9 @@ def line_classes(docs: DataFrame, occurrences: DataFrame, id_col: str, text_col:
     In each band's groups, every line is compared with the group's least hash. Where a group's lines
     are in different components after that, a small group's lines are compared across components
     pair by pair. The lines of large ones are grouped anew by their rarest shingles, of which
-    similar lines must share one; these groups are compared pair by pair where small, and by
-    delegates of the components where large. So the pairs stay linear in the lines whatever the
-    groups' sizes.
+    similar lines must share one; these groups are compared pair by pair where small. Lines of
+    large ones are grouped once more by two rare shingles and compared pair by pair in cells of
+    bounded size, so no such pair is left out and no task holds a whole group.
     """
     distinct = occurrences.groupBy("lh").agg(*[F.max(f"b{b}").alias(f"b{b}") for b in range(BANDS)])
     banded = distinct.select("lh", F.explode(F.array(*[f"b{b}" for b in range(BANDS)])).alias("band"))
@@ -127,13 +165,11 @@ def line_classes(docs: DataFrame, occurrences: DataFrame, id_col: str, text_col:
     pairs = _pairwise(placed.where(F.col("n") <= PAIRWISE))
     many = saved(placed.where(F.col("n") > PAIRWISE).select("lh", "root").distinct(), "many")
     if not many.isEmpty():
-        rare = _apart(_rare_shingles(sets, many, similarity))
-        pairs = pairs.unionByName(_pairwise(rare.where(F.col("n") <= PAIRWISE), _may_be_similar(similarity)))
-        for salt in range(DELEGATES):
-            order = F.xxhash64("lh", F.lit(salt))
-            sent = rare.where(F.col("n") > PAIRWISE).groupBy("key", "root").agg(F.min_by("lh", order).alias("lh"))
-            chair = sent.groupBy("key").agg(F.min_by("lh", order).alias("chair"))
-            pairs = pairs.unionByName(sent.join(chair, "key").select(F.col("chair").alias("a"), F.col("lh").alias("b")))
+        prefixes = saved(_prefixes(sets, many, similarity), "prefixes")
+        rare = _apart(_keyed(prefixes, similarity))
+        fits = _may_be_similar(similarity)
+        pairs = pairs.unionByName(_pairwise(rare.where(F.col("n") <= PAIRWISE), fits))
+        pairs = pairs.unionByName(_in_cells(_apart(_key_pairs(prefixes, rare.where(F.col("n") > PAIRWISE))), fits))
     more = _verified(sets, pairs, similarity)
     if more.isEmpty():
         return roots

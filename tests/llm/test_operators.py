@@ -133,6 +133,38 @@ def test_line_dedup_looks_at_every_character(spark):
     assert set(range(10)) <= got == linked_roots(lines, every_character) and len(got) < len(lines)
 
 
+def test_line_dedup_compares_families_whose_rarest_shingles_are_common(spark):
+    rng, families, seen = np.random.default_rng(11), [], collections.Counter()
+    while len(families) < 80:
+        own = {int(k) for k in rng.choice(40, 10, replace=False)}
+        twin = {*sorted(own)[1:], int(rng.choice(sorted(set(range(40)) - own)))}
+        if all(len(x & y) <= 5 for pair in families for x in pair for y in (own, twin)):
+            families.append((own, twin))
+            seen.update([*own, *twin])
+    assert min(seen.values()) > linededup.PAIRWISE
+    common = " ".join(f"standing{k} phrase{k}" for k in range(14))
+    lines = [" ".join(f"w{k:02d}wordalone" for k in sorted(x)) + f" {common}" for pair in families for x in pair]
+    rows = list(enumerate(lines))
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_lines(rows) and sum(t != "" for t in got.values()) == 80
+
+
+@pytest.mark.parametrize("block", [4, 256])
+def test_cells_of_two_shingles_keep_every_similar_pair(spark, monkeypatch, block):
+    monkeypatch.setattr(linededup, "BLOCK", block)
+    rng = np.random.default_rng(6)
+    sets = [sorted({int(v) for v in rng.choice(30, rng.integers(2, 14), replace=False)}) for _ in range(150)]
+    sets += [sorted({*s[1:], int(rng.integers(30))}) for s in sets]
+    table = spark.createDataFrame(list(enumerate(sets)), "lh long, s array<long>")
+    prefixes = linededup._prefixes(table, table.selectExpr("lh", "lh AS root"), 0.8)
+    pairs = linededup._key_pairs(prefixes, linededup._keyed(prefixes, 0.8))
+    met = {(r.a, r.b) for r in linededup._in_cells(linededup._apart(pairs), linededup._may_be_similar(0.8)).distinct().collect()}
+    for a in range(len(sets)):
+        for b in range(a + 1, len(sets)):
+            x, y = set(sets[a]), set(sets[b])
+            assert max(len(x), len(y)) < 2 or len(x & y) < 0.8 * len(x | y) or (a, b) in met
+
+
 # -- sharding --------------------------------------------------------------------------------------
 
 
