@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from quarrylight.llm.store import drop, save, saved
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Hosts of absolute and scheme-relative links.
-LINK_HOST = r"""(?i)href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s<>]+)"""
+#: Host and path of absolute and scheme-relative links.
+LINK = r"""(?i)href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s<>]+(?:/[^?#"'\s<>]*)?)"""
 
 
 class Rule(NamedTuple):
@@ -48,12 +48,12 @@ def rule_for(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> Col
     return none if found is None else found.otherwise(none)
 
 
-def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Distinct (src, dst) between different hosts that both have pages."""
-    links = pages.select(host_of(F.col(url_col)).alias("src"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(html_col), F.lit(LINK_HOST), F.lit(1)))).alias("dst"))
-    links = links.select("src", F.translate("dst", UPPER, LOWER).alias("dst")).where("src <> '' and src <> dst").distinct()
-    hosts = pages.select(host_of(F.col(url_col)).alias("dst")).distinct()
-    return links.join(hosts, "dst", "left_semi").select("src", "dst")
+def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Distinct (src, dst, path) of links to other hosts, whether these have pages or not; an empty path is ``/``."""
+    links = pages.select(host_of(F.col(url_col)).alias("src"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(html_col), F.lit(LINK), F.lit(1)))).alias("link"))
+    path = F.regexp_extract("link", r"(?s)^[^/]*(.*)$", 1)
+    parts = links.select("src", F.translate(F.substring_index("link", "/", 1), UPPER, LOWER).alias("dst"), F.when(path == "", "/").otherwise(path).alias("path"))
+    return parts.where("src <> '' and src <> dst").distinct()
 
 
 def spread(hosts: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 10) -> DataFrame:
@@ -96,15 +96,19 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     A rule's verdict stands. Other pages get their host's: ``block`` if its distrust exceeds its
     trust by more than ``margin`` * (1 - damping), as if rules blocked more than that share of an
     unlinked host's pages; else ``allow``. Seeds are the shares of a host's pages that rules allow
-    and block. A null url, or one without ``://``, has empty host and path, fits no rule and is
+    and block; of a host that is linked but has no pages, the shares of its linked URLs. A null url, or one without ``://``, has empty host and path, fits no rule and is
     allowed. Null html has no links. Null ids are kept, repeated rows each give their row, an empty
     table gives none; other columns are ignored.
     """
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     placed = pages.select(F.col(id_col), host.alias("host"), path.alias("path")).withColumn("fit", rule_for(F.col("host"), F.col("path"), rules))
     share = lambda verdict: F.avg(F.when(F.col("fit.verdict") == verdict, 1.0).otherwise(0.0))
-    seeds = saved(placed.where("host <> ''").groupBy("host").agg(share("allow").alias("trusted"), share("block").alias("blocked")), "seeds")
-    ranks = spread(seeds, saved(host_edges(pages, url_col, html_col), "links"), damping, rounds)
+    shares = [share("allow").alias("trusted"), share("block").alias("blocked")]
+    crawled = saved(placed.where("host <> ''").groupBy("host").agg(*shares), "seeds")
+    links = saved(host_links(pages, url_col, html_col), "links")
+    linked = links.select(F.col("dst").alias("host"), "path").distinct().join(crawled, "host", "left_anti")
+    seeds = linked.withColumn("fit", rule_for(F.col("host"), F.col("path"), rules)).groupBy("host").agg(*shares)
+    ranks = spread(saved(crawled.unionByName(seeds), "hosts"), saved(links.select("src", "dst").distinct(), "edges"), damping, rounds)
     bad = ranks.where(F.col("distrust") - F.col("trust") > margin * (1 - damping)).select("host", F.lit("block").alias("spread"))
     judged = placed.join(bad, "host", "left")
     return judged.select(id_col, "host", "path", F.col("fit.name").alias("rule"), F.coalesce("fit.verdict", "spread", F.lit("allow")).alias("verdict"))

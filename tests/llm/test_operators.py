@@ -240,6 +240,18 @@ def test_rules_and_spread(spark):
     assert got[11].rule is None and got[12].rule is None and (got[13].host, got[13].path) == ("x.com", "")
 
 
+def test_links_to_uncrawled_hosts_count(spark):
+    link = lambda *urls: "".join(f'<a href="{u}">' for u in urls)
+    rows = [
+        (1, "http://farm.example.com/en/1", link(*[f"http://Spam{k}.net" + "/x" * (k % 2) for k in range(30)])), (2, "http://calm.example.com/en/1", link("//other.info/", "http://other.info/2")),
+        (3, "http://half.example.com/en/1", link("http://h.example.com/de/1", "http://h.example.com/en/2")), (4, "http://far.example.com/en/1", link(*[f"https://farm{k}.info/net/" for k in range(9)])),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    links = {(r.src, r.dst, r.path) for r in urlfilter.host_links(df).collect()}
+    assert {("farm.example.com", "spam0.net", "/"), ("farm.example.com", "spam1.net", "/x"), ("calm.example.com", "other.info", "/2")} <= links and len(links) == 43
+    assert {r.page_id: r.verdict for r in urlfilter.judge(df).collect()} == {1: "block", 2: "allow", 3: "allow", 4: "allow"}
+
+
 def test_spread_equals_power_iteration(spark):
     rng = np.random.default_rng(2)
     n = 12
