@@ -21,7 +21,7 @@ BLOCK = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noframes".split())
-NEVER = frozenset("head script style noscript template iframe object svg math canvas audio video form button select option textarea input label fieldset dialog nav footer aside menu search title xmp noframes".split())
+NEVER = frozenset("head script style noscript template iframe object svg math canvas audio video button select option textarea input label fieldset dialog nav footer aside menu search title xmp noframes".split())
 #: Words of class and id values and roles that mark what isn't the article.
 MARKS = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr notice notices alert warning sidebar sidebars menu nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar footer masthead comment comments respond replies disqus share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay paywall widget skip hidden contentinfo complementary search toc".split()
@@ -34,6 +34,8 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 PART = re.compile(r"[a-z]+")
+#: Class names that say what an element has or is about, not what it is.
+MODIFIER = re.compile(r"(?:with|without|has|have|no|not|tag|category|cat)[-_].*|.*[-_](?:enabled|disabled)")
 
 
 class Piece(NamedTuple):
@@ -46,7 +48,7 @@ class Piece(NamedTuple):
 
 
 def _marked(name: str, attributes: str) -> bool:
-    """Whether an element isn't part of an article, by its name, class, id, role or hiding."""
+    """Whether an element isn't part of an article whatever it holds, by its name or hiding."""
     if name in NEVER:
         return True
     if not attributes or name in ("html", "body", "main"):
@@ -55,20 +57,78 @@ def _marked(name: str, attributes: str) -> bool:
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if key in ("class", "id", "role") and any(part in MARKS or part.startswith(STEMS) for part in PART.findall(value)):
-            return True
     return False
 
 
+def _named(name: str, attributes: str, nested: bool) -> bool:
+    """Whether the class, id or role of an element, or its being a form, hint that it isn't part of an article.
+
+    Articles have classes of all kinds; only one within another (``nested``) can be a comment or the like.
+    """
+    if name == "form":
+        return True
+    if not attributes or name in ("html", "body", "main") or name == "article" and not nested:
+        return False
+    for key, value in ATTRIBUTE.findall(attributes):
+        if key.lower() in ("class", "id", "role"):
+            words = [w for w in value.strip("\"'").lower().split() if not MODIFIER.fullmatch(w)]
+            if any(part in MARKS or part.startswith(STEMS) for w in words for part in PART.findall(w)):
+                return True
+    return False
+
+
+class Held(NamedTuple):
+    """What an element, or the page outside of all that are left out, holds."""
+
+    words: int = 0
+    paragraphs: int = 0
+    titles: int = 0
+
+    def plus(self, words: int = 0, tag: str = "") -> Held:
+        return Held(self.words + words, self.paragraphs + (tag == "p"), self.titles + (tag == "h1"))
+
+    def since(self, start: Held) -> Held:
+        return Held(*(x - y for x, y in zip(self, start, strict=True)))
+
+
+def _wrappers(named: dict[int, Held], shown: Held) -> set[int]:
+    """The elements (by place) that hold the page's text although their names hint otherwise.
+
+    That is: nothing is shown without them; or they hold paragraphs and more words than are shown,
+    where no paragraph is shown, or where the page's only main heading is among them.
+    """
+    titled, most = any(h.titles for h in named.values()), max(h.words for h in named.values())
+    out = set()
+    for at, h in named.items():
+        if not h.words or h.words <= shown.words:
+            continue
+        alone = not shown.words and h.words == most
+        lost = not shown.paragraphs and (h.titles or not titled)
+        if alone or h.paragraphs and (lost or h.titles and not shown.titles):
+            out.add(at)
+    return out
+
+
 def pieces_of(page: str) -> list[Piece]:
     """Tags and runs of text in page order, each text with its context.
 
     Contexts: ``off`` (in an element that isn't part of an article), ``article`` (in article or
-    main), ``link``, ``plain``, and on pages with an article or main element ``outside``.
+    main), ``link``, ``plain``, and on pages with an article or main element ``outside``. An element
+    that is off only by a class, id or role, or as a form, is not if it wraps the page's text.
     """
+    out, named, shown = _pieces(page, set())
+    if named and (wrappers := _wrappers(named, shown)):
+        out, _, _ = _pieces(page, wrappers)
+    return out
+
+
+def _pieces(page: str, wrappers: set[int]) -> tuple[list[Piece], dict[int, Held], Held]:
+    """``pieces_of`` with the elements at ``wrappers`` on; and what each that is off by name, and the shown rest, holds."""
     out: list[Piece] = []
-    stack: list[tuple[str, bool]] = []
-    off = home = link = 0
+    stack: list[tuple[str, bool, bool, int]] = []  # name, off, off for good, place if off by name
+    off = firm = home = link = articles = 0
+    named: dict[int, Held] = {}  # from the element's start on, until it ends
+    seen, shown = Held(), Held()
     has_home = False
     breaks = True
     raw = ""
@@ -78,9 +138,13 @@ def pieces_of(page: str) -> list[Piece]:
             close = re.compile(rf"</{raw}[\s/>]", re.I).search(page, at)
             at, raw = (close.start() if close else end), ""
             continue
+        place = at
         token = TOKEN.match(page, at)
         at = token.end()
         if (text := token[7]) is not None:
+            if not firm:
+                n = len(text.split())
+                seen, shown = seen.plus(n), shown if off else shown.plus(n)
             if out and out[-1].kind not in ("tag", "br") and not breaks:
                 out[-1] = out[-1]._replace(text=out[-1].text + text)
             else:
@@ -97,32 +161,45 @@ def pieces_of(page: str) -> list[Piece]:
         if closing:
             opened = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
             if opened is not None:
-                for gone, was_off in stack[opened:]:
-                    off, home, link = off - was_off, home - (gone in ("article", "main")), link - (gone == "a")
+                for gone, was_off, was_firm, since in stack[opened:]:
+                    off, firm, home, link, articles = off - was_off, firm - was_firm, home - (gone in ("article", "main")), link - (gone == "a"), articles - (gone == "article")
+                    if since >= 0:
+                        named[since] = seen.since(named[since])
                 del stack[opened:]
         elif name in VOID:
             if name == "br":
                 out.append(Piece("br", " ", 0, False))
                 continue
         else:
-            is_off = _marked(name, attributes or "") or name == "header" and not home
+            is_firm = _marked(name, attributes or "") or name == "header" and not home
+            by_name = not is_firm and place not in wrappers and _named(name, attributes or "", articles > 0)
+            is_off = is_firm or by_name
             if name in ("article", "main") and not is_off and off:
                 # an unclosed menu or notice ends where the article begins
-                stack = [(n, False) for n, _ in stack]
-                off = 0
+                stack = [(n, False, False, since) for n, _, _, since in stack]
+                off = firm = 0
             if not (attributes or "").rstrip().endswith("/") or name in HOME:
                 if name in ("p", "li", "dt", "dd", "td", "th", "tr", "option") and stack and stack[-1][0] == name:
-                    gone, was_off = stack.pop()
-                    off -= was_off
-                stack.append((name, is_off))
-                off, home, link = off + is_off, home + (name in ("article", "main")), link + (name == "a")
+                    _, was_off, was_firm, since = stack.pop()
+                    off, firm = off - was_off, firm - was_firm
+                    if since >= 0:
+                        named[since] = seen.since(named[since])
+                stack.append((name, is_off, is_firm, place if by_name else -1))
+                if by_name:
+                    named[place] = seen
+                off, firm, home, link, articles = off + is_off, firm + is_firm, home + (name in ("article", "main")), link + (name == "a"), articles + (name == "article")
                 has_home |= name in ("article", "main") and not off
                 if name in RAW:
                     raw = name
+                if not firm:
+                    seen, shown = seen.plus(0, name), shown if off else shown.plus(0, name)
         out.append(Piece("tag", name, 0, False))
+    for *_, since in stack:
+        if since >= 0:
+            named[since] = seen.since(named[since])
     if has_home:
         out = [p._replace(kind="outside") if p.kind in ("plain", "link") else p for p in out]
-    return [p if p.kind in ("tag", "br") else p._replace(words=len(p.text.split())) for p in out]
+    return [p if p.kind in ("tag", "br") else p._replace(words=len(p.text.split())) for p in out], named, shown
 
 
 class Weights(NamedTuple):

@@ -456,6 +456,26 @@ def test_main_text(page, text):
     assert htmltext.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("start", "end"),
+    [
+        ("<article class='post tag-advertising category-notices'>", "</article>"), ("<article class='share social'>", "</article>"), ("<div class='layout with-sidebar'>", "</div>"), ("<div id='content' class='has-toc'>", "</div>"),
+        ("<div class='entry-content share-enabled'>", "</div>"), ("<div class='widget'>", "</div>"), ("<form action='x'><div class='page-search'>", "</div></form>"), ("<form><div class='sidebar'><h3>About</h3><p>A few words.</p></div><div class='promo'>", "</div></form>"),
+    ],
+)
+def test_main_text_of_pages_whose_wrappers_have_marks(start, end):
+    body = "<h1>The head</h1><p>" + "one two three " * 9 + "</p><div class='ad'>buy now</div><p>" + "four five " * 9 + "</p>"
+    text = htmltext.main_text(f"<body><nav>menu</nav>{start}{body}{end}<footer>foot</footer></body>")
+    assert text == "\n".join(["The head", " ".join(["one two three"] * 9), " ".join(["four five"] * 9)])
+
+
+def test_comments_and_small_forms_stay_out():
+    body = "<h1>The head</h1><p>Short but whole text.</p>"
+    comments = "<div class='comments'><h3>Comments</h3>" + "<p>I say this and that and more.</p>" * 20 + "</div>"
+    assert htmltext.main_text(f"{body}{comments}<form><p>Your name please</p></form>") == "The head\nShort but whole text."
+    assert htmltext.main_text(f"<article>{body}<article class='comment'><p>Well said.</p></article></article>") == "The head\nShort but whole text."
+
+
 def test_html_rows(spark):
     rows = [(1, "u", "<p>" + "word " * 200000 + "</p>", "x"), (1, "u", None, "x"), (None, None, "<p>a</p>", "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
