@@ -122,17 +122,34 @@ def resolve_status(current: Column, incoming: Column) -> Column:
     )
 
 
+#: Rows of a time slice; one row's array holds no more events.
+SLICE = 12  # bits
+KNOWN = [*V.NODE_STATUS_RANK]
+
+
+def _then(states: Column, change: Column) -> Column:
+    """The states after a map that has, for each known status and any other, what it becomes or NULL if it stays."""
+    at = lambda s: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, KNOWN)), s), F.lit(0)), F.lit(len(KNOWN) + 1))
+    return F.transform(states, lambda s: F.coalesce(F.element_at(change, at(s).cast("int")), s))
+
+
 def fold_status(events: DataFrame, key: str, status: str, seq: str) -> DataFrame:
     """(key, status) after all of a key's events in order.
 
-    Repeats of the same status change nothing, so only the changes are gathered into the fold.
+    What events do to a status is a map over the known statuses and any other, and maps compose. So
+    rows are dealt out by ``seq`` and cut into slices; each slice of a key gives a map, then each
+    partition of slices, then the key. No row gathers more than 4096 events, or the maps of a level.
     """
-    from pyspark.sql import Window
-
-    before = F.lag(status).over(Window.partitionBy(key).orderBy(seq))
-    changes = events.withColumn("_before", before).where(~F.col(status).eqNullSafe(F.col("_before")))
-    inorder = F.transform(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(status).alias("v")))), lambda x: x["v"])
-    return changes.groupBy(key).agg(inorder.alias("v")).select(key, F.aggregate(F.slice("v", 2, 1 << 30), F.col("v")[0], resolve_status).alias("status"))
+    fields = events.select(F.col(key).alias("k"), F.col(status).alias("v"), F.col(seq).alias("s"))
+    inorder = fields.repartitionByRange("s").sortWithinPartitions("s", "v", "k").withColumn("at", F.monotonically_increasing_id())
+    start = F.array(*map(F.lit, KNOWN), F.lit(None).cast("string"))
+    gathered = lambda at, what: F.transform(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(what).alias("x")))), lambda e: e["x"])
+    slices = inorder.groupBy("k", F.shiftright("at", SLICE).alias("slice")).agg(gathered("at", "v").alias("vs"), F.min_by(F.struct("v"), "at").alias("first"))
+    maps = slices.select("k", F.col("slice").alias("at"), "first", F.aggregate("vs", start, lambda states, v: F.transform(states, lambda s: resolve_status(s, v))).alias("map"))
+    for level in (F.shiftright("at", 33 - SLICE), F.lit(0)):  # the partition is above bit 33
+        joined = maps.groupBy("k", level.alias("level")).agg(gathered("at", "map").alias("maps"), F.min_by("first", "at").alias("first"))
+        maps = joined.select("k", F.col("level").alias("at"), "first", F.aggregate("maps", start, _then).alias("map"))
+    return maps.select(F.col("k").alias(key), _then(F.array(F.col("first.v")), F.col("map"))[0].alias("status"))
 
 
 def upsert_nodes(found: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from quarrylight.functions import vocabulary as V
 from quarrylight.operators import graph as G
 from quarrylight.operators import ladder as M
 from quarrylight.operators import logs as L
@@ -181,3 +183,29 @@ def test_tolerant_scan_and_export(spark, tmp_path):
     full["professor_affiliations"] = full["professor_affiliations"].withColumn("professor_id", F.lit(5).cast("long"))
     with pytest.raises(ValueError, match="affiliation without professor"):
         sinks.export_public(full, str(tmp_path / "bad"))
+
+
+def test_status_fold_composes_slices(spark, monkeypatch):
+    rng = random.Random(3)
+    pool = [*V.NODE_STATUS_RANK, None, "", "odd", "other"]
+    rows = [(rng.choice("aaaabcd"), rng.choice(pool if n % 3 else pool[:3]), n) for n in range(900)] + [("none", None, 1), ("none", None, 2), ("blank", "", 1), ("odd", "odd", 1), ("odd", None, 2)]
+    rows += [(f"k{a}{b}", s, n) for a, x in enumerate(pool) for b, y in enumerate(pool) for n, s in enumerate((x, y))]
+    rank = V.NODE_STATUS_RANK
+
+    def step(now, new):
+        if not new or new == now or now == "done":
+            return now
+        if now in ("failed", "skipped") and new in ("pending", "retry"):
+            return "retry"
+        return new if rank.get(new, 0) >= rank.get(now, 0) else now
+
+    want = {}
+    for k, v, _ in sorted(rows, key=lambda r: r[2]):
+        want[k] = step(want[k], v) if k in want else v
+    df = spark.createDataFrame(rows, "k string, s string, n long").repartition(3)
+    for bits in (2, 12):
+        monkeypatch.setattr(R, "SLICE", bits)
+        out = R.fold_status(df, "k", "s", "n")
+        assert {r.k: r.status for r in out.collect()} == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "rangepartitioning" in out._jdf.queryExecution().executedPlan().toString()
