@@ -8,6 +8,7 @@ from quarrylight.operators import ladder as M
 from quarrylight.operators import merge as R
 from quarrylight.plans.base import Catalog, table
 from quarrylight.sources import sinks
+from quarrylight.sources.tables import saved
 
 catalog = Catalog()
 
@@ -149,6 +150,23 @@ def identity_components(spark, d):
     return every.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
+@catalog("identity_components_documents")
+def identity_components_documents(spark, d):
+    """All documents, joined to a fixpoint by equal text or a shared benchmark passage; SQL would need all pairs of a hot key."""
+    from quarrylight.operators.components import components
+
+    docs = table(spark, d, "documents").where("doc_id is not null").select("doc_id", "text")
+    items = table(spark, d, "benchmark").where("text <> ''").select("item_id", F.col("text").alias("span"))
+    side = F.broadcast(items) if items.count() <= 10_000 else items
+    same = docs.where("btrim(text) <> ''").select("doc_id", F.concat(F.lit("t:"), F.md5("text")).alias("key"))
+    shared = docs.join(side, F.contains("text", "span")).select("doc_id", F.concat(F.lit("p:"), F.md5("span")).alias("key"))
+    keyed = saved(same.unionByName(shared).distinct())
+    hub = keyed.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
+    found = components(keyed.join(hub, "key").select("a", F.col("doc_id").alias("b")))
+    every = docs.select(F.col("doc_id").alias("node")).distinct()
+    return every.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
 @catalog("backup_comparison", "SELECT (SELECT count(*) FROM customer) AS active, (SELECT count(*) FROM customer WHERE c_acctbal > 0) AS backup")
 def backup(spark, d):
     c = table(spark, d, "customer")

@@ -12,6 +12,7 @@ from quarrylight.operators import merge as R
 from quarrylight.operators import search as S
 from quarrylight.operators import steward
 from quarrylight.operators.profile import parse_profile
+from quarrylight.plans import registry
 from quarrylight.sources import manifest, sinks, tables
 
 PERSON = "id long, name string, org_unit_name string, title string, research_areas string, email string, phone string, homepage string, external_link string, bio string, enrollment_pref string, publications string"
@@ -209,3 +210,23 @@ def test_status_fold_composes_slices(spark, monkeypatch):
         assert {r.k: r.status for r in out.collect()} == want
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "rangepartitioning" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_identity_components_of_all_documents_equal_union_find(spark, tmp_path):
+    rng = random.Random(4)
+    spans = [f"passage number {k:02d} of the benchmark" for k in range(8)]
+    docs = [(n, "a hot text") for n in range(100, 160)] + [(n, f"own {rng.randrange(25)} " + " ".join(rng.sample(spans, rng.choice([0, 0, 0, 1, 1, 2])))) for n in range(80)] + [(200, ""), (201, ""), (202, None), (203, "alone")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([*enumerate(spans), (50, spans[0]), (51, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    up = {i: i for i, _ in docs}
+
+    def find(x):
+        return x if up[x] == x else find(up[x])
+
+    for i, t in docs:
+        for j, u in docs:
+            if t and u and (t == u or any(s in t and s in u for s in spans)):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    got = {r.node: r.root for r in registry.queries()["identity_components_documents"](spark, str(tmp_path)).collect()}
+    assert got == {i: find(i) for i, _ in docs}
