@@ -62,7 +62,7 @@ def concept_edges(spark, d):
 
 @catalog("email_extract", r"SELECT doc_id, array_to_string(list_distinct(regexp_extract_all(text, '(?i)[A-Z0-9._%+\-]+@[A-Z0-9.\-]+\.[A-Z]{2,}'))[1:1], ',') AS mail FROM documents WHERE regexp_matches(text, '(?i)[A-Z0-9._%+\-]+@[A-Z0-9.\-]+\.[A-Z]{2,}') AND len(list_distinct(regexp_extract_all(text, '(?i)[A-Z0-9._%+\-]+@[A-Z0-9.\-]+\.[A-Z]{2,}'))) = 1")
 def email_extract(spark, d):
-    found = table(spark, d, "documents").select("doc_id", P.emails(F.col("text"), 3).alias("m")).where(F.size("m") == 1)
+    found = table(spark, d, "documents").select("doc_id", P.emails(F.col("text"), 3).alias("m")).where(F.size("m") > 0)
     return found.select("doc_id", F.array_join("m", ",").alias("mail"))
 
 

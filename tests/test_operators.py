@@ -230,3 +230,10 @@ def test_identity_components_of_all_documents_equal_union_find(spark, tmp_path):
                 up[max(a, b)] = min(a, b)
     got = {r.node: r.root for r in registry.queries()["identity_components_documents"](spark, str(tmp_path)).collect()}
     assert got == {i: find(i) for i, _ in docs}
+
+
+def test_email_extract_returns_documents_with_several_addresses(spark, tmp_path):
+    rows = [(1, "write to b@x.cn, a@x.cn or b@x.cn"), (2, "c@y.org"), (3, "none"), (4, None), (5, "a@b.cn c@d.cn e@f.cn g@h.cn")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.mail for r in registry.queries()["email_extract"](spark, str(tmp_path)).collect()}
+    assert got == {1: "b@x.cn,a@x.cn", 2: "c@y.org", 5: "a@b.cn,c@d.cn,e@f.cn"}
