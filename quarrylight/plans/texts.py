@@ -21,7 +21,7 @@ QUERY = ["then", "heth", "heoron", "the", "thinging", "ontion", "ciónosta"]
 
 
 def _index(spark, d):
-    return S.latin_term_counts(table(spark, d, "documents"), "doc_id", "text")
+    return S.term_counts(table(spark, d, "documents"), "doc_id", "text")
 
 
 @catalog("tfidf_search", f"""WITH {_TOK}, hit AS (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM tf WHERE term IN ({", ".join(f"'{q}'" for q in QUERY)}))

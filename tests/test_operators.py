@@ -237,3 +237,11 @@ def test_email_extract_returns_documents_with_several_addresses(spark, tmp_path)
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.mail for r in registry.queries()["email_extract"](spark, str(tmp_path)).collect()}
     assert got == {1: "b@x.cn,a@x.cn", 2: "c@y.org", 5: "a@b.cn,c@d.cn,e@f.cn"}
+
+
+def test_term_queries_keep_chinese_terms(spark, tmp_path):
+    rows = [(n, "alpha 量子材料") for n in range(25)] + [(30, "人工智能 人工智能 beta")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    top = {r.term: r.tf for r in registry.queries()["top_terms_per_doc"](spark, str(tmp_path)).where("doc_id = 30").collect()}
+    assert top["人工智能"] == 4  # twice, each time as a whole and as the longest of its n-grams
+    assert {"alpha", "量子", "量子材料"} <= {r.term for r in registry.queries()["term_df_idf"](spark, str(tmp_path)).where("df = 25").collect()}
