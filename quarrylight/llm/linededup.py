@@ -6,21 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.llm.components import connected_components
-from quarrylight.llm.store import saved
-
-#: Up to SPAN characters of a lower-cased line from each word start. A longer word restarts, so that every character
-#: is covered: after each SPAN characters, and at each character of scripts that put no spaces between words.
-SPAN = 12
-UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
-SHINGLES = rf"(?s)(?=(\S.{{0,{SPAN - 1}}}))(?:(?<!\S)\S{{1,{SPAN}}}+(?!\S)|[{UNSPACED}]|[^\s{UNSPACED}]{{1,{SPAN}}})"
-#: Lines as similar as the threshold of 0.8 meet in one of six bands of two with probability 0.998.
-#: An order compares hashes from another bit on; its least and greatest hash serve different bands.
-BANDS, SHIFT = 6, 9
+from quarrylight.llm.store import Scratch, light
+
+#: Shingles of up to SHINGLE characters of the lower-cased line. In a run of letters and digits they start at the
+#: first and at each STEP-th character after it, else at each character that isn't white space (punctuation, and
+#: scripts that put no spaces between words). So every character is in two shingles or more, or in all there are.
+SHINGLE, STEP = 8, 3
+RUN = r"0-9a-z\x{80}-\x{DFF}\x{1200}-\x{167F}\x{AC00}-\x{D7A3}"
+SHINGLES = rf"(?s)(?=(\S.{{0,{SHINGLE - 1}}}))(?:[{RUN}]{{1,{STEP}}}|\S)"
+#: The hashes of a line lie on a circle; a band is the run of WIDE that follow one of BANDS even starts. Runs of
+#: WIDE agree with the fourth power of the similarity, so lines at the threshold of 0.8 meet in one of the ten
+#: with a probability of 0.992 to 0.998, by simulation. Lines of up to SHORT shingles have runs of two as well.
+BANDS, WIDE, SHORT = 10, 4, 16
+STARTS = [((2 * b + 1) << 64) // (2 * BANDS) - (1 << 63) for b in range(BANDS)]
 #: Groups of up to so many lines are compared pair by pair, where not yet linked.
 PAIRWISE = 16
 #: Larger groups that share two rare shingles are cut into blocks of about so many lines; a task's cell is two blocks.
 BLOCK = 256
-BROADCAST_ROWS = 1_000_000
 
 
 def shingle_hashes(line: Column) -> Column:
@@ -33,43 +35,34 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return cut.where(F.col("line").rlike(r"\S"))
 
 
-def _order(hashes: Column, k: int) -> Column:
-    return hashes if k == 0 else F.transform(hashes, lambda x: F.shiftleft(x, k * SHIFT))
-
-
 def _banded(lines: DataFrame) -> DataFrame:
-    """(id, row, pos, lh, b0..): the line's hash and its band values."""
-    hashed = lines.select("id", "row", "pos", F.xxhash64("line").alias("lh"), shingle_hashes(F.col("line")).alias("h"))
-    orders = [_order(F.col("h"), k) for k in range(BANDS)]
-    hashed = hashed.select("id", "row", "pos", "lh", *[o.alias(f"o{k}") for k, o in enumerate(orders)])
-    ends = [(F.array_min(f"o{k}"), F.array_max(f"o{k}")) for k in range(BANDS)]
-    values = [F.xxhash64(F.lit(b), ends[b // 2 * 2][b % 2], ends[b // 2 * 2 + 1][b % 2]).alias(f"b{b}") for b in range(BANDS)]
-    return hashed.select("id", "row", "pos", "lh", *values)
+    """(id, row, pos, lh, bands): the line's hash and its band values."""
+    hashed = lines.select("id", "row", "pos", F.xxhash64("line").alias("lh"), F.sort_array(F.array_distinct(shingle_hashes(F.col("line")))).alias("h"))
+    # sorted in among the hashes, a start shows how many of them come before it
+    placed = hashed.select("id", "row", "pos", "lh", F.size("h").alias("n"), F.concat("h", F.slice("h", 1, WIDE)).alias("circle"), F.sort_array(F.concat("h", F.array(*[F.lit(s) for s in STARTS]))).alias("among"))
 
+    def run(b: int, wide: int) -> Column:
+        first = (F.array_position("among", F.lit(STARTS[b])) - b).cast("int")
+        return F.xxhash64(F.lit(b), F.lit(wide), F.slice("circle", first, wide))
 
-def _shingle_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(lh, s): the shingle sets of the lines with these hashes."""
-    nodes = saved(nodes, "nodes")
-    if nodes.count() <= BROADCAST_ROWS:
-        nodes = F.broadcast(nodes)
-    lines = lines_of(docs, id_col, text_col).select(F.xxhash64("line").alias("lh"), "line").join(nodes, "lh", "left_semi")
-    return saved(lines.dropDuplicates(["lh"]).select("lh", F.array_distinct(shingle_hashes(F.col("line"))).alias("s")), "sets")
+    always, more = [[run(b, wide) for b in range(BANDS)] for wide in (WIDE, 2)]
+    return placed.select("id", "row", "pos", "lh", F.when(F.col("n") <= SHORT, F.array(*always, *more)).otherwise(F.array(*always)).alias("bands"))
 
 
-def _verified(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+def _verified(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of line hashes whose lines' shingle sets are as similar as asked."""
     pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    one, two = sets.select(F.col("lh").alias("a"), F.col("s").alias("sa")), sets.select(F.col("lh").alias("b"), F.col("s").alias("sb"))
-    near = F.least(F.size("sa"), F.size("sb")) >= similarity * F.greatest(F.size("sa"), F.size("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    met = pairs.join(one, "a").join(two, "b").where(near).select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb")).alias("both"))
-    return saved(met.where(F.col("common") >= similarity * (F.col("both") - F.col("common"))).select("a", "b"), "links")
+    one, two = texts.select(F.col("lh").alias("a"), F.col("line").alias("la")), texts.select(F.col("lh").alias("b"), F.col("line").alias("lb"))
+    met = pairs.join(one, "a").join(two, "b").select("a", "b", *[F.array_distinct(shingle_hashes(F.col(x))).alias(y) for x, y in (("la", "sa"), ("lb", "sb"))])
+    sized = met.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("both"))
+    return sized.where(F.col("common") >= similarity * (F.col("both") - F.col("common"))).select("a", "b")
 
 
-def _apart(placed: DataFrame) -> DataFrame:
-    """Of (key, lh, root), the rows of keys that hold several roots, with n, the key's rows."""
-    keys = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-    return saved(placed.join(keys.where("low <> high").select("key", "n"), "key"), "apart")
+def _apart(placed: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Of (key, lh, root), the rows of keys that hold several roots, with n, the key's rows, and its greatest line."""
+    keys = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.max("lh").alias("last"))
+    keys = scratch.save(keys.where("low <> high").select("key", "n", "last"), "keys")
+    return scratch.save(placed.join(F.broadcast(keys) if light(keys, 24) else keys, "key"), name)
 
 
 def _pairwise(few: DataFrame, fits: Column | None = None) -> DataFrame:
@@ -93,7 +86,7 @@ def _prefix_length(similarity: float) -> Column:
     return F.col("size") - F.ceil(F.col("size") * similarity - 1e-9).cast("int") + 1
 
 
-def _prefixes(sets: DataFrame, many: DataFrame, similarity: float) -> DataFrame:
+def _prefixes(sets: DataFrame, many: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
     """(lh, root, size, by): the rarest shingles of each line of ``many`` (lh, root), one more than the prefix filter needs.
 
     Shingles of few lines come first, then the common ones by their count. Only the common ones are
@@ -101,8 +94,8 @@ def _prefixes(sets: DataFrame, many: DataFrame, similarity: float) -> DataFrame:
     """
     held = sets.join(many, "lh").repartition("lh")
     tokens = held.select("lh", "root", F.size("s").alias("size"), F.explode("s").alias("key"))
-    common = saved(tokens.groupBy("key").agg(F.count("*").alias("seen")).where(F.col("seen") > PAIRWISE), "common")
-    few = F.broadcast(common) if common.count() <= BROADCAST_ROWS else common
+    common = scratch.save(tokens.groupBy("key").agg(F.count("*").alias("seen")).where(F.col("seen") > PAIRWISE), "common")
+    few = F.broadcast(common) if light(common, 16) else common
     ranked = F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "key")
     rare = tokens.join(few, "key", "left").groupBy("lh", "root", "size").agg(F.sort_array(F.collect_list(ranked)).alias("by"))
     return rare.select("lh", "root", "size", F.slice(F.col("by.key"), F.lit(1), _prefix_length(similarity) + 1).alias("by"))
@@ -117,10 +110,6 @@ def _keyed(prefixes: DataFrame, similarity: float) -> DataFrame:
     return prefixes.select("lh", "root", "size", F.posexplode(F.slice("by", F.lit(1), _prefix_length(similarity))).alias("pos", "key")).select("key", "pos", "size", "lh", "root")
 
 
-def _rare_shingles(sets: DataFrame, many: DataFrame, similarity: float) -> DataFrame:
-    return _keyed(_prefixes(sets, many, similarity), similarity)
-
-
 def _key_pairs(prefixes: DataFrame, keyed: DataFrame) -> DataFrame:
     """(key, pos, size, lh, root): the lines of ``keyed`` (lh, key, pos) under their shingle and each later one of ``by``.
 
@@ -139,68 +128,91 @@ def _may_be_similar(similarity: float) -> Column:
     return left >= (F.col("x.size") + F.col("y.size")) * (similarity / (1 + similarity)) - 1e-9
 
 
-def line_classes(docs: DataFrame, occurrences: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+def _exact_pairs(sets: DataFrame, many: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """(a, b) across the components of ``many`` (lh, root): every similar pair is among them."""
+    prefixes = scratch.save(_prefixes(sets, many, similarity, scratch), "prefixes")
+    rare, fits = _apart(_keyed(prefixes, similarity), scratch, "rare"), _may_be_similar(similarity)
+    twice = _apart(_key_pairs(prefixes, rare.where(F.col("n") > PAIRWISE)), scratch, "twice")
+    return _pairwise(rare.where(F.col("n") <= PAIRWISE), fits).unionByName(_in_cells(twice, fits))
+
+
+def line_classes(docs: DataFrame, occurrences: DataFrame, id_col: str, text_col: str, similarity: float, scratch: Scratch) -> DataFrame:
     """(lh, root) for the lines that have a near copy of other text.
 
     In each band's groups, every line is compared with the group's least hash. Where a group's lines
     are in different components after that, a small group's lines are compared across components
-    pair by pair. The lines of large ones are grouped anew by their rarest shingles, of which
-    similar lines must share one; these groups are compared pair by pair where small. Lines of
-    large ones are grouped once more by two rare shingles and compared pair by pair in cells of
-    bounded size, so no such pair is left out and no task holds a whole group.
+    pair by pair, those of a large one with its greatest hash. The lines of large groups that are
+    still apart are grouped anew by their rarest shingles, of which similar lines must share one;
+    these groups are compared pair by pair where small. Lines of large ones are grouped once more by
+    two rare shingles and compared pair by pair in cells of bounded size, so no such pair is left
+    out and no task holds a whole group.
     """
-    distinct = occurrences.groupBy("lh").agg(*[F.max(f"b{b}").alias(f"b{b}") for b in range(BANDS)])
-    banded = distinct.select("lh", F.explode(F.array(*[f"b{b}" for b in range(BANDS)])).alias("band"))
-    groups = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("lh").alias("rep")).where("n > 1")
-    groups = saved(groups, "groups")
-    fits = F.broadcast if groups.count() <= BROADCAST_ROWS else (lambda df: df)
-    members = saved(banded.join(fits(groups), "band").select("band", "rep", "lh"), "members")
-    sets = _shingle_sets(docs, members.select("lh").distinct(), id_col, text_col)
-    links = _verified(sets, members.select(F.col("rep").alias("a"), F.col("lh").alias("b")), similarity)
-    roots = saved(connected_components(links), "roots").select(F.col("node").alias("lh"), "root")
-
-    placed = _apart(members.join(roots, "lh", "left").select(F.col("band").alias("key"), "lh", F.coalesce("root", "lh").alias("root")))
-    if placed.isEmpty():
-        return roots
-    pairs = _pairwise(placed.where(F.col("n") <= PAIRWISE))
-    many = saved(placed.where(F.col("n") > PAIRWISE).select("lh", "root").distinct(), "many")
-    if not many.isEmpty():
-        prefixes = saved(_prefixes(sets, many, similarity), "prefixes")
-        rare = _apart(_keyed(prefixes, similarity))
-        fits = _may_be_similar(similarity)
-        pairs = pairs.unionByName(_pairwise(rare.where(F.col("n") <= PAIRWISE), fits))
-        pairs = pairs.unionByName(_in_cells(_apart(_key_pairs(prefixes, rare.where(F.col("n") > PAIRWISE))), fits))
-    more = _verified(sets, pairs, similarity)
-    if more.isEmpty():
-        return roots
-    return saved(connected_components(links.unionByName(more)), "roots").select(F.col("node").alias("lh"), "root")
+    banded = occurrences.select("lh", F.explode("bands").alias("band"))
+    groups = banded.groupBy("band").agg(F.min("lh").alias("rep"), F.max("lh").alias("last"))
+    groups = scratch.save(groups.where("rep <> last").select("band", "rep"), "groups")
+    met = banded.join(F.broadcast(groups) if light(groups, 24) else groups, "band")
+    members = scratch.save(met.select("band", "rep", "lh").distinct(), "members")
+    nodes = scratch.save(members.select("lh").distinct(), "nodes")
+    lines = lines_of(docs, id_col, text_col).select(F.xxhash64("line").alias("lh"), "line")
+    texts = scratch.save(lines.join(F.broadcast(nodes) if light(nodes, 16) else nodes, "lh", "left_semi").dropDuplicates(["lh"]), "texts")
+    scratch.free("groups", "nodes")
+
+    def grown(links: DataFrame, pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame, bool]:
+        """All links, the components they make, and whether ``pairs`` gave a new one."""
+        new = scratch.save(_verified(texts, pairs, similarity), name)
+        if new.isEmpty():
+            return links, roots, False
+        links = links.unionByName(new) if links is not None else new
+        return links, scratch.save(connected_components(links), "roots").select(F.col("node").alias("lh"), "root"), True
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.join(roots, "lh", "left").select("key", "lh", F.coalesce("root", "lh").alias("root"))
+
+    roots = members.where(F.lit(False)).select("lh", F.col("lh").alias("root"))
+    links, roots, _ = grown(None, members.select(F.col("rep").alias("a"), F.col("lh").alias("b")), "links")
+    apart = _apart(placed(members.select(F.col("band").alias("key"), "lh")), scratch, "apart")
+    scratch.free("members")
+    if not apart.isEmpty():
+        large = apart.where(F.col("n") > PAIRWISE)
+        pairs = large.select(F.col("last").alias("a"), F.col("lh").alias("b"))
+        links, roots, _ = grown(links, _pairwise(apart.where(F.col("n") <= PAIRWISE)).unionByName(pairs), "more")
+        large = _apart(placed(large.select("key", "lh")), scratch, "large")
+        many = scratch.save(large.select("lh", "root").distinct(), "many")
+        if not many.isEmpty():
+            sets = texts.select("lh", F.array_distinct(shingle_hashes(F.col("line"))).alias("s"))
+            links, roots, _ = grown(links, _exact_pairs(sets, many, similarity, scratch), "most")
+    scratch.free(*(name for name in list(scratch.paths) if name not in ("lines", "roots")))
+    return roots
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """``docs`` with one line kept of each class of equal or near-equal lines.
 
     Adds n_lines (lines that aren't blank) and n_kept. Lines end at line feeds. Two lines are linked
-    if they are equal or if their shingle sets (lower-cased, up to 12 characters from each word start;
-    in longer words again after each 12 characters, or at each one of a script without spaces, so
-    that every character counts) have a Jaccard similarity of at least ``similarity``; classes are the links' components. The line of least id, then least text hash and place, stays, the others go from their texts; blank
-    lines stay as they are. Distinct lines are told apart by 64-bit hashes.
+    if they are equal or if their sets of shingles (see SHINGLES: eight characters, lower-cased, every
+    character is covered) have a Jaccard similarity of at least ``similarity``; classes are the
+    links' components. The line of least id, then least text hash and place, stays, the others go
+    from their texts; blank lines stay as they are. Distinct lines are told apart by 64-bit hashes.
 
     Null text stays null, with counts of zero. A text may lose all its lines and become empty. A
     null id comes before all others. Rows that repeat both id and text count as one document and
     keep the same lines. All columns of ``docs`` are kept in place, whatever their names, except
     that n_lines and n_kept are replaced. An empty table stays empty.
     """
-    occurrences = saved(_banded(lines_of(docs, id_col, text_col)), "lines")
-    classes = line_classes(docs, occurrences, id_col, text_col, similarity)
-    few = F.broadcast(classes) if classes.count() <= BROADCAST_ROWS else classes
+    scratch = Scratch(docs.sparkSession)
+    occurrences = scratch.save(_banded(lines_of(docs, id_col, text_col)), "lines")
+    classes = line_classes(docs, occurrences, id_col, text_col, similarity, scratch)
+    few = F.broadcast(classes) if light(classes, 16) else classes
     placed = occurrences.select("id", "row", "pos", "lh").join(few, "lh", "left").select("id", "row", "pos", F.coalesce("root", "lh").alias("class"))
-    repeated = placed.groupBy("class").agg(F.count("*").alias("n"), F.min(F.struct("id", "row", "pos")).alias("first")).where("n > 1").select("class", "first")
-    repeated = saved(repeated, "repeated")
-    firsts = F.broadcast(repeated) if repeated.count() <= BROADCAST_ROWS else repeated
-    dropped = placed.join(firsts, "class").where(~F.struct("id", "row", "pos").eqNullSafe(F.col("first"))).groupBy("row").agg(F.collect_set("pos").alias("gone"))
-    dropped = saved(dropped, "dropped")
-    size = dropped.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
-    gone = F.broadcast(dropped) if size[0] * 8 + size[1] <= BROADCAST_ROWS * 8 else dropped
+    repeated = scratch.save(placed.groupBy("class").count().where("count > 1").select("class"), "repeated")
+    copies = scratch.save(placed.join(F.broadcast(repeated) if light(repeated, 8) else repeated, "class"), "copies")
+    scratch.free("lines", "roots", "repeated")
+    firsts = copies.groupBy("class").agg(F.min(F.struct("id", "row", "pos")).alias("first"))
+    dropped = copies.join(firsts, "class").where(~F.struct("id", "row", "pos").eqNullSafe(F.col("first"))).groupBy("row").agg(F.collect_set("pos").alias("gone"))
+    dropped = scratch.save(dropped, "dropped")
+    scratch.free("copies")
+    rows, places = dropped.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
+    gone = F.broadcast(dropped) if light(dropped, 24 + 4 * places // max(rows, 1)) else dropped
 
     own = [c for c in docs.columns if c not in ("n_lines", "n_kept")]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("d"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"))

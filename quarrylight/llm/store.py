@@ -7,11 +7,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: A side of a join is broadcast only if its counted rows, by their width, stay below this.
+BROADCAST_BYTES = 32 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where the session names none."""
+    """The folder named by spark.checkpoint.dir. Only a local session may lack one and gets a folder of its own."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='quarrylight-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -39,3 +44,26 @@ def save(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``save`` for callers that keep the table to the end of the query."""
     return save(df, name)[0]
+
+
+class Scratch:
+    """The intermediate tables of one run, by name: a name written again, or freed, loses its old table."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        table, path = save(df, name)
+        self.free(name)
+        self.paths[name] = path
+        return table
+
+    def free(self, *names: str) -> None:
+        for name in names:
+            if path := self.paths.pop(name, None):
+                drop(self.spark, path)
+
+
+def light(df: DataFrame, width: int) -> bool:
+    """Whether the table's rows of about ``width`` bytes, counted, may be broadcast."""
+    return df.count() * width <= BROADCAST_BYTES

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.llm import components, decontaminate, htmltext, langid, licenses, linededup, packing, sharding, simhash, tokens, urlfilter, vptree
 from quarrylight.llm.labelled_pages import PAGES
-from quarrylight.llm.store import work_dir
+from quarrylight.llm.store import Scratch, work_dir
 
 from .conftest import DATA
 
@@ -41,11 +41,22 @@ def test_components_of_paths_and_stars(spark):
 # -- line dedup ------------------------------------------------------------------------------------
 
 
-def brute_lines(rows):
-    def shingles(line):
-        line = line.lower()
-        return {line[m.start() : m.start() + linededup.SPAN] for m in re.finditer(r"(?<!\S)\S", line)}
+def brute_shingles(line):
+    """Eight characters each, without the pattern: where they start is decided character by character."""
+    out, line, since = set(), line.lower(), 0
+    for at, c in enumerate(line):
+        if c in " \t\n\x0b\x0c\r":
+            since = 0
+            continue
+        run = c in "0123456789abcdefghijklmnopqrstuvwxyz" or 0x80 <= ord(c) <= 0xDFF or 0x1200 <= ord(c) <= 0x167F or 0xAC00 <= ord(c) <= 0xD7A3
+        if not run or since % 3 == 0:
+            out.add(line[at : at + 8])
+        since = since + 1 if run else 0
+    return out
+
 
+def brute_lines(rows):
+    shingles = brute_shingles
     places = collections.defaultdict(list)
     for i, t in rows:
         for p, line in enumerate((t or "").split("\n")):
@@ -85,14 +96,32 @@ def test_rare_shingles_keep_every_similar_pair(spark):
     sets = [sorted({int(v) for v in rng.zipf(1.3, 14) % 60}) for _ in range(120)]
     sets += [[*s[:-1], 100 + k] for k, s in enumerate(sets)]
     table = spark.createDataFrame(list(enumerate(sets)), "lh long, s array<long>")
-    rare = linededup._rare_shingles(table, table.selectExpr("lh", "lh AS root"), 0.8)
-    met = {(r.a, r.b) for r in linededup._pairwise(rare, linededup._may_be_similar(0.8)).distinct().collect()}
+    prefixes = linededup._prefixes(table, table.selectExpr("lh", "lh AS root"), 0.8, Scratch(spark))
+    met = {(r.a, r.b) for r in linededup._pairwise(linededup._keyed(prefixes, 0.8), linededup._may_be_similar(0.8)).distinct().collect()}
     for a in range(len(sets)):
         for b in range(a + 1, len(sets)):
             x, y = set(sets[a]), set(sets[b])
             assert len(x & y) < 0.8 * len(x | y) or (a, b) in met
 
 
+@pytest.mark.parametrize("words", [(6, 15), (15, 60)])
+def test_bands_find_pairs_at_the_threshold(spark, words):
+    rng = np.random.default_rng(words[0])
+    pairs = []
+    for _ in range(6000):
+        line = " ".join("".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))) for _ in range(rng.integers(*words)))
+        other, edits = line, rng.integers(1, 2 + len(line) // 30)
+        for at in rng.integers(0, len(line), edits):
+            other = other[:at] + "q" + other[at + 1 :]
+        x, y = brute_shingles(line), brute_shingles(other)
+        if 0.8 * len(x | y) <= len(x & y) < 0.88 * len(x | y):
+            pairs.append((line, other))
+    assert len(pairs) > 500
+    lines = spark.createDataFrame([(k, x) for k, p in enumerate(pairs) for x in p], "id long, line string").selectExpr("id", "id AS row", "1 AS pos", "line")
+    met = linededup._banded(lines).selectExpr("id", "lh", "explode(bands) AS band").groupBy("id", "band").agg(F.countDistinct("lh").alias("n")).where("n = 2").select("id").distinct().count()
+    assert met >= 0.99 * len(pairs)
+
+
 def test_line_dedup_edges(edges):
     out = linededup.dedup_lines(edges)
     assert out.columns == [*edges.columns, "n_lines", "n_kept"]
@@ -101,21 +130,6 @@ def test_line_dedup_edges(edges):
     assert linededup.dedup_lines(edges.limit(0)).count() == 0
 
 
-def every_character(line):
-    """Shingles word by word, character by character, without the pattern."""
-    out, line, at = set(), line.lower(), 0
-    for word in re.split(r"([ \t]+)", line):
-        since = linededup.SPAN
-        for k, c in enumerate(word if word.strip() else ""):
-            unspaced = len(word) > linededup.SPAN and regex.match(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]", c)
-            if k == 0 or unspaced or since == linededup.SPAN:
-                out.add(line[at + k : at + k + linededup.SPAN])
-                since = linededup.SPAN - 1 if unspaced else 0
-            since += 1
-        at += len(word)
-    return out
-
-
 def linked_roots(lines, shingles):
     sets, parts = Sets(), [shingles(x) for x in lines]
     for a in range(len(lines)):
@@ -130,7 +144,7 @@ def test_line_dedup_looks_at_every_character(spark):
     kept = [f"see {url}a", f"see {url}b", f"{url}first/page", f"{url}other/way", "1234567890123", "1234567890129", "d41d8cd98f00b204e980", "d41d8cd98f00ffffffff", f"{start}電車が止まりました", f"{start}午後に晴れました", f"a {url}x y", f"b {url}x z"]
     lines = [*kept, "x" + "".join(chr(0x4E00 + k) for k in range(200)), "".join(chr(0x4E00 + k) for k in range(200)), f"{url}path/" + "segment/" * 3 + "".join(f"{k}-" for k in range(60)), f"{url}path/" + "segment/" * 3 + "".join(f"{k}-" for k in range(60)) + "Z"]
     got = {r.doc_id for r in linededup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).where("n_kept > 0").collect()}
-    assert set(range(10)) <= got == linked_roots(lines, every_character) and len(got) < len(lines)
+    assert set(range(10)) <= got == linked_roots(lines, brute_shingles) and len(got) < len(lines)
 
 
 def test_line_dedup_compares_families_whose_rarest_shingles_are_common(spark):
@@ -156,9 +170,10 @@ def test_cells_of_two_shingles_keep_every_similar_pair(spark, monkeypatch, block
     sets = [sorted({int(v) for v in rng.choice(30, rng.integers(2, 14), replace=False)}) for _ in range(150)]
     sets += [sorted({*s[1:], int(rng.integers(30))}) for s in sets]
     table = spark.createDataFrame(list(enumerate(sets)), "lh long, s array<long>")
-    prefixes = linededup._prefixes(table, table.selectExpr("lh", "lh AS root"), 0.8)
+    scratch = Scratch(spark)
+    prefixes = linededup._prefixes(table, table.selectExpr("lh", "lh AS root"), 0.8, scratch)
     pairs = linededup._key_pairs(prefixes, linededup._keyed(prefixes, 0.8))
-    met = {(r.a, r.b) for r in linededup._in_cells(linededup._apart(pairs), linededup._may_be_similar(0.8)).distinct().collect()}
+    met = {(r.a, r.b) for r in linededup._in_cells(linededup._apart(pairs, scratch, "apart"), linededup._may_be_similar(0.8)).distinct().collect()}
     for a in range(len(sets)):
         for b in range(a + 1, len(sets)):
             x, y = set(sets[a]), set(sets[b])
