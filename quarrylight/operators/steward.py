@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from quarrylight.functions import people as P
 from quarrylight.functions import urls as U
 from quarrylight.functions.classify import excluded_unit
-from quarrylight.functions.python_udfs import is_self_academician
 from quarrylight.functions.text import text_of
 from quarrylight.operators.ladder import ladder_match
 from quarrylight.operators.merge import repair_identities
@@ -119,7 +118,7 @@ def run(tables: dict[str, DataFrame], apply: bool) -> tuple[dict[str, DataFrame]
         t["professors"] = saved(t["professors"].join(twins.select("id"), "id", "left_anti"))
     # a native look for the two words comes before the Python check
     hinted = t["professors"].where(F.concat_ws(" ", "title", "bio").rlike("(?i)院士|academician"))
-    promoted = hinted.where(is_self_academician("name", "title", "bio"))
+    promoted = hinted.where(P.claims_academician(F.col("name"), F.col("title"), F.col("bio")))
     audits.append(audit(promoted, "professor", "academician_promotion", F.lit("bio_academician"), F.lit(0.95), apply, action="moved"))
     backfill = t["professors"].where(F.btrim(text_of(F.col("research_areas"))) == "").withColumn("found", P.infer_research(F.col("bio"))).where("found is not null")
     audits.append(audit(backfill, "professor", "research_backfill", F.lit("bio_inference"), F.lit(0.80), apply, F.lit("research_areas")))

@@ -127,10 +127,19 @@ def test_chunks():
 
 @pytest.mark.parametrize(
     ("name", "text", "claims"),
-    [("王五", "中国工程院院士", True), ("王五", "王五，2019年当选中国科学院院士。", True), ("王五", "师从李四院士，从事光学研究。", False), ("王五", "王五教授与李四院士团队合作。", False), ("王五", "教授", False)],
+    [("王五", "中国工程院院士", True), ("王五", "王五，2019年当选中国科学院院士。", True), ("王五", "师从李四院士，从事光学研究。", False), ("王五", "王五教授与李四院士团队合作。", False), ("王五", "教授", False), ("Wang Wu", "Wang Wu was elected academician in 2010.", True), ("Wang Wu", "His advisor is an academician.", False), ("王五", "与李四院士合作", False), (None, None, False)],
 )
-def test_academician_claims(name, text, claims):
-    assert X.claims_academician(name, text) is claims
+def test_academician_claims(spark, name, text, claims):
+    df = spark.createDataFrame([(name, text)], "n string, x string")
+    assert df.select(P.claims_academician(F.col("n"), F.col("x"), F.lit(None).cast("string")).alias("r")).first().r is claims
+
+
+@pytest.mark.parametrize(
+    ("bio", "fields"),
+    [("研究方向：机器学习；计算机视觉、图像处理。生于北京。", "机器学习；计算机视觉；图像处理"), ("在催化材料方面取得了重要研究成果。", "催化材料"), ("率先倡导环境和健康研究。", "环境和健康"), (None, None)],
+)
+def test_research_fields(spark, bio, fields):
+    assert one(spark, P.infer_research(F.col("x")), x=bio) == fields
 
 
 def test_mojibake(spark):
