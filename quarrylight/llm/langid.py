@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import copy
 import functools
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +24,8 @@ WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
 MAX_PIECE = 8
 UNKNOWN = "und"
-#: At most this many labelled rows, those of least hash, fit the model.
+#: About so many labelled rows at most, those of least hash, fit the model, with all their words.
 FIT_ROWS = 20_000
-#: Of the fitting rows' words, the most frequent so many per language.
-FIT_WORDS = 20_000
 BASE = np.uint64(1_000_003)
 SLOTS = 20
 CACHE_WORDS = 400_000
@@ -157,92 +156,134 @@ class Model:
             out[k] = np.log(np.maximum(alpha[-1], 1e-300)) + scale
         return out
 
+    def only(self, lang: str) -> Model:
+        """The model of one language."""
+        k = self.languages.index(lang)
+        one = copy.copy(self)
+        one.languages, one.p, one.stray = [lang], self.p[:, k : k + 1], self.stray[k : k + 1]
+        return one
+
     def expect(self, words: list[str], counts: np.ndarray) -> np.ndarray:
-        """Expected piece counts (forward and backward) of words counted per language."""
-        total = np.zeros((self.segmenter.size + 1, len(self.languages)))
+        """Expected piece counts (forward and backward) of counted words, of a model of one language."""
+        total = np.zeros(self.segmenter.size + 1)
         by_length: dict[int, list[int]] = {}
         for k, w in enumerate(words):
-            if len(w) <= 40:  # longer ones say little and would need rescaling
+            if len(w) <= 40:
                 by_length.setdefault(len(w), []).append(k)
+            else:
+                self._expect_long(w, counts[k], total)
         for length, rows in by_length.items():
             for at in range(0, len(rows), 20_000):
                 part = rows[at : at + 20_000]
                 lattice = self.segmenter.lattice([words[k] for k in part])
-                ones = np.ones((len(part), len(self.languages)))
+                steps = {place: self._step(lattice, *place)[:, 0] for place in lattice}
+                ones = np.ones(len(part))
                 alpha, beta = [ones], {length + 1: ones}
                 for e in range(1, length + 2):
-                    alpha.append(sum(alpha[e - n] * self._step(lattice, e, n) for n in range(1, min(e, MAX_PIECE) + 1)))
+                    alpha.append(sum(alpha[e - n] * steps[e, n] for n in range(1, min(e, MAX_PIECE) + 1)))
                 for s in range(length, -1, -1):
-                    beta[s] = sum(beta[s + n] * self._step(lattice, s + n, n) for n in range(1, min(length + 1 - s, MAX_PIECE) + 1))
+                    beta[s] = sum(beta[s + n] * steps[s + n, n] for n in range(1, min(length + 1 - s, MAX_PIECE) + 1))
                 weight = counts[part] / np.maximum(alpha[-1], 1e-300)
                 for (e, n), found in lattice.items():
-                    share = alpha[e - n] * self._step(lattice, e, n) * beta[e] * weight
-                    for lang in range(len(self.languages)):
-                        total[:, lang] += np.bincount(found, share[:, lang], self.segmenter.size + 1)
+                    total += np.bincount(found, alpha[e - n] * steps[e, n] * beta[e] * weight, self.segmenter.size + 1)
         return total[:-1]
 
+    def _expect_long(self, word: str, count: float, total: np.ndarray) -> None:
+        """The same for one long word, by logarithms."""
+        length = len(word) + 1
+        hashes = _hash(_codes([START + word], length))[0]
+        logs = np.log(np.append(self.p[:-1, 0], 1e-300))
+        found = {n: self.segmenter.find(hashes[n:] - hashes[:-n] * self.segmenter.power[n]) for n in range(1, MAX_PIECE + 1)}
+        steps = {n: logs[f] for n, f in found.items()}
+        steps[1] = np.where(found[1] == self.segmenter.size, np.log(self.stray[0]), steps[1])
+        ahead, behind = np.full(length + 1, -np.inf), np.full(length + 1, -np.inf)
+        ahead[0] = behind[length] = 0
+        for e in range(1, length + 1):
+            ahead[e] = np.logaddexp.reduce([ahead[e - n] + steps[n][e - n] for n in range(1, min(e, MAX_PIECE) + 1)])
+        for s in range(length - 1, -1, -1):
+            behind[s] = np.logaddexp.reduce([behind[s + n] + steps[n][s] for n in range(1, min(length - s, MAX_PIECE) + 1)])
+        for n, f in found.items():
+            total += np.bincount(f, count * np.exp(ahead[:-n] + steps[n] + behind[n:] - ahead[length]), self.segmenter.size + 1)
+
+
+def _piece_counts(counted: DataFrame, run: Callable[[str, list[str], np.ndarray], np.ndarray], languages: list[str]) -> np.ndarray:
+    """Pieces x languages: what ``run`` finds in each language's counted words, summed by Spark.
+
+    No more than a number for each piece of the vocabulary and language comes to the driver.
+    """
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[str, np.ndarray] = {}
+        for batch in batches:
+            langs, words, n = (np.array(batch.column(k).to_pylist(), object) for k in range(3))
+            for lang in set(langs):
+                of = langs == lang
+                found = run(lang, list(words[of]), n[of].astype(float))
+                totals[lang] = totals[lang] + found if lang in totals else found
+        for lang, total in totals.items():
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at])], ["lang", "piece", "w"])
+
+    found = counted.select("lang", "word", "n").mapInArrow(part, "lang string, piece int, w double").groupBy("lang", "piece").agg(F.sum("w").alias("w")).toPandas()
+    out = np.zeros((len(pieces()), len(languages)))
+    out[found["piece"], found["lang"].map({lang: k for k, lang in enumerate(languages)})] = found["w"]
+    return out
+
+
+def _own_pieces(lang: str, words: list[str], n: np.ndarray) -> np.ndarray:
+    """Counts of the pieces of the vocabulary's own segmentation."""
+    number, total = {p: k for k, p in enumerate(pieces())}, np.zeros(len(pieces()))
+    model = sentencepiece.SentencePieceProcessor(model_file=VOCABULARY)
+    for found, count in zip(model.encode(words, out_type=str, num_threads=1), n, strict=True):
+        for piece in found:
+            if piece in number:
+                total[number[piece]] += count
+    return total
+
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS, rounds: int = 2) -> Model | None:
     """Learn from rows with text and a label that the fold lets; None if there are none.
 
-    The rows of least id hash are taken, about ``rows`` at most, and of each language's words the
-    most frequent, up to ``FIT_WORDS`` or those of the highest count: both bound what comes to the
-    driver. Piece probabilities start from
-    the vocabulary's own segmentation of these words and are refined by expectation-maximisation.
+    The rows of least id hash are taken, about ``rows`` at most, with all their words. The label
+    ``und`` says that a language isn't known, so it isn't learned. Piece probabilities start from
+    the vocabulary's own segmentation of these words and are refined by expectation-maximisation;
+    Spark sums the expected counts, and the driver gets one number for each piece and language.
     """
     fold = F.crc32(F.col(id_col).cast("string")) % 3
-    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold != 1)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    usable = F.col(lang_col).isNotNull() & (F.col(lang_col) != UNKNOWN) & F.col(text_col).isNotNull() & (fold != 1)
+    labelled = docs.where(usable).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     total = labelled.select("id").count()
     if total > rows:  # a bound on the hash that lets about ``rows`` rows through
         share = rows / total
         labelled = labelled.where(F.xxhash64("id") < F.lit(int(-(2**63) + share * 2**64)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: dict[str, Counter] = {}
-        seen: Counter = Counter()
         for batch in batches:
+            words: dict[str, Counter] = {}
+            seen: Counter = Counter()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen[lang] += 1
                 words.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
-        rows_out = [(lang, w, n) for lang, c in words.items() for w, n in c.items()] + [(lang, "", n) for lang, n in seen.items()]
-        for at in range(0, len(rows_out), 100_000):
-            part = list(zip(*rows_out[at : at + 100_000], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1]), pa.array(part[2], pa.int64())], ["lang", "word", "n"])
+            rows_out = [(lang, w, n) for lang, c in words.items() for w, n in c.items()] + [(lang, "", n) for lang, n in seen.items()]
+            for at in range(0, len(rows_out), 100_000):
+                part = list(zip(*rows_out[at : at + 100_000], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1]), pa.array(part[2], pa.int64())], ["lang", "word", "n"])
 
     counted = labelled.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counted = saved(counted, "words")
-    # how many words of a language occur how often: tells the least count that keeps within FIT_WORDS
-    least: dict[str, int] = {}
-    held: Counter = Counter()
-    for lang, n, words in sorted(counted.where("word <> ''").groupBy("lang", "n").agg(F.count("*").alias("words")).collect(), key=lambda r: (r[0], -r[1])):
-        held[lang] += words
-        if lang not in least or held[lang] <= FIT_WORDS:
-            least[lang] = n
-    if not least:
+    seen = {r.lang: r.n for r in counted.where("word = ''").select("lang", "n").collect()}  # a row a language
+    counted = counted.where("word <> ''")
+    if not seen or counted.isEmpty():
         return None
-    bounds = docs.sparkSession.createDataFrame(list(least.items()), "lang string, least long")
-    top = counted.join(F.broadcast(bounds), "lang").where("n >= least or word = ''").select("lang", "word", "n").toPandas()
-    languages = sorted(top["lang"].unique())
-    place = {lang: k for k, lang in enumerate(languages)}
-    priors, counts = np.zeros(len(languages)), {}
-    for lang, word, n in top.itertuples(index=False):
-        if word:
-            counts.setdefault(word, np.zeros(len(languages)))[place[lang]] = n
-        else:
-            priors[place[lang]] = n
-    vocabulary = pieces()
-    number = {p: k for k, p in enumerate(vocabulary)}
-    words = list(counts)
-    table = np.array([counts[w] for w in words]).reshape(-1, len(languages))
-    weights = np.zeros((len(vocabulary), len(languages)))
-    model = sentencepiece.SentencePieceProcessor(model_file=VOCABULARY)
-    for w, c in zip(model.encode(words, out_type=str, num_threads=1), table, strict=True):
-        for piece in w:
-            if piece in number:
-                weights[number[piece]] += c
-    fitted = Model(languages, vocabulary, weights, np.log(priors / priors.sum()))
+    languages = sorted(seen)
+    priors = np.log(np.array([seen[lang] for lang in languages]) / sum(seen.values()))
+    fitted = Model(languages, pieces(), _piece_counts(counted, _own_pieces, languages), priors)
     for _ in range(rounds):
-        fitted.set_weights(fitted.expect(words, table))
+        held = docs.sparkSession.sparkContext.broadcast(fitted)
+        step = lambda lang, words, n: held.value.only(lang).expect(words, n)  # noqa: B023, E731
+        weights = _piece_counts(counted, step, languages)
+        fitted = Model(languages, pieces(), weights, priors)
+        held.destroy()
     return fitted
 
 
