@@ -135,27 +135,34 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
-def _spread_sql(rounds: int = 10) -> str:
-    steps = "".join(
-        f"""r{k} AS (SELECT host, 0.15::DOUBLE * trusted + 0.85::DOUBLE * coalesce(it, 0) AS trust, 0.15::DOUBLE * blocked + 0.85::DOUBLE * coalesce(id, 0) AS distrust, trusted, blocked
-  FROM r{k - 1} LEFT JOIN (SELECT dst AS host, sum(trust / n_out) AS it FROM links JOIN r{k - 1} ON src = host JOIN (SELECT src, count(*) AS n_out FROM links GROUP BY 1) USING (src) GROUP BY 1) USING (host)
-  LEFT JOIN (SELECT src AS host, sum(distrust / n_in) AS id FROM links JOIN r{k - 1} ON dst = host JOIN (SELECT dst, count(*) AS n_in FROM links GROUP BY 1) USING (dst) GROUP BY 1) USING (host)),
-"""
-        for k in range(1, rounds + 1)
-    )
+def _spread_sql(rounds: int = 80) -> str:
+    """All links count, also those to hosts without pages; ``rounds`` leave a millionth of the seeds undistributed."""
     low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    return f"""
-WITH placed AS (SELECT page_id, html, {low.format("regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1)")} AS host, regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
-ruled AS (SELECT *, CASE
+    rule = """CASE
   WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
   WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
   WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
-  WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM placed),
-hosts AS (SELECT host, avg(CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 1.0 ELSE 0.0 END)::DOUBLE AS trusted, avg(CASE WHEN rule IN ('net/', 'example.com/de/') THEN 1.0 ELSE 0.0 END)::DOUBLE AS blocked FROM ruled WHERE host <> '' GROUP BY 1),
-raw AS (SELECT host AS src, {low.format("unnest(regexp_extract_all(html, '(?i)href\\s*=\\s*[\"'']?\\s*(?:[a-z][a-z0-9+.\\-]*:)?//([^/?#\"''\\s<>]+)', 1))")} AS dst FROM placed WHERE host <> ''),
-links AS (SELECT DISTINCT src, dst FROM raw WHERE src <> dst AND dst IN (SELECT host FROM hosts)),
-r0 AS (SELECT host, 0.15::DOUBLE * trusted AS trust, 0.15::DOUBLE * blocked AS distrust, trusted, blocked FROM hosts),
-{steps}bad AS (SELECT host FROM r{rounds} WHERE distrust - trust > 0.5::DOUBLE * (1 - 0.85::DOUBLE))
+  WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule"""
+    shares = "avg(CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 1.0 ELSE 0.0 END)::DOUBLE AS trusted, avg(CASE WHEN rule IN ('net/', 'example.com/de/') THEN 1.0 ELSE 0.0 END)::DOUBLE AS blocked"
+    return f"""
+WITH RECURSIVE placed AS (SELECT page_id, html, {low.format("regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1)")} AS host, regexp_extract(coalesce(url, ''), '^(?s:.*?)://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+ruled AS (SELECT *, {rule} FROM placed),
+crawled AS (SELECT host, {shares} FROM ruled WHERE host <> '' GROUP BY 1),
+raw AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)href\\s*=\\s*["'']?\\s*(?:[a-z][a-z0-9+.\\-]*:)?//([^/?#"''\\s<>]+(?:/[^?#"''\\s<>]*)?)', 1)) AS link FROM placed WHERE host <> ''),
+parts AS (SELECT DISTINCT src, {low.format("split_part(link, '/', 1)")} AS host, CASE WHEN link LIKE '%/%' THEN regexp_extract(link, '^[^/]*(.*)$', 1) ELSE '/' END AS path FROM raw),
+links AS (SELECT DISTINCT src, host AS dst FROM parts WHERE src <> host),
+linked AS (SELECT *, {rule} FROM (SELECT DISTINCT host, path FROM parts WHERE src <> host AND host NOT IN (SELECT host FROM crawled))),
+hosts AS (SELECT * FROM crawled UNION ALL SELECT host, {shares} FROM linked GROUP BY 1),
+flows AS (
+  SELECT src AS src_host, dst AS too, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS wt, 0.0::DOUBLE AS wd FROM links
+  UNION ALL SELECT dst, src, 0.0::DOUBLE, 1.0::DOUBLE / count(*) OVER (PARTITION BY dst) FROM links),
+ranks AS (
+  SELECT 0 AS k, host, 0.15::DOUBLE * trusted AS trust, 0.15::DOUBLE * blocked AS distrust FROM hosts
+  UNION ALL
+  SELECT moved.k + 1, hosts.host, 0.15::DOUBLE * trusted + 0.85::DOUBLE * coalesce(it[hosts.host], 0), 0.15::DOUBLE * blocked + 0.85::DOUBLE * coalesce(id[hosts.host], 0)
+  FROM hosts, (SELECT k, map(list(too), list(it)) AS it, map(list(too), list(id)) AS id FROM (
+    SELECT k, coalesce(too, '') AS too, sum(trust * wt) AS it, sum(distrust * wd) AS id FROM ranks LEFT JOIN flows ON src_host = host WHERE k < {rounds} GROUP BY 1, 2) GROUP BY 1) AS moved),
+bad AS (SELECT host FROM ranks WHERE k = {rounds} AND distrust - trust > 0.5::DOUBLE * (1 - 0.85::DOUBLE))
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END AS verdict FROM ruled
 """
 

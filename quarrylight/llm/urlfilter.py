@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm.store import drop, save, saved
+from quarrylight.llm.store import Scratch, saved
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Host and path of absolute and scheme-relative links.
@@ -56,13 +56,16 @@ def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return parts.where("src <> '' and src <> dst").distinct()
 
 
-def spread(hosts: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 10) -> DataFrame:
+def spread(hosts: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-5) -> DataFrame:
     """Personalised PageRank of trust along the links and of distrust against them.
 
     ``hosts`` has (host, trusted, blocked) seeds between 0 and 1. Returns (host, trust, distrust),
     scaled so that a seed of 1 without links keeps 1 - damping. A host's trust goes out in equal
-    shares over its links, its distrust in equal shares over the links to it. Each round's table is
-    written to the shared folder.
+    shares over its links, its distrust in equal shares over the links to it. Rounds go on until all
+    hosts together change by less than ``tolerance`` of the seeds' sum; a round changes at most
+    ``damping`` of what the one before did, so they end. Each round's table is written to the shared
+    folder. A round sums up what flows to a host on the map side first, and hosts of very many links
+    are for the skew join of adaptive execution.
     """
     spark = hosts.sparkSession
     out = edges.groupBy("src").agg((1 / F.count("*")).alias("wt"))
@@ -70,27 +73,27 @@ def spread(hosts: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: in
     zero = F.lit(0.0)
     forth = edges.join(out, "src").select(F.col("src").alias("at"), F.col("dst").alias("to"), "wt", zero.alias("wd"))
     back = edges.join(into, "dst").select(F.col("dst").alias("at"), F.col("src").alias("to"), zero.alias("wt"), "wd")
-    flows = saved(forth.unionByName(back), "flows")
+    scratch = Scratch(spark)
+    flows = scratch.save(forth.unionByName(back), "flows")
     start = hosts.select("host", ((1 - damping) * F.col("trusted")).alias("t0"), ((1 - damping) * F.col("blocked")).alias("d0"))
-    state = start.select("host", "t0", "d0", F.col("t0").alias("trust"), F.col("d0").alias("distrust"))
+    state = start.select("host", "t0", "d0", F.col("t0").alias("trust"), F.col("d0").alias("distrust"), zero.alias("change"))
     if flows.isEmpty():  # every round would leave the seeds as they are
         return state.select("host", "trust", "distrust")
-    path = None
-    for _ in range(rounds):
+    seeds = state.agg(F.sum(F.col("t0") + F.col("d0"))).first()[0] or 0.0
+    changed = seeds
+    while changed > tolerance * seeds:
         moved = flows.join(state.select(F.col("host").alias("at"), "trust", "distrust"), "at").groupBy(F.col("to").alias("host")).agg(
             F.sum(F.col("trust") * F.col("wt")).alias("it"), F.sum(F.col("distrust") * F.col("wd")).alias("id")
         )
-        new = state.select("host", "t0", "d0").join(moved, "host", "left").select(
-            "host", "t0", "d0", (F.col("t0") + damping * F.coalesce("it", zero)).alias("trust"), (F.col("d0") + damping * F.coalesce("id", zero)).alias("distrust")
-        )
-        state, new_path = save(new, "ranks")
-        if path:
-            drop(spark, path)
-        path = new_path
+        trust, distrust = F.col("t0") + damping * F.coalesce("it", zero), F.col("d0") + damping * F.coalesce("id", zero)
+        change = F.abs(trust - F.col("trust")) + F.abs(distrust - F.col("distrust"))
+        state = scratch.save(state.join(moved, "host", "left").select("host", "t0", "d0", trust.alias("trust"), distrust.alias("distrust"), change.alias("change")), "ranks")
+        changed = state.agg(F.sum("change")).first()[0]
+    scratch.free("flows")
     return state.select("host", "trust", "distrust")
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: tuple[Rule, ...] = RULES, damping: float = 0.85, rounds: int = 10, margin: float = 0.5) -> DataFrame:
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: tuple[Rule, ...] = RULES, damping: float = 0.85, margin: float = 0.5) -> DataFrame:
     """Per page: id_col, host, path, rule, verdict.
 
     A rule's verdict stands. Other pages get their host's: ``block`` if its distrust exceeds its
@@ -108,7 +111,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     links = saved(host_links(pages, url_col, html_col), "links")
     linked = links.select(F.col("dst").alias("host"), "path").distinct().join(crawled, "host", "left_anti")
     seeds = linked.withColumn("fit", rule_for(F.col("host"), F.col("path"), rules)).groupBy("host").agg(*shares)
-    ranks = spread(saved(crawled.unionByName(seeds), "hosts"), saved(links.select("src", "dst").distinct(), "edges"), damping, rounds)
+    ranks = spread(saved(crawled.unionByName(seeds), "hosts"), saved(links.select("src", "dst").distinct(), "edges"), damping)
     bad = ranks.where(F.col("distrust") - F.col("trust") > margin * (1 - damping)).select("host", F.lit("block").alias("spread"))
     judged = placed.join(bad, "host", "left")
     return judged.select(id_col, "host", "path", F.col("fit.name").alias("rule"), F.coalesce("fit.verdict", "spread", F.lit("allow")).alias("verdict"))
