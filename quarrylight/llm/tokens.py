@@ -19,9 +19,13 @@ PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-¬®-ɏ‘-”€]*")
 
 @functools.cache
 def reference(path: str = VOCABULARY) -> Tokenizer:
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return tokenizer
+    return Tokenizer.from_file(path)
+
+
+@functools.cache
+def special(path: str = VOCABULARY) -> re.Pattern:
+    """The vocabulary's added tokens: their strings in a text are one id each."""
+    return re.compile("|".join(re.escape(token.content) for token in reference(path).get_added_tokens_decoder().values()) or r"(?!)")
 
 
 @functools.cache
@@ -33,6 +37,6 @@ def fast(path: str = RANKS) -> tiktoken.Encoding:
 
 def token_ids(text: str) -> np.ndarray:
     """The ids that the vocabulary's own tokenizer gives, without special tokens."""
-    if PLAIN.fullmatch(text):
+    if PLAIN.fullmatch(text) and not special().search(text):
         return np.array(fast().encode_ordinary(text), dtype="<u4")
     return np.array(reference().encode(text, add_special_tokens=False).ids, dtype="<u4")
