@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from quarrylight.llm.store import saved
 
-#: Candidates kept beyond k while scores are still those of matrix products.
-SLACK = 8
+#: Scores of matrix products may differ from exact ones by so much of the product of norms.
+ROUNDING = 1e-11
 
 
 class VpTree:
@@ -71,16 +71,22 @@ class VpTree:
         return np.sqrt(np.maximum(0, 2 * self.m2 - 2 * inner))
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query row, id, score) of each query's k best here, without its own id."""
-        wide = min(k + 1 + SLACK, len(self.x))
-        self.q, self.q2 = queries, np.einsum("ij,ij->i", queries, queries)
-        self.best = np.full((len(queries), wide), -np.inf)
-        self.at = np.zeros((len(queries), wide), np.int64)
+        """(query row, id, score) of each query's k best here, without its own id; ties go to the smaller id."""
+        self.q, self.q2, self.k = queries, np.einsum("ij,ij->i", queries, queries), min(k + 1, max(1, len(self.x)))
+        self.slack = ROUNDING * np.sqrt(self.q2 * self.m2)
+        self.best = np.full((len(queries), self.k), -np.inf)
+        # per visited leaf: query rows, places and scores that may still be among the best
+        self.met: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if len(self.x):
             self._visit(self.root, np.arange(len(queries)), factor)
-        rows, ids, scores = [], [], []
+        rows, places, scores = (np.concatenate(x) for x in zip(*self.met, strict=True))
+        kept = scores >= self.best[rows, 0] - self.slack[rows]
+        rows, places = rows[kept], places[kept]
+        order = np.argsort(rows, kind="stable")
+        bounds = np.searchsorted(rows[order], np.arange(len(queries) + 1))
+        out_rows, ids, out_scores = [], [], []
         for r in range(len(queries)):
-            at = self.at[r][np.isfinite(self.best[r])]
+            at = places[order[bounds[r] : bounds[r + 1]]]
             exact = (self.x[at] * queries[r]).sum(axis=1)
             each = [self.ids[a] for a in at]
             found = np.concatenate(each) if each else np.zeros(0, np.int64)
@@ -88,35 +94,34 @@ class VpTree:
             other = found != query_ids[r]
             found, score = found[other], score[other]
             top = np.lexsort((found, -score))[:k]
-            rows.append(np.full(len(top), r))
+            out_rows.append(np.full(len(top), r))
             ids.append(found[top])
-            scores.append(score[top])
-        return np.concatenate(rows), np.concatenate(ids), np.concatenate(scores)
+            out_scores.append(score[top])
+        return np.concatenate(out_rows), np.concatenate(ids), np.concatenate(out_scores)
 
     def _reach(self, rows: np.ndarray) -> np.ndarray:
         """The distance of the worst candidate kept so far."""
-        return np.sqrt(np.maximum(0, self.q2[rows] + self.m2 - 2 * self.best[rows].min(axis=1)))
+        return np.sqrt(np.maximum(0, self.q2[rows] + self.m2 - 2 * self.best[rows, 0]))
 
     def _visit(self, node: int, rows: np.ndarray, factor: float) -> None:
         if not len(rows):
             return
         if node < 0:
             start, end = self.leaves[-node - 1]
-            scores = np.concatenate((self.best[rows], self.q[rows] @ self.x[start:end].T), axis=1)
-            places = np.concatenate((self.at[rows], np.broadcast_to(np.arange(start, end), (len(rows), end - start))), axis=1)
-            wide = self.best.shape[1]
-            top = np.argpartition(-scores, wide - 1, axis=1)[:, :wide]
-            self.best[rows] = np.take_along_axis(scores, top, axis=1)
-            self.at[rows] = np.take_along_axis(places, top, axis=1)
+            scores = self.q[rows] @ self.x[start:end].T
+            # the k + 1 best scores so far, the worst first; what ties with it stays among the met
+            self.best[rows] = np.sort(np.partition(np.concatenate((self.best[rows], scores), axis=1), -self.k, axis=1)[:, -self.k :], axis=1)
+            r, p = np.nonzero(scores >= (self.best[rows, 0] - self.slack[rows])[:, None])
+            self.met.append((rows[r], start + p, scores[r, p]))
             return
         vantage, radius, inside, outside = self.nodes[node]
         away = np.sqrt(np.maximum(0, self.q2[rows] + self.m2 - 2 * (self.q[rows] @ self.x[vantage])))
         near = away <= radius
         self._visit(inside, rows[near], factor)
         self._visit(outside, rows[~near], factor)
-        # the other side can't be nearer than the gap to the sphere
+        # the other side can't be nearer than the gap to the sphere; 1e-6 covers the rounding of distances
         gap = np.abs(away - radius)
-        far = gap <= factor * self._reach(rows) + 1e-9
+        far = gap <= factor * self._reach(rows) + 1e-6 * (1 + np.sqrt(self.q2[rows] + self.m2))
         self._visit(outside, rows[near & far], factor)
         self._visit(inside, rows[~near & far], factor)
 
@@ -138,7 +143,7 @@ def _packed(**arrays: np.ndarray) -> bytes:
 
 
 def nearest(
-    vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, factor: float = 0.5, shard_size: int = 8192, block_size: int = 512
+    vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, factor: float = 0.5, shard_size: int = 8192, block_size: int = 2048
 ) -> DataFrame:
     """Each query row's k nearest other rows by inner product: query_id, rank, id_col, score.
 
@@ -146,7 +151,9 @@ def nearest(
     meets every shard's tree, in blocks of about ``block_size`` queries. The triangle inequality
     prunes a subtree when its gap exceeds ``factor`` times the reach of the candidates; factor 1 is
     exact search, a smaller one prunes more and may miss neighbours. Scores are inner products of
-    the original vectors in double precision; ties go to the smaller id.
+    the original vectors in double precision; ties go to the smaller id, and within what is searched
+    all that tie with the last are compared by id. A visit ships one tree and one block, both of
+    bounded size.
 
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows
     without an id; vectors of another length are apart. Of rows that share an id, the one with the
