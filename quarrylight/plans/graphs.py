@@ -114,7 +114,7 @@ def frontier(spark, d):
     return G.crawl(links.agg(F.min("src").alias("url")), links, 3)
 
 
-@catalog("discovered_nodes")
+@catalog("discovered_nodes", r"""SELECT DISTINCT 'faculty_list_url:url:' || regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || h AS node_key, 83.0::DOUBLE AS priority_score, 1 AS depth FROM (SELECT url, unnest(regexp_extract_all(html, '<a [^>]*?href="(/[^"]*)"', 1)) AS h FROM pages)""")
 def discovered_nodes(spark, d):
     """Nodes of the links that captured pages hold."""
     found = H.page_links(table(spark, d, "pages"))

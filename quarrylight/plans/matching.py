@@ -80,9 +80,13 @@ def edges(spark, d):
     return R.upsert_edges(found)
 
 
-@catalog("node_upsert_fold")
+_RANK = "list_position(['pending', 'retry', 'in_progress', 'skipped', 'failed', 'done'], {})"
+
+
+@catalog("node_upsert_fold", f"""SELECT CAST(user_id AS VARCHAR) AS node_key, max(value) AS priority_score, max(value) AS base_priority, 1.0::DOUBLE AS confidence, CAST(min(event_id % 4) AS INT) AS depth,
+list_reduce(list(['pending', 'retry', 'in_progress', 'skipped', 'failed', 'done'][event_id % 6 + 1] ORDER BY event_id), lambda c, i: CASE WHEN c = i OR c = 'done' THEN c WHEN c IN ('failed', 'skipped') AND i IN ('pending', 'retry') THEN 'retry' WHEN {_RANK.format("i")} >= {_RANK.format("c")} THEN i ELSE c END) AS status FROM events GROUP BY 1""")
 def node_fold(spark, d):
-    """Statuses fold in event order; a fold has no SQL twin, its rules are tested on their own."""
+    """Statuses fold in event order."""
     status = F.element_at(F.array(*map(F.lit, ["pending", "retry", "in_progress", "skipped", "failed", "done"])), (F.col("event_id") % 6 + 1).cast("int"))
     found = table(spark, d, "events").select(F.col("user_id").cast("string").alias("node_key"), status.alias("status"), F.col("event_id").alias("seq"), F.col("value").alias("priority_score"), F.col("value").alias("base_priority"), F.lit(1.0).alias("confidence"), (F.col("event_id") % 4).cast("int").alias("depth"))
     return R.upsert_nodes(found)

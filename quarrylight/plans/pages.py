@@ -87,7 +87,9 @@ def same_site(spark, d):
     return links.where(own).groupBy("page_id").agg(F.count("*").alias("n"))
 
 
-@catalog("structural_links")
+@catalog("structural_links", r"""WITH l AS (SELECT page_id, url, regexp_extract_all(html, '<li><a href="(/[^"]*)">', 1) AS h, regexp_extract_all(html, '<li><a href="/[^"]*">([^<]*)</a>', 1) AS t FROM pages),
+x AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || h[i] AS url, t[i] AS anchor_text, i FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM l))
+SELECT page_id, url, arg_max(anchor_text, [length(anchor_text), -i]) AS anchor_text, '' AS heading_text, 'ul>nav' AS context, CAST(min(i) AS INT) AS link_order FROM x GROUP BY page_id, url""")
 def structural_links(spark, d):
     links = H.page_links(pages(spark, d))
     return links.select(F.col("id").alias("page_id"), "url", "anchor_text", "heading_text", F.array_join("context", ">").alias("context"), "link_order")

@@ -139,7 +139,9 @@ def org_names(spark, d):
     return joined.select("n_name", P.merge_org_names(F.col("n_name"), F.concat_ws(" / ", "r_name", "n_name")).alias("merged"))
 
 
-@catalog("chunk_messages")
+@catalog("chunk_messages", r"""WITH m AS (SELECT conv_id, turn, trim(p, E' \t\n\r') AS p, list_filter(regexp_split_to_array(p, '\s+'), lambda w: w <> '') AS w FROM (SELECT conv_id, turn, text AS p FROM conversations))
+SELECT conv_id, turn, 0 AS chunk, p AS text FROM m WHERE len(w) BETWEEN 1 AND 64
+UNION ALL SELECT conv_id, turn, k::INT, array_to_string(w[64 * k + 1:64 * k + 64], ' ') FROM (SELECT *, unnest(range(0, (len(w) + 63) // 64)) AS k FROM m WHERE len(w) > 64)""")
 def chunk_messages(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(chunk_text(64)("text")).alias("chunk", "text"))
 
