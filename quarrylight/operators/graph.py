@@ -88,6 +88,34 @@ def crawl(seeds: DataFrame, links: DataFrame, max_depth: int = 3) -> DataFrame:
     return seen
 
 
+def claim_loop(nodes: DataFrame, links: DataFrame, at_once: int, rounds: int, max_depth: int = 3) -> DataFrame:
+    """Nodes after up to ``rounds`` of claiming the ``at_once`` best, reading their pages and adding what these link to.
+
+    ``nodes`` has (id, base_priority, confidence, depth, status, attempt_count), ``links`` (src, dst,
+    base_priority, confidence) the captured pages. A claimed node with a page is done, one without is
+    tried again later; what it links to waits one level deeper, unless it is known or too deep. A
+    node is claimed once a run. Adds round, NULL for what was never claimed. Only the claimed ids,
+    ``at_once`` a round, are broadcast; each round's nodes are written to the shared folder.
+    """
+    nodes = saved(nodes.select("id", "base_priority", "confidence", "depth", "status", "attempt_count").withColumn("round", F.lit(None).cast("int")))
+    pages = links.select(F.col("src").alias("id"), F.lit(True).alias("has_page")).distinct()
+    for k in range(1, rounds + 1):
+        claimed = claim_next(nodes, nodes.where("round is not null"), at_once).select("id", "depth").join(pages, "id", "left")
+        claimed = saved(claimed)
+        if claimed.isEmpty():
+            break
+        state = nodes.join(F.broadcast(claimed.select("id", F.coalesce("has_page", F.lit(False)).alias("got"))), "id", "left")
+        hit = F.col("got").isNotNull()
+        state = state.withColumns({
+            "status": F.when(F.col("got"), "done").when(hit, "retry").otherwise(F.col("status")), "attempt_count": F.col("attempt_count") + hit.cast("int"), "round": F.when(hit, k).otherwise(F.col("round")),
+        }).drop("got")
+        found = links.join(F.broadcast(claimed.where(F.col("depth") < max_depth).select(F.col("id").alias("src"), "depth")), "src")
+        found = found.groupBy(F.col("dst").alias("id")).agg(F.max("base_priority").alias("base_priority"), F.max("confidence").alias("confidence"), (F.min("depth") + 1).alias("depth"))
+        new = found.join(nodes.select("id"), "id", "left_anti").select("id", "base_priority", "confidence", "depth", F.lit("pending").alias("status"), F.lit(0).alias("attempt_count"), F.lit(None).cast("int").alias("round"))
+        nodes = saved(state.unionByName(new))
+    return nodes
+
+
 def knowledge_graph(universities: DataFrame, units: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes (source_key, node_type, name) and edges (source, target, relation, weight) of directory tables.
 

@@ -13,7 +13,8 @@ from quarrylight.functions.classify import excluded_unit
 from quarrylight.functions.text import text_of
 from quarrylight.operators.ladder import ladder_match
 from quarrylight.operators.merge import repair_identities
-from quarrylight.sources.tables import saved
+from quarrylight.operators.writes import moved_rows
+from quarrylight.sources.tables import saved, with_columns
 
 AUDIT = ["entity_type", "entity_id", "issue_type", "field_name", "reason", "confidence", "action"]
 #: What marks a profile that was made up from a page's navigation.
@@ -79,6 +80,20 @@ def academician_matches(people: DataFrame, academicians: DataFrame) -> DataFrame
     ])
 
 
+def promote(people: DataFrame, affiliations: DataFrame, academicians: DataFrame, promoted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """People named in ``promoted`` (id) become academicians of their first unit: (people, affiliations, academicians) after.
+
+    New rows get ids behind the academicians' own. One who is there by name and unit gains what they lack.
+    """
+    promoted = saved(promoted.distinct())
+    unit = affiliations.groupBy(F.col("professor_id").alias("id")).agg(F.min("org_unit_id").alias("org_unit_id"))
+    last = academicians.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    moving = people.join(promoted, "id", "left_semi").drop("org_unit_id").join(unit, "id", "left").withColumn("id", F.col("id") + last)
+    moving = with_columns(moving, academicians.schema)
+    _, more = moved_rows(moving, academicians, moving.select("id"), {"title": F.lit("院士")} if "title" in academicians.columns else None)
+    return saved(people.join(promoted, "id", "left_anti")), affiliations.join(promoted.withColumnRenamed("id", "professor_id"), "professor_id", "left_anti"), saved(more)
+
+
 def run(tables: dict[str, DataFrame], apply: bool) -> tuple[dict[str, DataFrame], DataFrame]:
     """The stages in order over org_units, professors, professor_affiliations, academicians, crawl_logs
     and crawl_extraction_failures: (tables after the run, audits).
@@ -120,6 +135,8 @@ def run(tables: dict[str, DataFrame], apply: bool) -> tuple[dict[str, DataFrame]
     hinted = t["professors"].where(F.concat_ws(" ", "title", "bio").rlike("(?i)院士|academician"))
     promoted = hinted.where(P.claims_academician(F.col("name"), F.col("title"), F.col("bio")))
     audits.append(audit(promoted, "professor", "academician_promotion", F.lit("bio_academician"), F.lit(0.95), apply, action="moved"))
+    if apply:
+        t["professors"], t["professor_affiliations"], t["academicians"] = promote(t["professors"], t["professor_affiliations"], t["academicians"], promoted.select("id"))
     backfill = t["professors"].where(F.btrim(text_of(F.col("research_areas"))) == "").withColumn("found", P.infer_research(F.col("bio"))).where("found is not null")
     audits.append(audit(backfill, "professor", "research_backfill", F.lit("bio_inference"), F.lit(0.80), apply, F.lit("research_areas")))
     if apply:

@@ -114,6 +114,20 @@ def frontier(spark, d):
     return G.crawl(links.agg(F.min("src").alias("url")), links, 3)
 
 
+def order_links(spark, d):
+    """Orders as pages that link to others by their lines; large orders have no page."""
+    l = table(spark, d, "lineitem")  # noqa: E741
+    links = l.groupBy(F.col("l_orderkey").alias("src"), (F.col("l_orderkey") + F.col("l_linenumber") * 32).alias("dst")).agg(F.max("l_quantity").alias("base_priority"))
+    return links.where("src % 7 <> 0").withColumn("confidence", (F.col("dst") % 10).cast("double"))
+
+
+@catalog("claim_loop")
+def claim_loop(spark, d):
+    """Ten rounds of claiming the 20 best from the first ten orders on; tested against a plain loop."""
+    seeds = table(spark, d, "orders").where("o_orderkey < 10").select(F.col("o_orderkey").alias("id"), F.lit(60.0).alias("base_priority"), F.lit(1.0).alias("confidence"), F.lit(0).alias("depth"), F.lit("pending").alias("status"), F.lit(0).alias("attempt_count"))
+    return G.claim_loop(seeds, order_links(spark, d), 20, 10, 5)
+
+
 @catalog("discovered_nodes", r"""SELECT DISTINCT 'faculty_list_url:url:' || regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || h AS node_key, 83.0::DOUBLE AS priority_score, 1 AS depth FROM (SELECT url, unnest(regexp_extract_all(html, '<a [^>]*?href="(/[^"]*)"', 1)) AS h FROM pages)""")
 def discovered_nodes(spark, d):
     """Nodes of the links that captured pages hold."""

@@ -110,6 +110,39 @@ def one_code(spark, text):
     return spark.createDataFrame([(text,)], "m string").select(L.http_code(F.col("m")).alias("c")).first().c
 
 
+def test_claim_loop_equals_a_plain_loop(spark):
+    from quarrylight.operators import graph as G
+
+    links = [(a, b, float((a * 7 + b * 3) % 50), float(b % 10)) for a in range(60) for b in {(a * 3 + 1) % 97, (a * 5 + 2) % 97, (a + 40) % 97} if a % 7]
+    seeds = [(k, 60.0, 1.0, 0, "pending", 0) for k in range(5)]
+    schema = "id long, base_priority double, confidence double, depth int, status string, attempt_count int"
+    got = G.claim_loop(spark.createDataFrame(seeds, schema), spark.createDataFrame(links, "src long, dst long, base_priority double, confidence double"), 4, 6, 3)
+    nodes, pages = {s[0]: [*s[1:], None] for s in seeds}, {x[0] for x in links}
+    for k in range(1, 7):
+        waiting = sorted((i for i, n in nodes.items() if n[3] in ("pending", "retry") and n[5] is None), key=lambda i: (-(nodes[i][0] - 5 * nodes[i][4]), -nodes[i][1], nodes[i][2], nodes[i][4], i))[:4]
+        found = {}
+        for i in waiting:
+            nodes[i][3:] = ["done" if i in pages else "retry", nodes[i][4] + 1, k]
+            if nodes[i][2] < 3:
+                for _, b, p, c in (x for x in links if x[0] == i):
+                    old = found.get(b, (p, c, nodes[i][2]))
+                    found[b] = (max(p, old[0]), max(c, old[1]), min(nodes[i][2], old[2]))
+        for b, (p, c, depth) in found.items():
+            nodes.setdefault(b, [p, c, depth + 1, "pending", 0, None])
+    assert {r.id: [r.base_priority, r.confidence, r.depth, r.status, r.attempt_count, r.round] for r in got.collect()} == nodes
+
+
+def test_steward_promotes_into_the_other_table(spark):
+    t = steward_tables(spark)
+    more = spark.createDataFrame([person(9, "钱七", bio="钱七，2019年当选中国科学院院士。", email="q@a.cn")], PERSON)
+    t["professors"] = t["professors"].unionByName(more)
+    before = t["academicians"].count()
+    after, audits = steward.run(t, apply=True)
+    assert 9 not in {r.id for r in after["professors"].collect()}
+    assert after["academicians"].count() == before + 1 and "钱七" in {r.name for r in after["academicians"].collect()}
+    assert audits.where("issue_type = 'academician_promotion'").first().action == "moved"
+
+
 def test_steward_dry_run_changes_nothing(spark):
     t = steward_tables(spark)
     after, audits = steward.run(t, apply=False)
