@@ -22,11 +22,8 @@ BLOCK = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noframes".split())
 NEVER = frozenset("head script style noscript template iframe object svg math canvas audio video button select option textarea input label fieldset dialog nav footer aside menu search title xmp noframes".split())
-#: Words of class and id values and roles that mark what isn't the article.
-MARKS = frozenset(
-    "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr notice notices alert warning sidebar sidebars menu nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar footer masthead comment comments respond replies disqus share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay paywall widget skip hidden contentinfo complementary search toc".split()
-)
-STEMS = ("commentl", "commentf", "commentb", "comments", "advert", "sponsor", "cookie", "sidebar", "newsletter", "breadcrumb", "navig", "subscri")
+#: Parts of class names count whole and by so many letters at their start.
+STEM = 6
 HOME = frozenset("html body main article".split())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|([^<]+|<)",
@@ -60,6 +57,45 @@ def _marked(name: str, attributes: str) -> bool:
     return False
 
 
+def _name_parts(attributes: str) -> list[str]:
+    """The words of an element's class, id and role, without those that say what it has or is about, and their stems."""
+    out = []
+    for key, value in ATTRIBUTE.findall(attributes or ""):
+        if key.lower() in ("class", "id", "role"):
+            words = [w for w in value.strip("\"'").lower().split() if not MODIFIER.fullmatch(w)]
+            for part in (part for w in words for part in PART.findall(w)):
+                out += [part, part[:STEM] + "*"] if len(part) > STEM else [part] if len(part) < STEM else [part, part + "*"]
+    return out
+
+
+def fit_names(pages: list[tuple[str, str]]) -> dict[str, float]:
+    """Weights of class name parts from labelled pages: how often the text of the innermost element
+    with a class is content (towards 1) or not (towards -1)."""
+    inside: Counter = Counter()
+    seen: Counter = Counter()
+    for page, content in pages:
+        lines, stack = set(content.split("\n")), []
+        for token in TOKEN.finditer(page):
+            name = (token[2] or token[5] or "").lower()
+            if token[7] is not None:
+                words = " ".join(html.unescape(token[7]).split())
+                parts = next((p for _, p in reversed(stack) if p), [])
+                for part in set(parts) if words else ():
+                    seen[part] += 1
+                    inside[part] += any(words in line for line in lines)
+            elif name and (token[1] or token[4]):
+                at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+                del stack[len(stack) if at is None else at :]
+            elif name and name not in VOID:
+                stack.append((name, _name_parts(token[3] or token[6])))
+    return {part: 2 * (inside[part] + 0.1) / (n + 0.2) - 1 for part, n in seen.items()}
+
+
+@functools.cache
+def name_weights() -> dict[str, float]:
+    return fit_names(PAGES)
+
+
 def _named(name: str, attributes: str, nested: bool) -> bool:
     """Whether the class, id or role of an element, or its being a form, hint that it isn't part of an article.
 
@@ -69,12 +105,8 @@ def _named(name: str, attributes: str, nested: bool) -> bool:
         return True
     if not attributes or name in ("html", "body", "main") or name == "article" and not nested:
         return False
-    for key, value in ATTRIBUTE.findall(attributes):
-        if key.lower() in ("class", "id", "role"):
-            words = [w for w in value.strip("\"'").lower().split() if not MODIFIER.fullmatch(w)]
-            if any(part in MARKS or part.startswith(STEMS) for w in words for part in PART.findall(w)):
-                return True
-    return False
+    weights = name_weights()
+    return min((weights.get(part, 0.0) for part in _name_parts(attributes)), default=0.0) < -0.5
 
 
 class Held(NamedTuple):
@@ -128,6 +160,7 @@ def _pieces(page: str, wrappers: set[int]) -> tuple[list[Piece], dict[int, Held]
     stack: list[tuple[str, bool, bool, int]] = []  # name, off, off for good, place if off by name
     off = firm = home = link = articles = 0
     named: dict[int, Held] = {}  # from the element's start on, until it ends
+    held: Counter = Counter()  # how many elements of a name are open: a stray closing tag needs no search
     seen, shown = Held(), Held()
     has_home = False
     breaks = True
@@ -159,9 +192,10 @@ def _pieces(page: str, wrappers: set[int]) -> tuple[list[Piece], dict[int, Held]
         if name in BLOCK:
             breaks = True
         if closing:
-            opened = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if opened is not None:
+            if held[name]:
+                opened = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name)
                 for gone, was_off, was_firm, since in stack[opened:]:
+                    held[gone] -= 1
                     off, firm, home, link, articles = off - was_off, firm - was_firm, home - (gone in ("article", "main")), link - (gone == "a"), articles - (gone == "article")
                     if since >= 0:
                         named[since] = seen.since(named[since])
@@ -180,11 +214,13 @@ def _pieces(page: str, wrappers: set[int]) -> tuple[list[Piece], dict[int, Held]
                 off = firm = 0
             if not (attributes or "").rstrip().endswith("/") or name in HOME:
                 if name in ("p", "li", "dt", "dd", "td", "th", "tr", "option") and stack and stack[-1][0] == name:
-                    _, was_off, was_firm, since = stack.pop()
+                    gone, was_off, was_firm, since = stack.pop()
+                    held[gone] -= 1
                     off, firm = off - was_off, firm - was_firm
                     if since >= 0:
                         named[since] = seen.since(named[since])
                 stack.append((name, is_off, is_firm, place if by_name else -1))
+                held[name] += 1
                 if by_name:
                     named[place] = seen
                 off, firm, home, link, articles = off + is_off, firm + is_firm, home + (name in ("article", "main")), link + (name == "a"), articles + (name == "article")

@@ -13,3 +13,13 @@ PAGES = [
     (f'<body><article><h1>Basin</h1><p>{_P}</p><div class="advert">Seeds for less at the market.</div><p>{_R}</p><form><label>Your mail</label><input></form></article><div>All rights with the valley.</div></body>', f"Basin\n{_P}\n{_R}"),
     (f"<table><tr><td><a href='/1'>One</a></td><td><a href='/2'>Two</a></td></tr></table><table><tr><td><p>{_Q}</p><p>{_P}</p></td></tr></table>", f"{_Q}\n{_P}"),
 ]
+
+# Class names seen on pages, by what the block that carries them holds; each makes a labelled page of its own.
+ASIDE_NAMES = (
+    "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr notice notices alert warning sidebar sidebars menu nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar footer masthead comment comments respond replies disqus share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay paywall widget skip hidden contentinfo complementary search toc"
+).split()
+TEXT_NAMES = "content article post entry story main body text page prose section chapter paragraph summary lead".split()
+
+_SHORT = "Seeds for less at the market, and more of them each week."
+PAGES += [(f'<body><div class="{name}">{_SHORT}</div><div><h1>Wall</h1><p>{_P}</p><p>{_R}</p></div></body>', f"Wall\n{_P}\n{_R}") for name in ASIDE_NAMES]
+PAGES += [(f'<body><div><a href="/a">Seeds</a> <a href="/b">Pots</a></div><div class="{name}"><h1>Gate</h1><p>{_Q}</p><p>{_P}</p></div></body>', f"Gate\n{_Q}\n{_P}") for name in TEXT_NAMES]
