@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
-from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +30,9 @@ class ShardStore:
 
     ``append`` adds each file that Spark writes as a small shard. ``compact`` merges shards of like
     size into files of about ``target`` bytes. Readers see one version whole; a job that fails, or
-    loses executors for good, leaves files that no manifest names and ``vacuum`` deletes them.
+    loses executors for good, leaves files that no manifest names and ``vacuum`` deletes them once
+    they are old enough not to be another writer's. Two writers can't commit one version: the later
+    one starts again from the version that the other has made.
     The manifest has a line for each file, so it grows with the files and not with the rows.
     """
 
@@ -91,24 +93,50 @@ class ShardStore:
 
     # -- shards --------------------------------------------------------------------------------
 
-    def _write(self, df: DataFrame) -> list[Shard]:
-        """Write a new folder of files; those with rows are shards."""
+    def _write(self, df: DataFrame, by: str | None = None) -> dict[str | None, list[Shard]]:
+        """Write a new folder of files, with one below it for each value of ``by``; those with rows are shards.
+
+        Their rows are counted by a scan without columns, which reads the files' footers only.
+        """
         folder = f"data/{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(f"{self.path}/{folder}")
-        sizes = {n: size for n, size in self._names(folder).items() if n.endswith(".parquet")}
-        if not sizes:
-            return []
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(by) if by else writer).parquet(f"{self.path}/{folder}")
+        values = [n for n in self._names(folder) if n.startswith(f"{by}=")] if by else [None]
+        out: dict[str | None, list[Shard]] = {}
+        places = {}
+        for value in values:
+            at = folder if value is None else f"{folder}/{value}"
+            places |= {n: (value, at, size) for n, size in self._names(at).items() if n.endswith(".parquet")}
+        if not places:
+            return out
+        paths = sorted({f"{self.path}/{at}" for _, at, _ in places.values()})
         name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-        counts = self.spark.read.schema(df.schema).parquet(f"{self.path}/{folder}").select(name.alias("n")).groupBy("n").count().collect()  # a row for each file
-        return [Shard(f"{folder}/{r[0]}", r[1], sizes[r[0]]) for r in counts]
+        fields = T.StructType([f for f in df.schema if f.name != by])
+        files = self.spark.read.schema(fields).parquet(*paths).select(name.alias("n")).groupBy("n").count()
+        for n, rows in files.collect():  # a row for each file
+            value, at, size = places[n]
+            key = None if value is None else value.split("=", 1)[1]
+            out.setdefault(key, []).append(Shard(f"{at}/{n}", rows, size))
+        return out
+
+    def _add(self, schema: T.StructType, shards: list[Shard]) -> int:
+        """Commit shards on top of the newest version, whichever that is by now."""
+        while True:
+            version = self.version()
+            known, old = self.manifest(version)
+            if known is not None and [(f.name, f.dataType) for f in known] != [(f.name, f.dataType) for f in schema]:
+                raise ValueError(f"columns {schema.simpleString()} differ from the store's {known.simpleString()}")
+            try:
+                return self._commit(version, known or schema, old + shards)
+            except Conflict:
+                continue
 
     def append(self, df: DataFrame) -> int:
         """Add the rows of ``df``; the files that Spark writes become shards of the next version."""
-        version = self.version()
-        schema, shards = self.manifest(version)
-        if schema is not None and [(f.name, f.dataType) for f in schema] != [(f.name, f.dataType) for f in df.schema]:
-            raise ValueError(f"columns {df.schema.simpleString()} differ from the store's {schema.simpleString()}")
-        return self._commit(version, schema or df.schema, shards + self._write(df))
+        known, _ = self.manifest()
+        if known is not None and [(f.name, f.dataType) for f in known] != [(f.name, f.dataType) for f in df.schema]:
+            raise ValueError(f"columns {df.schema.simpleString()} differ from the store's {known.simpleString()}")
+        return self._add(df.schema, self._write(df).get(None, []))
 
     def tier(self, size: int) -> int:
         return 0 if size <= self.smallest else int(math.log(size / self.smallest, self.fan)) + 1
@@ -132,11 +160,12 @@ class ShardStore:
             out.append(run)
         return [run for run in out if len(run) > 1]
 
-    def compact(self, threads: int = 4) -> int:
-        """Merge until no tier has ``fan`` shards to merge; each round is one version.
+    def compact(self) -> int:
+        """Merge until no tier has ``fan`` shards to merge; each round is one job and one version.
 
-        A merge is a job that reads its files in one task and writes one file of at most about the
-        target, without a shuffle; ``threads`` of them run side by side.
+        The rows of a run, which are at most about the target, go to one task that writes one file,
+        so a round uses as many tasks as there are runs. If another writer commits meanwhile, the
+        round is done again from that writer's version.
         """
         while True:
             version = self.version()
@@ -144,27 +173,49 @@ class ShardStore:
             runs = self.merges(shards)
             if not runs:
                 return version
-            with ThreadPoolExecutor(threads) as pool:
-                merged = list(pool.map(lambda run: self._write(self._read(schema, run).coalesce(1)), runs))
+            of = [(s.file.rsplit("/", 1)[1], k) for k, run in enumerate(runs) for s in run]
+            name, run = "_shard_file", "_shard_run"
+            numbers = F.broadcast(self.spark.createDataFrame(of, f"{name} string, {run} int"))  # a row for each file
+            read = self._read(schema, [s for run in runs for s in run]).withColumn(name, F.element_at(F.split(F.input_file_name(), "/"), -1))
+            merged = self._write(read.join(numbers, name).drop(name).repartition(len(runs), run), run)
             gone = {s.file for run in runs for s in run}
-            self._commit(version, schema, [s for s in shards if s.file not in gone] + [s for new in merged for s in new])
-
-    def vacuum(self, keep: int = 1) -> None:
-        """Delete manifests but the newest ``keep`` and the files that none of these names."""
-        newest, fs = self.version(), self._fs()
+            try:
+                self._commit(version, schema, [s for s in shards if s.file not in gone] + [s for new in merged.values() for s in new])
+            except Conflict:
+                for s in (s for new in merged.values() for s in new):
+                    self._fs().delete(self._path(s.file), False)
+
+    def vacuum(self, keep: int = 1, older: float = 86_400) -> None:
+        """Delete manifests but the newest ``keep``, and the files that none of these names and that
+        are ``older`` seconds old: younger ones may be a running writer's, or be read still."""
+        newest, fs, before = self.version(), self._fs(), (time.time() - older) * 1000
         kept = range(max(1, newest - keep + 1), newest + 1)
         named = {s.file for v in kept for s in self.manifest(v)[1]}
-        for name in self._names("manifests"):
-            if not name.startswith("v") or int(name[1:-5]) not in kept:
-                fs.delete(self._path("manifests", name), False)
-        for folder in self._names("data"):
-            files = [n for n in self._names(f"data/{folder}") if n.endswith(".parquet")]
-            live = [n for n in files if f"data/{folder}/{n}" in named]
-            if not live:
-                fs.delete(self._path("data", folder), True)
+        for status in fs.listStatus(self._path("manifests")) if fs.exists(self._path("manifests")) else []:
+            name = status.getPath().getName()
+            if status.getModificationTime() <= before and (not name.startswith("v") or int(name[1:-5]) not in kept):
+                fs.delete(status.getPath(), False)
+
+        def clear(folder: str) -> bool:
+            """Whether nothing is left in a folder after its old, unnamed files have gone."""
+            left = False
+            for status in fs.listStatus(self._path(folder)):
+                at = f"{folder}/{status.getPath().getName()}"
+                if status.isDirectory():
+                    left |= not clear(at)
+                elif at in named or status.getModificationTime() > before:
+                    left = True
+            if not left:
+                fs.delete(self._path(folder), True)
             else:
-                for n in set(files) - set(live):
-                    fs.delete(self._path("data", folder, n), False)
+                for status in fs.listStatus(self._path(folder)):
+                    at = f"{folder}/{status.getPath().getName()}"
+                    if not status.isDirectory() and at.endswith(".parquet") and at not in named and status.getModificationTime() <= before:
+                        fs.delete(status.getPath(), False)
+            return not left
+
+        for folder in self._names("data"):
+            clear(f"data/{folder}")
 
     def _read(self, schema: T.StructType, shards: list[Shard]) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*(f"{self.path}/{s.file}" for s in shards))
@@ -178,15 +229,17 @@ class ShardStore:
 
 
 def compacted(docs: DataFrame, path: str, id_col: str = "doc_id", arrivals: int = 4, target: int = 64 << 20) -> ShardStore:
-    """Append ``docs`` as ``arrivals`` batches by id hash, compacting and vacuuming after each.
+    """Write ``docs`` as ``arrivals`` batches by id hash in one job, and commit and compact one after the other.
 
     All columns and rows are kept as they are: nulls, empty and long texts, repeated rows. An empty
     table gives a store with a schema and no shards. Null ids arrive together with one of the hash
     classes.
     """
     store = ShardStore(docs.sparkSession, path, target)
+    batch = "_arrival"
+    arrived = store._write(docs.withColumn(batch, F.pmod(F.xxhash64(F.col(id_col)), F.lit(arrivals))), batch)  # one scan
     for k in range(arrivals):
-        store.append(docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(arrivals)) == k))
+        store._add(docs.schema, arrived.get(str(k), []))
         store.compact()
-        store.vacuum()
+    store.vacuum(older=0)  # nobody else writes to this store
     return store
