@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from urllib.parse import parse_qsl, urldefrag, urlencode, urljoin, urlparse, urlunparse
+from urllib.parse import urldefrag, urljoin, urlparse
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -101,76 +101,38 @@ def hrefs(html: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"<a [^>]*?href=\"([^\"]*)\""), F.lit(1))
 
 
-ASSIGN = re.compile(r"(?:document\.)?(?P<form>[A-Za-z_]\w*)\.(?P<field>[A-Za-z_]\w*)\.value\s*=\s*['\"]?(?P<page>\d+)")
-SUBMIT = re.compile(r"(?:document\.)?(?P<form>[A-Za-z_]\w*)\.submit\(")
-GOTO = re.compile(r"^(?P<prefix>\w*?)GOPAGE$", re.I)
-
-
-class Forms(HTMLParser):
-    """What page numbers a page's scripted anchors assign, its input names and its current page."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.scripts: list[str] = []
-        self.inputs: set[str] = set()
-        self.spans: list[str] = []
-        self.current = 0
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        values = {k: v or "" for k, v in attrs}
-        if tag == "a" and values.get("href"):
-            self.scripts.append(values["href"])
-        elif tag == "input" and values.get("name"):
-            self.inputs.add(values["name"].strip())
-        elif tag == "span":
-            self.spans.append(values.get("class", "").lower())
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag == "span" and self.spans:
-            self.spans.pop()
-
-    def handle_data(self, data: str) -> None:
-        if self.spans and "this-page" in self.spans[-1] and data.strip().isdigit() and not self.current:
-            self.current = int(data)
-
-
-def form_pages(html: str, url: str) -> list[tuple[str, str, int, int, str]]:
-    """(form, field, page, pages in all, synthetic url) of each other page that a form can be sent for.
-
-    With a go-to field for the form all pages up to the largest are listed, else those assigned.
-    """
-    parser = Forms()
-    parser.feed(html or "")
-    assigned: dict[tuple[str, str], set[int]] = {}
-    for script in parser.scripts:
-        found, sent = ASSIGN.search(script), SUBMIT.search(script)
-        if found and not (sent and sent["form"] != found["form"]) and int(found["page"]) > 0:
-            assigned.setdefault((found["form"], found["field"]), set()).add(int(found["page"]))
-    parsed = urlparse(url or "")
-    here = parser.current or next((int(v) for k, v in parse_qsl(parsed.query) if k.lower() in {"pagenum", "page", "p", "pn", "fromwennowpage"} and v.isdigit() and int(v)), 1)
-    out = []
-    for (form, field), pages in sorted(assigned.items()):
-        goto = any((m := GOTO.match(n)) and (not m["prefix"] or field.lower().startswith(m["prefix"].lower())) for n in parser.inputs)
-        listed = range(1, max(pages) + 1) if goto else sorted(pages)
-        for page in listed:
-            if page > 1 and page != here:
-                query = urlencode([*parse_qsl(parsed.query, keep_blank_values=True), ("form", form), ("field", field), ("to", str(page))])
-                out.append((form, field, page, max(listed), urlunparse(parsed._replace(query=query, fragment=""))))
-    return out
+# How scripted anchors set a form's page field and send it, the field that jumps to any page, and
+# the URL parameters that say which page this is.
+ASSIGN = r"(?:document\.)?([A-Za-z_]\w*)\.([A-Za-z_]\w*)\.value\s*=\s*['\"]?(\d+)"
+SUBMIT = r"(?:document\.)?([A-Za-z_]\w*)\.submit\("
+GOTO = r"(?i)^(\w*?)GOPAGE$"
+PAGE_KEYS = "pagenum|page|p|pn|fromwennowpage"
 
 
 def form_pagination(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per page that a form of a captured page leads to."""
-    id_type = pages.schema[id_col].dataType.simpleString()
+    """One row for each other page that a form of a captured page can be sent for.
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = [(key, *state) for key, url, html in part.itertuples(index=False) for state in form_pages(html, url)]
-            yield pd.DataFrame(rows, columns=["id", "form", "field", "page_index", "total_pages", "synthetic_url"])
-
-    # only pages with a script link can have any; the rest never reaches Python
-    some = pages.where(F.contains(F.lower(F.col(html_col)), F.lit("javascript:"))).select(id_col, url_col, html_col)
-    return some.mapInPandas(run, f"id {id_type}, form string, field string, page_index int, total_pages int, synthetic_url string")
+    Columns: id, form, field, page_index, total_pages, synthetic_url. The pages that scripted anchors
+    assign are summed up per form and field; where an input jumps to any page of that field, all up
+    to the largest count. The first page and the current one (marked in the text, else named by the
+    URL, else the first) are left out.
+    """
+    html, url = F.coalesce(F.col(html_col), F.lit("")), F.coalesce(F.col(url_col), F.lit(""))
+    attribute = lambda tag, name: F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b[^>]*?\b{name}\s*=\s*[\"']([^\"']+)[\"']"), F.lit(1))
+    marked = F.nullif(F.regexp_extract(html, r"(?is)<span\b[^>]*this-page[^>]*>\s*(\d+)\s*<", 1), F.lit(""))
+    named = F.nullif(F.regexp_extract(url, rf"(?i)[?&](?:{PAGE_KEYS})=0*([1-9]\d*)(?:[&#]|$)", 1), F.lit(""))
+    read = pages.select(
+        F.col(id_col).alias("id"), F.regexp_replace(url, "#.*$", "").alias("base"), F.coalesce(marked, named, F.lit("1")).cast("int").alias("here"),
+        attribute("input", "name").alias("inputs"), F.explode(attribute("a", "href")).alias("script"),
+    )
+    part = lambda k: F.regexp_extract("script", ASSIGN, k)
+    sent = F.regexp_extract("script", SUBMIT, 1)
+    set_to = read.select("id", "base", "here", "inputs", part(1).alias("form"), part(2).alias("field"), part(3).cast("int").alias("page"), sent.alias("sent")).where("page > 0 and (sent = '' or sent = form)")
+    jumps = F.exists("inputs", lambda n: n.rlike(GOTO) & F.lower(F.col("field")).startswith(F.lower(F.regexp_extract(n, GOTO, 1))))
+    forms = set_to.withColumn("jumps", jumps).groupBy("id", "base", "here", "form", "field").agg(F.max("page").alias("total_pages"), F.collect_set("page").alias("set"), F.bool_or("jumps").alias("jumps"))
+    listed = forms.withColumn("page_index", F.explode(F.when(F.col("jumps"), F.sequence(F.lit(1), "total_pages")).otherwise(F.col("set")))).where("page_index > 1 and page_index <> here")
+    synthetic = F.concat("base", F.when(F.contains("base", F.lit("?")), "&").otherwise("?"), F.lit("form="), "form", F.lit("&field="), "field", F.lit("&to="), F.col("page_index").cast("string"))
+    return listed.select("id", "form", "field", "page_index", "total_pages", synthetic.alias("synthetic_url"))
 
 
 class PlainText(HTMLParser):

@@ -100,11 +100,15 @@ def test_fetch_rules_disagree_on_challenges(spark):
     assert one(spark, C.fetch_failure(F.col("x")), x=" ") is None
 
 
-def test_form_pages():
+def test_form_pagination(spark):
     html = """<form name="fromWen"><input name="fromWenNOWPAGE"><input name="fromWenGOPAGE"><span class="this-page">1</span>
     <a href="javascript:document.fromWen.fromWenNOWPAGE.value=2;document.fromWen.submit()">2</a><a href="javascript:document.fromWen.fromWenNOWPAGE.value=19;document.fromWen.submit()">19</a></form>"""
-    assert [p[2] for p in H.form_pages(html, "http://a.cn/x.jsp")] == list(range(2, 20))
-    assert [p[2] for p in H.form_pages(html.replace("fromWenGOPAGE", "q"), "http://a.cn/x.jsp")] == [2, 19]
+    rows = [(1, "http://a.cn/x.jsp#top", html), (2, "http://a.cn/x.jsp?id=7", html.replace("fromWenGOPAGE", "q")), (3, "http://a.cn/x.jsp?page=2", html.replace("this-page", "")), (4, None, None), (5, "http://a.cn", html.replace("document.fromWen.submit", "document.other.submit"))]
+    found = {}
+    for r in H.form_pagination(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        found.setdefault(r.id, {})[r.page_index] = (r.total_pages, r.synthetic_url)
+    assert sorted(found) == [1, 2, 3] and sorted(found[1]) == list(range(2, 20)) and sorted(found[2]) == [2, 19] and sorted(found[3]) == list(range(3, 20))
+    assert found[1][2] == (19, "http://a.cn/x.jsp?form=fromWen&field=fromWenNOWPAGE&to=2") and found[2][19][1] == "http://a.cn/x.jsp?id=7&form=fromWen&field=fromWenNOWPAGE&to=19"
 
 
 def test_links_have_headings_and_context(spark):
