@@ -10,18 +10,19 @@ from quarrylight.llm.store import Scratch, light
 
 #: Shingles of up to SHINGLE characters of the lower-cased line. In a run of letters and digits they start at the
 #: first and at each STEP-th character after it, else at each character that isn't white space (punctuation, and
-#: scripts that put no spaces between words). So every character is in two shingles or more, or in all there are.
-SHINGLE, STEP = 8, 3
+#: scripts that put no spaces between words). So shingles overlap and every character is in at least one.
+SHINGLE, STEP = 8, 5
 RUN = r"0-9a-z\x{80}-\x{DFF}\x{1200}-\x{167F}\x{AC00}-\x{D7A3}"
 SHINGLES = rf"(?s)(?=(\S.{{0,{SHINGLE - 1}}}))(?:[{RUN}]{{1,{STEP}}}|\S)"
 #: The hashes of a line lie on a circle; a band is the run of WIDE that follow one of BANDS even starts. Runs of
 #: WIDE agree with the fourth power of the similarity, so lines at the threshold of 0.8 meet in one of the ten
-#: with a probability of 0.992 to 0.998, by simulation. Lines of up to SHORT shingles have runs of two as well.
-BANDS, WIDE, SHORT = 10, 4, 16
+#: with a probability of 0.992 to 0.998, by simulation. Lines of up to SHORT shingles have runs of FEW as well: at
+#: the threshold, those meet with 0.98 (five shingles) to 0.999.
+BANDS, WIDE, SHORT, FEW = 10, 4, 16, 3
 STARTS = [((2 * b + 1) << 64) // (2 * BANDS) - (1 << 63) for b in range(BANDS)]
 #: Groups of up to so many lines are compared pair by pair, where not yet linked.
 PAIRWISE = 16
-#: Larger groups that share two rare shingles are cut into blocks of about so many lines; a task's cell is two blocks.
+#: Larger groups that share a rare shingle are cut into blocks of about so many lines; a task's cell is two blocks.
 BLOCK = 256
 
 
@@ -31,7 +32,9 @@ def shingle_hashes(line: Column) -> Column:
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, row, pos, line) for each line that isn't blank; ``row`` hashes id and text."""
-    cut = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
+    # the hash comes before the lines, else it would be taken once for each of them
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.split(F.col(text_col), "\n").alias("lines"))
+    cut = rows.select("id", "row", F.posexplode("lines").alias("pos", "line"))
     return cut.where(F.col("line").rlike(r"\S"))
 
 
@@ -41,28 +44,31 @@ def _banded(lines: DataFrame) -> DataFrame:
     # sorted in among the hashes, a start shows how many of them come before it
     placed = hashed.select("id", "row", "pos", "lh", F.size("h").alias("n"), F.concat("h", F.slice("h", 1, WIDE)).alias("circle"), F.sort_array(F.concat("h", F.array(*[F.lit(s) for s in STARTS]))).alias("among"))
 
-    def run(b: int, wide: int) -> Column:
-        first = (F.array_position("among", F.lit(STARTS[b])) - b).cast("int")
-        return F.xxhash64(F.lit(b), F.lit(wide), F.slice("circle", first, wide))
+    # by a lambda: written out for each start, the generated code would be too long to be compiled at run time
+    starts = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(start).alias("start")) for b, start in enumerate(STARTS)])
 
-    always, more = [[run(b, wide) for b in range(BANDS)] for wide in (WIDE, 2)]
-    return placed.select("id", "row", "pos", "lh", F.when(F.col("n") <= SHORT, F.array(*always, *more)).otherwise(F.array(*always)).alias("bands"))
+    def runs(wide: int) -> Column:
+        first = lambda s: (F.array_position("among", s["start"]) - s["b"]).cast("int")
+        return F.transform(starts, lambda s: F.xxhash64(s["b"], F.lit(wide), F.slice("circle", first(s), wide)))
 
+    few = F.when(F.col("n") <= SHORT, runs(FEW)).otherwise(F.array().cast("array<bigint>"))
+    return placed.select("id", "row", "pos", "lh", F.concat(runs(WIDE), few).alias("bands"))
 
-def _verified(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+
+def _verified(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of line hashes whose lines' shingle sets are as similar as asked."""
     pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    one, two = texts.select(F.col("lh").alias("a"), F.col("line").alias("la")), texts.select(F.col("lh").alias("b"), F.col("line").alias("lb"))
-    met = pairs.join(one, "a").join(two, "b").select("a", "b", *[F.array_distinct(shingle_hashes(F.col(x))).alias(y) for x, y in (("la", "sa"), ("lb", "sb"))])
-    sized = met.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("both"))
-    return sized.where(F.col("common") >= similarity * (F.col("both") - F.col("common"))).select("a", "b")
+    one, two = sets.select(F.col("lh").alias("a"), F.col("s").alias("sa")), sets.select(F.col("lh").alias("b"), F.col("s").alias("sb"))
+    near = F.least(F.size("sa"), F.size("sb")) >= similarity * F.greatest(F.size("sa"), F.size("sb")) - 1e-9
+    met = pairs.join(one, "a").join(two, "b").where(near).select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("both"))
+    return met.where(F.col("common") >= similarity * (F.col("both") - F.col("common"))).select("a", "b")
 
 
 def _apart(placed: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Of (key, lh, root), the rows of keys that hold several roots, with n, the key's rows, and its greatest line."""
-    keys = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.max("lh").alias("last"))
-    keys = scratch.save(keys.where("low <> high").select("key", "n", "last"), "keys")
-    return scratch.save(placed.join(F.broadcast(keys) if light(keys, 24) else keys, "key"), name)
+    keys = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"), F.max("lh").alias("last"), F.max_by("root", "lh").alias("last_root"))
+    keys = scratch.save(keys.where("low <> high").select("key", "n", "last", "last_root"), "keys")
+    return scratch.save(placed.join(F.broadcast(keys) if light(keys, 32) else keys, "key"), name)
 
 
 def _pairwise(few: DataFrame, fits: Column | None = None) -> DataFrame:
@@ -76,7 +82,7 @@ def _in_cells(rows: DataFrame, fits: Column) -> DataFrame:
     block = F.pmod(F.xxhash64("lh"), F.col("blocks"))
     cut = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", block)
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    cells = cut.withColumn("other", other).select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "pos", "size", "lh", "root")
+    cells = cut.withColumn("other", other).select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "pos", "size", "by", "lh", "root")
     once = F.expr("x.root < y.root and (x.block <> y.block or x.low = x.high)")
     met = cells.alias("x").join(cells.alias("y"), ["key", "low", "high"]).where(once & fits)
     return met.select(F.col("x.lh").alias("a"), F.col("y.lh").alias("b"))
@@ -86,54 +92,47 @@ def _prefix_length(similarity: float) -> Column:
     return F.col("size") - F.ceil(F.col("size") * similarity - 1e-9).cast("int") + 1
 
 
-def _prefixes(sets: DataFrame, many: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """(lh, root, size, by): the rarest shingles of each line of ``many`` (lh, root), one more than the prefix filter needs.
+def _prefixes(sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """(lh, root, size, by): the rarest shingles of each line of ``sets`` (lh, root, s), as many as the prefix filter needs.
 
     Shingles of few lines come first, then the common ones by their count. Only the common ones are
     joined, so lines stay whole on one task.
     """
-    held = sets.join(many, "lh").repartition("lh")
-    tokens = held.select("lh", "root", F.size("s").alias("size"), F.explode("s").alias("key"))
+    tokens = sets.repartition("lh").select("lh", "root", F.size("s").alias("size"), F.explode("s").alias("key"))
     common = scratch.save(tokens.groupBy("key").agg(F.count("*").alias("seen")).where(F.col("seen") > PAIRWISE), "common")
     few = F.broadcast(common) if light(common, 16) else common
     ranked = F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "key")
     rare = tokens.join(few, "key", "left").groupBy("lh", "root", "size").agg(F.sort_array(F.collect_list(ranked)).alias("by"))
-    return rare.select("lh", "root", "size", F.slice(F.col("by.key"), F.lit(1), _prefix_length(similarity) + 1).alias("by"))
+    return rare.select("lh", "root", "size", F.slice(F.col("by.key"), F.lit(1), _prefix_length(similarity)).alias("by"))
 
 
-def _keyed(prefixes: DataFrame, similarity: float) -> DataFrame:
-    """(key, pos, size, lh, root): each line under its rarest shingles.
+def _keyed(prefixes: DataFrame) -> DataFrame:
+    """(key, pos, size, by, lh, root): each line under its rarest shingles.
 
     The prefix filter: two sets as similar as asked share one of the |s| - ceil(similarity * |s|) + 1
     first shingles of either, in whatever order all sets keep.
     """
-    return prefixes.select("lh", "root", "size", F.posexplode(F.slice("by", F.lit(1), _prefix_length(similarity))).alias("pos", "key")).select("key", "pos", "size", "lh", "root")
+    return prefixes.select("lh", "root", "size", "by", F.posexplode("by").alias("pos", "key")).select("key", "pos", "size", "by", "lh", "root")
 
 
-def _key_pairs(prefixes: DataFrame, keyed: DataFrame) -> DataFrame:
-    """(key, pos, size, lh, root): the lines of ``keyed`` (lh, key, pos) under their shingle and each later one of ``by``.
+def _may_be_similar(similarity: float) -> Column:
+    """Whether the key is the first shingle that x and y share, and they can share enough beyond it.
 
-    Similar sets of two or more share their first two common shingles, and both have these within
-    the prefix and one more. A set of one shingle is similar to equal ones only, which its band has
-    linked. ``pos`` is one less than the second shingle's, as the first is common too.
+    A common shingle is in both prefixes, or behind the one that ends first: beyond the prefixes'
+    common ones, no more can be common than either has left. The cheap test by position comes first.
     """
-    later = F.posexplode(F.slice("by", F.col("pos") + 2, F.size("by")))
-    two = keyed.select("lh", "key", "pos").join(prefixes, "lh").select("lh", "root", "size", "key", F.col("pos").alias("at"), later.alias("k", "next"))
-    return two.select(F.xxhash64("key", "next").alias("key"), (F.col("at") + F.col("k")).alias("pos"), "size", "lh", "root")
-
-
-def _may_be_similar(similarity: float) -> Column:
-    """Whether x and y can share enough if this is their first common shingle; similar ones' first does."""
-    left = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos"))
-    return left >= (F.col("x.size") + F.col("y.size")) * (similarity / (1 + similarity)) - 1e-9
+    asked = (F.col("x.size") + F.col("y.size")) * (similarity / (1 + similarity)) - 1e-9
+    placed = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos")) >= asked
+    shared = F.array_intersect("x.by", "y.by")
+    left = F.greatest(F.col("x.size") - F.size("x.by"), F.col("y.size") - F.size("y.by"))
+    return placed & (F.size(shared) + left >= asked) & (F.get(shared, F.lit(0)) == F.col("x.key"))
 
 
-def _exact_pairs(sets: DataFrame, many: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
-    """(a, b) across the components of ``many`` (lh, root): every similar pair is among them."""
-    prefixes = scratch.save(_prefixes(sets, many, similarity, scratch), "prefixes")
-    rare, fits = _apart(_keyed(prefixes, similarity), scratch, "rare"), _may_be_similar(similarity)
-    twice = _apart(_key_pairs(prefixes, rare.where(F.col("n") > PAIRWISE)), scratch, "twice")
-    return _pairwise(rare.where(F.col("n") <= PAIRWISE), fits).unionByName(_in_cells(twice, fits))
+def _exact_pairs(sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """(a, b) across the components of ``sets`` (lh, root, s): every similar pair is among them."""
+    prefixes = scratch.save(_prefixes(sets, similarity, scratch), "prefixes")
+    rare, fits = _apart(_keyed(prefixes), scratch, "rare"), _may_be_similar(similarity)
+    return _pairwise(rare.where(F.col("n") <= PAIRWISE), fits).unionByName(_in_cells(rare.where(F.col("n") > PAIRWISE), fits))
 
 
 def line_classes(docs: DataFrame, occurrences: DataFrame, id_col: str, text_col: str, similarity: float, scratch: Scratch) -> DataFrame:
@@ -143,9 +142,8 @@ def line_classes(docs: DataFrame, occurrences: DataFrame, id_col: str, text_col:
     are in different components after that, a small group's lines are compared across components
     pair by pair, those of a large one with its greatest hash. The lines of large groups that are
     still apart are grouped anew by their rarest shingles, of which similar lines must share one;
-    these groups are compared pair by pair where small. Lines of large ones are grouped once more by
-    two rare shingles and compared pair by pair in cells of bounded size, so no such pair is left
-    out and no task holds a whole group.
+    these groups are compared pair by pair, large ones in cells of bounded size, so no such pair is
+    left out and no task holds a whole group. A pair is made only under the first shingle it shares.
     """
     banded = occurrences.select("lh", F.explode("bands").alias("band"))
     groups = banded.groupBy("band").agg(F.min("lh").alias("rep"), F.max("lh").alias("last"))
@@ -154,12 +152,13 @@ def line_classes(docs: DataFrame, occurrences: DataFrame, id_col: str, text_col:
     members = scratch.save(met.select("band", "rep", "lh").distinct(), "members")
     nodes = scratch.save(members.select("lh").distinct(), "nodes")
     lines = lines_of(docs, id_col, text_col).select(F.xxhash64("line").alias("lh"), "line")
-    texts = scratch.save(lines.join(F.broadcast(nodes) if light(nodes, 16) else nodes, "lh", "left_semi").dropDuplicates(["lh"]), "texts")
+    texts = lines.join(F.broadcast(nodes) if light(nodes, 16) else nodes, "lh", "left_semi").groupBy("lh").agg(F.first("line").alias("line"))
+    sets = scratch.save(texts.select("lh", F.array_distinct(shingle_hashes(F.col("line"))).alias("s")), "sets")
     scratch.free("groups", "nodes")
 
     def grown(links: DataFrame, pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame, bool]:
         """All links, the components they make, and whether ``pairs`` gave a new one."""
-        new = scratch.save(_verified(texts, pairs, similarity), name)
+        new = scratch.save(_verified(sets, pairs, similarity), name)
         if new.isEmpty():
             return links, roots, False
         links = links.unionByName(new) if links is not None else new
@@ -174,13 +173,13 @@ def line_classes(docs: DataFrame, occurrences: DataFrame, id_col: str, text_col:
     scratch.free("members")
     if not apart.isEmpty():
         large = apart.where(F.col("n") > PAIRWISE)
-        pairs = large.select(F.col("last").alias("a"), F.col("lh").alias("b"))
+        pairs = large.where("root <> last_root").select(F.col("last").alias("a"), F.col("lh").alias("b"))
         links, roots, _ = grown(links, _pairwise(apart.where(F.col("n") <= PAIRWISE)).unionByName(pairs), "more")
         large = _apart(placed(large.select("key", "lh")), scratch, "large")
         many = scratch.save(large.select("lh", "root").distinct(), "many")
         if not many.isEmpty():
-            sets = texts.select("lh", F.array_distinct(shingle_hashes(F.col("line"))).alias("s"))
-            links, roots, _ = grown(links, _exact_pairs(sets, many, similarity, scratch), "most")
+            held = sets.join(F.broadcast(many) if light(many, 24) else many, "lh")
+            links, roots, _ = grown(links, _exact_pairs(held, similarity, scratch), "most")
     scratch.free(*(name for name in list(scratch.paths) if name not in ("lines", "roots")))
     return roots
 
@@ -207,10 +206,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated = scratch.save(placed.groupBy("class").count().where("count > 1").select("class"), "repeated")
     copies = scratch.save(placed.join(F.broadcast(repeated) if light(repeated, 8) else repeated, "class"), "copies")
     scratch.free("lines", "roots", "repeated")
-    firsts = copies.groupBy("class").agg(F.min(F.struct("id", "row", "pos")).alias("first"))
-    dropped = copies.join(firsts, "class").where(~F.struct("id", "row", "pos").eqNullSafe(F.col("first"))).groupBy("row").agg(F.collect_set("pos").alias("gone"))
+    firsts = scratch.save(copies.groupBy("class").agg(F.min(F.struct("id", "row", "pos")).alias("first")), "firsts")
+    dropped = copies.join(F.broadcast(firsts) if light(firsts, 48) else firsts, "class").where(~F.struct("id", "row", "pos").eqNullSafe(F.col("first"))).groupBy("row").agg(F.collect_set("pos").alias("gone"))
     dropped = scratch.save(dropped, "dropped")
-    scratch.free("copies")
+    scratch.free("copies", "firsts")
     rows, places = dropped.agg(F.count("*"), F.coalesce(F.sum(F.size("gone")), F.lit(0))).first()
     gone = F.broadcast(dropped) if light(dropped, 24 + 4 * places // max(rows, 1)) else dropped
 
