@@ -1,22 +1,32 @@
 import collections
+import functools
 import hashlib
 import re
 import zlib
 
+import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
 import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from quarrylight.llm import components, decontaminate, htmltext, langid, licenses, linededup, packing, sharding, simhash, tokens, urlfilter, vptree
+from quarrylight.llm import components, decontaminate, htmltext, langid, licenses, linededup, packing, queries, sharding, simhash, tokens, urlfilter, vptree
 from quarrylight.llm.labelled_pages import PAGES
 from quarrylight.llm.store import Scratch, work_dir
 
 from .conftest import DATA
 
 
+@functools.cache
+def plain_tokenizer():
+    """The contract's own: no setting of ours."""
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 class Sets:
     def __init__(self):
         self.up = {}
@@ -49,7 +59,7 @@ def brute_shingles(line):
             since = 0
             continue
         run = c in "0123456789abcdefghijklmnopqrstuvwxyz" or 0x80 <= ord(c) <= 0xDFF or 0x1200 <= ord(c) <= 0x167F or 0xAC00 <= ord(c) <= 0xD7A3
-        if not run or since % 3 == 0:
+        if not run or since % 5 == 0:
             out.add(line[at : at + 8])
         since = since + 1 if run else 0
     return out
@@ -96,8 +106,8 @@ def test_rare_shingles_keep_every_similar_pair(spark):
     sets = [sorted({int(v) for v in rng.zipf(1.3, 14) % 60}) for _ in range(120)]
     sets += [[*s[:-1], 100 + k] for k, s in enumerate(sets)]
     table = spark.createDataFrame(list(enumerate(sets)), "lh long, s array<long>")
-    prefixes = linededup._prefixes(table, table.selectExpr("lh", "lh AS root"), 0.8, Scratch(spark))
-    met = {(r.a, r.b) for r in linededup._pairwise(linededup._keyed(prefixes, 0.8), linededup._may_be_similar(0.8)).distinct().collect()}
+    prefixes = linededup._prefixes(table.selectExpr("lh", "lh AS root", "s"), 0.8, Scratch(spark))
+    met = {(r.a, r.b) for r in linededup._pairwise(linededup._keyed(prefixes), linededup._may_be_similar(0.8)).distinct().collect()}
     for a in range(len(sets)):
         for b in range(a + 1, len(sets)):
             x, y = set(sets[a]), set(sets[b])
@@ -149,6 +159,7 @@ def test_line_dedup_looks_at_every_character(spark):
 
 def test_line_dedup_compares_families_whose_rarest_shingles_are_common(spark):
     rng, families, seen = np.random.default_rng(11), [], collections.Counter()
+    vocabulary = ["".join(map(chr, rng.integers(97, 123, 9))) for _ in range(40)]
     while len(families) < 80:
         own = {int(k) for k in rng.choice(40, 10, replace=False)}
         twin = {*sorted(own)[1:], int(rng.choice(sorted(set(range(40)) - own)))}
@@ -156,28 +167,28 @@ def test_line_dedup_compares_families_whose_rarest_shingles_are_common(spark):
             families.append((own, twin))
             seen.update([*own, *twin])
     assert min(seen.values()) > linededup.PAIRWISE
-    common = " ".join(f"standing{k} phrase{k}" for k in range(14))
-    lines = [" ".join(f"w{k:02d}wordalone" for k in sorted(x)) + f" {common}" for pair in families for x in pair]
+    common = " ".join(f"standing{k} phrase{k}" for k in range(8))
+    lines = [" ".join(vocabulary[k] for k in sorted(x)) + f" {common}" for pair in families for x in pair]
     rows = list(enumerate(lines))
     got = {r.doc_id: r.text for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_lines(rows) and sum(t != "" for t in got.values()) == 80
 
 
 @pytest.mark.parametrize("block", [4, 256])
-def test_cells_of_two_shingles_keep_every_similar_pair(spark, monkeypatch, block):
+def test_cells_keep_every_similar_pair(spark, monkeypatch, block):
     monkeypatch.setattr(linededup, "BLOCK", block)
     rng = np.random.default_rng(6)
     sets = [sorted({int(v) for v in rng.choice(30, rng.integers(2, 14), replace=False)}) for _ in range(150)]
     sets += [sorted({*s[1:], int(rng.integers(30))}) for s in sets]
     table = spark.createDataFrame(list(enumerate(sets)), "lh long, s array<long>")
     scratch = Scratch(spark)
-    prefixes = linededup._prefixes(table, table.selectExpr("lh", "lh AS root"), 0.8, scratch)
-    pairs = linededup._key_pairs(prefixes, linededup._keyed(prefixes, 0.8))
+    prefixes = linededup._prefixes(table.selectExpr("lh", "lh AS root", "s"), 0.8, scratch)
+    pairs = linededup._keyed(prefixes)
     met = {(r.a, r.b) for r in linededup._in_cells(linededup._apart(pairs, scratch, "apart"), linededup._may_be_similar(0.8)).distinct().collect()}
     for a in range(len(sets)):
         for b in range(a + 1, len(sets)):
             x, y = set(sets[a]), set(sets[b])
-            assert max(len(x), len(y)) < 2 or len(x & y) < 0.8 * len(x | y) or (a, b) in met
+            assert len(x & y) < 0.8 * len(x | y) or (a, b) in met
 
 
 # -- sharding --------------------------------------------------------------------------------------
@@ -203,7 +214,30 @@ def test_a_failed_merge_is_invisible(spark, documents):
     store._write(documents)  # a job's files without a commit
     assert store.read().count() == 10
     store.vacuum()
-    assert len(store._names("data")) == 1
+    assert len(store._names("data")) == 2  # they may be another writer's
+    store.vacuum(older=0)
+    assert len(store._names("data")) == 1 and store.read().count() == 10
+
+
+def test_two_writers_keep_each_others_rows(spark, documents):
+    path = work_dir(spark, "t")
+    one, two = sharding.ShardStore(spark, path), sharding.ShardStore(spark, path)
+    one.append(documents.limit(10))
+    commit, late = one._commit, []
+
+    def overtaken(after, schema, shards):
+        if not late:
+            late.append(two.append(documents.limit(7)))
+        return commit(after, schema, shards)
+
+    one._commit = overtaken
+    one.append(documents.limit(5))
+    assert one.read().count() == 22 and one.version() == 3
+    late.clear()
+    for _ in range(3):
+        two.append(documents.limit(2))
+    one.compact()
+    assert one.read().count() == 22 + 6 + 7 and len(one.manifest()[1]) < 7
 
 
 # -- nearest neighbours ----------------------------------------------------------------------------
@@ -225,6 +259,18 @@ def test_nearest_is_exact_at_factor_one_with_ties_and_bad_rows(spark):
         assert 404 not in got and set(got) == set(range(0, 300, 20))
 
 
+def test_nearest_gives_many_ties_to_the_least_ids(spark):
+    rows = [(i, [1.0, float(i) / 7, float(i * i % 31)]) for i in range(20, 420)] + [(0, [1.0, 0.0, 0.0]), (0, [1.0, 0.0, 0.0])]
+    df = spark.createDataFrame([(*r, "x", "y", 1) for r in rows], "vec_id long, embedding array<double>, id string, shard string, dim int")
+    for shard in (50, 4096):
+        got = [(r.rank, r.vec_id, r.score) for r in vptree.nearest(df, F.col("vec_id") == 0, factor=1.0, shard_size=shard).orderBy("rank").collect()]
+        assert got == [(k + 1, 20 + k, 1.0) for k in range(20)]
+    assert vptree.nearest(df.limit(0), F.col("vec_id") == 0).collect() == []
+    assert vptree.nearest(df.limit(3), F.col("vec_id") == 20).count() == 2
+    long = spark.createDataFrame([(k, [float(k)] * 5000) for k in range(1, 4)], "vec_id long, embedding array<double>")
+    assert [r.vec_id for r in vptree.nearest(long, F.col("vec_id") == 1).orderBy("rank").collect()] == [3, 2]
+
+
 def test_recall(spark):
     df = spark.read.parquet(f"{DATA}/embeddings.parquet")
     x = {r.vec_id: np.array(r.embedding, float) for r in df.collect()}
@@ -276,13 +322,30 @@ def test_spread_equals_power_iteration(spark):
     t0, d0 = np.array([s[1] for s in seeds]) * 0.15, np.array([s[2] for s in seeds]) * 0.15
     t, d = t0, d0
     out, into = collections.Counter(a for a, _ in e), collections.Counter(b for _, b in e)
-    for _ in range(10):
+    for _ in range(200):
         nt, nd = t0.copy(), d0.copy()
         for a, b in e:
             nt[b] += 0.85 * t[a] / out[a]
             nd[a] += 0.85 * d[b] / into[b]
         t, d = nt, nd
-    assert all(np.allclose(got[k], (t[k], d[k])) for k in range(n))
+    assert all(np.allclose(got[k], (t[k], d[k]), atol=1e-4) for k in range(n))
+
+
+def test_judging_linked_pages_equals_sql(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    hosts = [f"h{k}.example.org" for k in range(25)] + [f"s{k}.net" for k in range(6)] + [f"w{k}.com" for k in range(10)]
+    rows = []
+    for k in range(120):
+        html = "".join(f"<a href='http://{hosts[rng.integers(41)].upper() if rng.random() < 0.1 else hosts[rng.integers(41)]}/{rng.choice(['en', 'fr', 'de'])}/{k % 3}'>x</a>" for _ in range(rng.integers(0, 6)))
+        rows.append((None if k == 5 else k, None if k == 9 else f"https://{hosts[rng.integers(31)]}/{rng.choice(['en', 'fr', 'de'])}/p?q", None if k == 7 else html, "x", "y"))
+    df = spark.createDataFrame([*rows, rows[0]], "page_id long, url string, html string, host string, dst string")
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = sorted(map(tuple, urlfilter.judge(df).collect()), key=str)
+    assert got == sorted(con.execute(queries.ORACLE_SQL["op4_url_filter"]).fetchall(), key=str)
+    assert {r[-1] for r in got if r[3] is None} == {"allow", "block"}
+    assert urlfilter.judge(df.limit(0)).count() == 0
 
 
 # -- language ID -----------------------------------------------------------------------------------
@@ -293,6 +356,29 @@ def model(documents):
     return langid.fit(documents)
 
 
+def test_expectation_equals_enumeration(model):
+    one, number = model.only(model.languages[0]), {p: k for k, p in enumerate(model.vocabulary)}
+
+    def cuts(word):
+        for n in range(1, min(len(word), langid.MAX_PIECE) + 1):
+            piece, p = word[:n], one.p[number[word[:n]], 0] if word[:n] in number else one.stray[0] if n == 1 else 0
+            if p and n == len(word):
+                yield p, [piece]
+            elif p:
+                yield from ((p * q, [piece, *rest]) for q, rest in cuts(word[n:]))
+
+    for word in ("on", "thing", "über"):
+        ways, want = list(cuts(langid.START + word)), np.zeros(len(model.vocabulary))
+        for p, found in ways:
+            for piece in found:
+                if piece in number:
+                    want[number[piece]] += 3 * p / sum(q for q, _ in ways)
+        long = np.zeros(len(model.vocabulary) + 1)
+        one._expect_long(word, 3.0, long)
+        assert np.allclose(one.expect([word], np.array([3.0])), want) and np.allclose(long[:-1], want)
+    assert np.isfinite(one.expect(["ab" * 500], np.array([1.0]))).all()
+
+
 def test_forward_sums_all_segmentations(model):
     number = {p: k for k, p in enumerate(model.vocabulary)}
 
@@ -334,7 +420,7 @@ def test_language_edges(edges, spark):
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=60))
 def test_token_ids_are_the_vocabularys_own(text):
-    assert tokens.token_ids(text).tolist() == tokens.reference().encode(text, add_special_tokens=False).ids
+    assert tokens.token_ids(text).tolist() == plain_tokenizer().encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=60, deadline=None)
@@ -357,7 +443,7 @@ def test_packing_round_trip(documents):
         by_doc[r.doc_id].append(r)
         by_sequence[r.sequence_id].append((r.offset, r.length))
     for i, text in texts.items():
-        ids = np.array([*tokens.reference().encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        ids = np.array([*plain_tokenizer().encode(text or "", add_special_tokens=False).ids, 0], "<u4")
         at = 0
         for k, r in enumerate(sorted(by_doc[i], key=lambda r: r.piece)):
             assert (r.piece, r.start, r.ids_crc32) == (k, at, zlib.crc32(ids[at : at + r.length].tobytes()))
@@ -373,6 +459,12 @@ def test_packing_round_trip(documents):
     assert len(by_sequence) <= 1.02 * sum(r.length for r in rows) / 2048 + 1
 
 
+def test_special_tokens_are_the_tokenizers(spark):
+    df = spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "<|endoftext|>")], "doc_id long, text string")
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pack(df).collect()}
+    assert got == {1: (5, zlib.crc32(np.array([64, 220, 50256, 275, 0], "<u4").tobytes())), 2: (2, zlib.crc32(np.array([50256, 0], "<u4").tobytes()))}
+
+
 def test_packing_edges(edges):
     rows = packing.pack(edges).collect()
     assert sum(r.doc_id == 4 for r in rows) == 3 and sum(r.doc_id is None for r in rows) == 1
@@ -531,3 +623,36 @@ def test_contamination_equals_brute_force(spark, edges):
     assert len(got) == edges.count() and decontaminate.contamination(edges.limit(0), b).count() == 0
     assert not any(r.contaminated for r in decontaminate.contamination(edges, b.limit(0)).collect())
     assert decontaminate.uncontaminated(edges, b).columns == edges.columns
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(-9, 9), max_size=30))
+def test_best_region_is_the_greatest_run(scores):
+    first, last = htmltext.best_region([float(x) for x in scores])
+    assert sum(scores[first:last]) == max([0, *(sum(scores[a:b]) for a in range(len(scores)) for b in range(a + 1, len(scores) + 1))])
+
+
+def test_the_scan_decides_where_nothing_else_marks_the_text(monkeypatch):
+    body = "<div><p>Water runs down the old stone steps and gathers in a wide basin.</p><p>The keeper writes down every visitor and the hour.</p></div>"
+    links = "<div>" + " ".join(f"<a href='/{w}'>{w}</a>" for w in ("home", "news", "maps", "archive")) + "</div>"
+    want = "Water runs down the old stone steps and gathers in a wide basin.\nThe keeper writes down every visitor and the hour."
+    assert htmltext.main_text(f"<body>{links}{body}{links}</body>") == want
+    monkeypatch.setattr(htmltext, "best_region", lambda scores: (0, len(scores)))
+    assert htmltext.main_text(f"<body>{links}{body}{links}</body>") != want
+
+
+def test_labelled_pages_give_their_text():
+    assert [page for page, text in PAGES if htmltext.main_text(page) != text] == []
+
+
+@pytest.mark.parametrize("wrapper", ['<div class="content with-sidebar">', '<div class="post search-result">', '<div id="page-header-social-wrap">', '<div class="advertorial-layout">'])
+def test_wrappers_of_all_names_keep_the_text(wrapper):
+    body = "<h1>Wall</h1><p>Nobody remembers who built the wall, but the letters have been copied.</p><p>Water runs down the old stone steps.</p>"
+    assert htmltext.main_text(f"<html><body>{wrapper}{body}</div></body></html>").startswith("Wall\nNobody")
+
+
+def test_extraction_keeps_to_its_columns_and_bears_hostile_pages(spark):
+    deep = "<div>" * 20_000 + "<p>Deep words stay here in the page.</p>" + "</b>" * 2_000
+    rows = [(1, "u", deep, "x", 7), (1, "u", deep, "x", 7), (None, None, None, None, None)]
+    got = htmltext.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string, id string, n_chars long")).collect()
+    assert sorted(r.n_chars for r in got) == [0, 33, 33] and got[0].asDict().keys() == {"page_id", "url", "text", "n_chars"}

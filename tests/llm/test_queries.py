@@ -42,8 +42,19 @@ def test_pipeline_stages(spark, documents):
 
 
 def test_pipeline_edges(spark, edges):
-    docs = edges
+    docs, kept = edges, []
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, DATA).cache()
         assert docs.columns == edges.columns, name
+        kept.append(sorted((r.doc_id for r in docs.collect()), key=str))
+    # no letter: 1 to 3 go; the six words stay with 4, the first of their holders; a null id comes first
+    assert kept[0] == [4, 4, 4, 5, 6, 7, None] and set(kept[1]) == {4, 6, 7, None}
+    assert set(kept[3]) <= set(kept[2]) <= set(kept[1])
     assert corpus_pipeline.packing(spark, docs, DATA).count() >= docs.count() > 0
+
+
+def test_empty_tables_pass_all_stages(spark, edges):
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, edges.limit(0), DATA)
+        assert out.columns == edges.columns and out.count() == 0, name
+    assert corpus_pipeline.packing(spark, edges.limit(0), DATA).count() == 0
