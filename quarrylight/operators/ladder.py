@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Fuzzy targets that may meet all candidates.
+MOST_TARGETS = 10_000
+
+
 def ladder_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, rungs: list[tuple[str, Column, Column]]) -> DataFrame:
     """(left_id, right_id, reason) for each left row that any rung matches.
 
@@ -43,10 +47,13 @@ def best_fuzzy(targets: DataFrame, candidates: DataFrame, target: str, candidate
     """(target, candidate, score): the best-scoring candidate of each target, at the threshold or above.
 
     Equal names score 1, contained ones by their share, others by difflib's ratio, which only the
-    pairs without containment reach. Targets are a caller's list; ``on`` names a blocking column.
+    pairs without containment reach. Targets are a caller's list of at most MOST_TARGETS, counted; a
+    longer one needs ``on``, a blocking column of both sides.
     """
     from quarrylight.functions.python_udfs import sequence_ratio
 
+    if on is None and targets.count() > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} targets need a blocking column")
     q, c = match_text(F.col(target)), match_text(F.col(candidate))
     pairs = (targets.join(candidates, on) if on else targets.hint("broadcast").join(candidates)).withColumns({"q": q, "c": c}).where("q <> '' and c <> ''")
     share = F.length("q") / F.length("c")

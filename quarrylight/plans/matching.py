@@ -141,16 +141,17 @@ def public_projection(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")).orderBy("id")
 
 
-@catalog("identity_components", """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_orderkey AS b FROM lineitem WHERE l_quantity > 49.5 AND l_discount > 0.09), n AS (SELECT x.b AS a, y.b AS b FROM e x JOIN e y USING (a)),
+@catalog("identity_components", """WITH RECURSIVE e AS (SELECT c_custkey AS id, unnest(['n:' || c_nationkey || ':' || CAST(floor(c_acctbal / 40) AS BIGINT), 's:' || c_mktsegment || ':' || CAST(floor(c_acctbal / 25) AS BIGINT)]) AS key FROM customer), n AS (SELECT DISTINCT x.id AS a, y.id AS b FROM e x JOIN e y USING (key)),
 r(node, root) AS (SELECT DISTINCT a, a FROM n UNION SELECT n.b, r.root FROM r JOIN n ON n.a = r.node) SELECT node, min(root) AS root FROM r GROUP BY 1""")
 def identity_components(spark, d):
-    """Orders that share a supplier's rare lines, joined to a fixpoint through each supplier's least order."""
+    """All customers, joined to a fixpoint where two share a nation or a segment and a like balance, through each key's least customer."""
     from quarrylight.operators.components import components
 
-    e = table(spark, d, "lineitem").where("l_quantity > 49.5 and l_discount > 0.09").select("l_suppkey", "l_orderkey").distinct()
-    hub = e.groupBy("l_suppkey").agg(F.min("l_orderkey").alias("a"))
-    found = components(e.join(hub, "l_suppkey").select("a", F.col("l_orderkey").alias("b")))
-    every = e.select(F.col("l_orderkey").alias("node")).distinct()
+    key = lambda kind, by, width: F.concat_ws(":", F.lit(kind), F.col(by).cast("string"), F.floor(F.col("c_acctbal") / width).cast("string"))
+    e = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.explode(F.array(key("n", "c_nationkey", 40), key("s", "c_mktsegment", 25))).alias("key"))
+    hub = e.groupBy("key").agg(F.min("id").alias("a"))
+    found = components(e.join(hub, "key").select("a", F.col("id").alias("b")))
+    every = e.select(F.col("id").alias("node")).distinct()
     return every.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
