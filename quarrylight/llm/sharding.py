@@ -8,7 +8,7 @@ import time
 import uuid
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,11 @@ class Shard(NamedTuple):
     size: int
 
 
+def _file() -> Column:
+    """The shard that a row is read from, by its path below the store; names alone repeat between folders."""
+    return F.regexp_extract(F.input_file_name(), r"(data/[0-9a-f]{32}/.*)$", 1)
+
+
 class Conflict(RuntimeError):
     """Another writer has committed the version first."""
 
@@ -106,17 +111,15 @@ class ShardStore:
         places = {}
         for value in values:
             at = folder if value is None else f"{folder}/{value}"
-            places |= {n: (value, at, size) for n, size in self._names(at).items() if n.endswith(".parquet")}
+            places |= {f"{at}/{n}": (value, size) for n, size in self._names(at).items() if n.endswith(".parquet")}
         if not places:
             return out
-        paths = sorted({f"{self.path}/{at}" for _, at, _ in places.values()})
-        name = F.element_at(F.split(F.input_file_name(), "/"), -1)
+        paths = sorted({f"{self.path}/{file.rsplit('/', 1)[0]}" for file in places})
         fields = T.StructType([f for f in df.schema if f.name != by])
-        files = self.spark.read.schema(fields).parquet(*paths).select(name.alias("n")).groupBy("n").count()
-        for n, rows in files.collect():  # a row for each file
-            value, at, size = places[n]
-            key = None if value is None else value.split("=", 1)[1]
-            out.setdefault(key, []).append(Shard(f"{at}/{n}", rows, size))
+        files = self.spark.read.schema(fields).parquet(*paths).select(_file().alias("file")).groupBy("file").count()
+        for file, rows in files.collect():  # a row for each file
+            value, size = places[file]
+            out.setdefault(None if value is None else value.split("=", 1)[1], []).append(Shard(file, rows, size))
         return out
 
     def _add(self, schema: T.StructType, shards: list[Shard]) -> int:
@@ -173,12 +176,14 @@ class ShardStore:
             runs = self.merges(shards)
             if not runs:
                 return version
-            of = [(s.file.rsplit("/", 1)[1], k) for k, run in enumerate(runs) for s in run]
+            of = [(s.file, k) for k, run in enumerate(runs) for s in run]
             name, run = "_shard_file", "_shard_run"
             numbers = F.broadcast(self.spark.createDataFrame(of, f"{name} string, {run} int"))  # a row for each file
-            read = self._read(schema, [s for run in runs for s in run]).withColumn(name, F.element_at(F.split(F.input_file_name(), "/"), -1))
+            read = self._read(schema, [s for run in runs for s in run]).withColumn(name, _file())
             merged = self._write(read.join(numbers, name).drop(name).repartition(len(runs), run), run)
-            gone = {s.file for run in runs for s in run}
+            gone = {s.file: s.rows for run in runs for s in run}
+            if sum(gone.values()) != sum(s.rows for new in merged.values() for s in new):
+                raise RuntimeError("a merge has not written the rows that it read; nothing is committed")
             try:
                 self._commit(version, schema, [s for s in shards if s.file not in gone] + [s for new in merged.values() for s in new])
             except Conflict:
