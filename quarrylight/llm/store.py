@@ -67,3 +67,10 @@ class Scratch:
 def light(df: DataFrame, width: int) -> bool:
     """Whether the table's rows of about ``width`` bytes, counted, may be broadcast."""
     return df.count() * width <= BROADCAST_BYTES
+
+
+def apart(taken: set[str], name: str) -> str:
+    """``name``, longer where a column already has it, so that own columns never clash with those of the input."""
+    while name in taken:
+        name += "_"
+    return name
