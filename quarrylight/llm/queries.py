@@ -208,6 +208,31 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form,
 """
 
 
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylight.llm.lexical import build, search
+
+    found = search(build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("key", "doc_id")
+
+
+ORACLE_SQL["op12_ranked_search"] = r"""
+WITH terms AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+docs AS (SELECT d, doc_id, t, CAST(len(t) AS BIGINT) AS n FROM terms WHERE len(t) > 0),
+corpus AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM docs),
+tf AS (SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(t) AS term FROM docs) GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+asked AS (SELECT row_number() OVER () AS q, item_id, list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+wanted AS (SELECT q, item_id, unnest(t) AS term FROM asked),
+weighted AS (SELECT q, item_id, term, CAST(floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM wanted JOIN df USING (term), corpus),
+scored AS (
+  SELECT q, item_id, d, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll)))) AS BIGINT) AS score
+  FROM weighted JOIN tf USING (term) JOIN docs USING (d), corpus GROUP BY 1, 2, 3, 4),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
