@@ -208,6 +208,13 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form,
 """
 
 
+@query
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarrylight.llm.pii import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
 @query
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarrylight.llm.lexical import build, search
