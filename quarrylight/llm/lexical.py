@@ -1,14 +1,15 @@
 """Ranked lexical search by Block-Max WAND over compressed posting blocks.
 
 The index is a Parquet table with a row for each term of a segment; a segment is a run of documents
-with a bounded number of postings. A term's postings are cut into blocks of ``BLOCK``; beside each
-compressed block stand its last document and its largest impact. A query goes through its lists from
-the largest possible share downwards. Documents that only the remaining lists hold can't exceed the
-sum of these lists' maxima, so where that sum falls below the worst of the best ``k`` scores the
-query ends (the pivot rule). Every other document is a pivot: by shallow moves, which read block
-ends and block maxima only, a bound is summed for it, and blocks are decompressed only for pivots
-whose bound still reaches the threshold. Thresholds from a share of the segments are the starting
-ones of all others. Nothing is approximated: what reaches the threshold is scored exactly.
+with bounded numbers of documents and postings. A term's postings are cut into blocks of ``BLOCK``;
+beside each compressed block stand its last document and its largest impact. A query over a segment
+ends at once if the sum of its lists' maxima stays below the worst of the best ``k`` scores so far.
+Else shallow moves, which read block ends and block maxima only, give every document the sum of the
+maxima of the blocks that would hold it; lists of a single block are open from the start and count
+by what they hold. Documents whose sum reaches the threshold are the pivots. They are scored from the
+largest sum downwards, the threshold rises with them, and only blocks that hold one are ever
+decompressed. Thresholds from a share of the segments are the starting ones of all others. Nothing
+is approximated: what reaches the threshold is scored exactly.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from quarrylight.llm.store import BROADCAST_BYTES, saved
 
 BLOCK = 128
-#: Postings of a segment; bounds the memory of the task that builds or searches it.
-SEGMENT = 2_000_000
+#: Postings and documents of a segment; they bound the memory of the task that builds or searches it.
+SEGMENT, DOCUMENTS = 2_000_000, 16_384
 #: Queries that one task answers over one segment.
 QUERIES = 256
 #: One of so many segments sets the first thresholds.
@@ -166,7 +167,7 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if words := terms_of(t.as_py() or ""):
                     segment.add(k, words)
-                    if segment.size >= SEGMENT:
+                    if segment.size >= SEGMENT or len(segment.keys) >= DOCUMENTS:
                         yield from segment.batches(next(number), n_docs, n_terms)
                         segment = Segment()
         if segment.size:
@@ -178,87 +179,69 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Index:
 class Postings:
     """One list of a segment: block ends and maxima in the open, blocks decompressed when asked for."""
 
-    def __init__(self, lasts: bytes, tops: bytes, starts: bytes, payload: bytes):
+    def __init__(self, lasts: bytes, tops: bytes, starts: bytes, payload: bytes, m: np.ndarray):
         self.lasts = np.frombuffer(lasts, "<u4").astype(np.int64)
-        self.tops = np.append(np.frombuffer(tops, "<u4"), 0).astype(np.int64)
+        self.tops = np.frombuffer(tops, "<u4").astype(np.int64)
         self.starts = np.append(np.frombuffer(starts, "<u4"), len(payload)).astype(np.int64)
-        self.payload, self.top, self.opened = payload, int(self.tops.max()), {}
+        self.payload, self.m, self.top = payload, m, int(self.tops.max())
+        self.closed, self.impacts = np.ones(len(self.lasts), bool), None
+        self.single = self.block(0) if len(self.lasts) == 1 else None
 
     def block(self, b: int) -> tuple[np.ndarray, np.ndarray]:
-        if b not in self.opened:
-            before = int(self.lasts[b - 1]) if b else -1
-            self.opened[b] = decompress(self.payload, int(self.starts[b]), int(self.starts[b + 1]), before)
-        return self.opened[b]
-
-    def shallow(self, docs: np.ndarray) -> np.ndarray:
-        """The block in which each document would be; one past the end if in none."""
-        return np.searchsorted(self.lasts, docs)
-
-    def counts(self, docs: np.ndarray) -> np.ndarray:
-        """Occurrences in each of the sorted documents."""
-        out, where = np.zeros(len(docs), np.int64), self.shallow(docs)
-        cuts = np.flatnonzero(np.diff(where, prepend=-1))
-        for begin, end in zip(cuts, np.append(cuts[1:], len(docs)), strict=True):
-            b = int(where[begin])
-            if b == len(self.lasts):
-                break
-            held, tfs = self.block(b)
-            at = np.searchsorted(held, docs[begin:end])
-            same = held[at] == docs[begin:end]  # none is past the block's last document
-            out[begin:end][same] = tfs[at[same]]
-        return out
-
-
-def best(lists: list[tuple[int, Postings]], keys: np.ndarray, m: np.ndarray, k: int, floor: int = 0) -> list[tuple[int, int]]:
+        """Documents of a block and their impacts."""
+        self.closed[b] = False
+        docs, tfs = decompress(self.payload, int(self.starts[b]), int(self.starts[b + 1]), int(self.lasts[b - 1]) if b else -1)
+        return docs, impact(tfs, self.m[docs])
+
+    def bounds(self) -> np.ndarray:
+        """Up to the last document, the maximum of the block in which each would be."""
+        return np.repeat(self.tops, np.diff(self.lasts, prepend=-1))
+
+    def exact(self, docs: np.ndarray) -> np.ndarray:
+        """Impacts of documents; the blocks that would hold them are opened."""
+        if self.impacts is None:
+            self.impacts = np.zeros(len(self.m), np.int32)
+        if self.closed.any():
+            wanted = np.zeros(len(self.lasts) + 1, bool)
+            wanted[np.searchsorted(self.lasts, docs)] = True
+            for b in np.flatnonzero(wanted[:-1] & self.closed).tolist():
+                held, values = self.block(b)
+                self.impacts[held] = values
+        return self.impacts[docs]
+
+
+def best(lists: list[tuple[int, Postings]], keys: np.ndarray, k: int, floor: int = 0) -> list[tuple[int, int]]:
     """Ordinals and scores of the ``k`` best documents of a segment, of those that reach ``floor``.
 
     Equal scores go by key. ``lists`` are pairs of weight and postings; scores are above zero.
     """
-    lists = sorted((x for x in lists if x[0] > 0), key=lambda x: x[0] * x[1].top)
-    reach = np.cumsum([w * p.top for w, p in lists]).tolist()
-    need, seen = max(floor, 1), np.zeros(len(keys), bool)
-    found, scores = np.empty(0, np.int64), np.empty(0, np.int64)
-    for j in range(len(lists) - 1, -1, -1):
-        if reach[j] < need:  # what only these lists hold can't enter
-            break
-        weight, own = lists[j]
-        # shallow: a block's documents lie between its ends, so the others' largest blocks there bound them
-        low, high = np.concatenate(([0], own.lasts[:-1] + 1)), own.lasts
-        bound = weight * own.tops[:-1]
-        for i, (w, p) in enumerate(lists):
-            if i != j:
-                a, b = p.shallow(low), p.shallow(high)
-                if len(p.tops) == 2:
-                    bound = bound + w * p.tops[np.minimum(a, 1)]
-                else:
-                    # maxima over stretches [a, b]; the closing zero stands for no block
-                    pairs = np.stack((a, np.minimum(b + 1, len(p.tops))), 1).ravel()
-                    bound = bound + w * np.maximum.reduceat(np.append(p.tops, 0), np.minimum(pairs, len(p.tops)))[::2]
-        blocks = np.flatnonzero(bound >= need)
-        if not len(blocks):
-            continue
-        pivots = np.concatenate([own.block(int(b))[0] for b in blocks])
-        pivots = pivots[~seen[pivots]]
-        seen[pivots] = True
-        bound = np.zeros(len(pivots), np.int64)
-        for w, p in lists:
-            bound += w * p.tops[p.shallow(pivots)]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] >= need]
-        for chunk in range(0, len(order), 4 * BLOCK):
-            part = order[chunk : chunk + 4 * BLOCK]
-            docs = np.sort(pivots[part[bound[part] >= need]])
-            if not len(docs):
-                break
-            total = np.zeros(len(docs), np.int64)
-            for w, p in lists:
-                total += w * impact(p.counts(docs), m[docs])
-            kept = total >= need
-            found, scores = np.concatenate((found, docs[kept])), np.concatenate((scores, total[kept]))
-            top = np.lexsort((keys[found], -scores))[:k]
-            found, scores = found[top], scores[top]
-            if len(found) == k:
-                need = max(need, int(scores[-1]))
+    lists, need = [x for x in lists if x[0] > 0], max(floor, 1)
+    if sum(w * p.top for w, p in lists) < need:
+        return []
+    sure = np.zeros(len(keys), np.int64)
+    for w, p in lists:
+        if p.single:
+            sure[p.single[0]] += w * p.single[1]
+    several = [(w, p) for w, p in lists if not p.single]
+    upper = sure.copy()
+    for w, p in several:
+        upper[: p.lasts[-1] + 1] += w * p.bounds()
+    pivots = np.flatnonzero(upper >= need)
+    pivots = pivots[np.argsort(-upper[pivots], kind="stable")]
+    found, scores, at, step = np.empty(0, np.int64), np.empty(0, np.int64), 0, BLOCK
+    while at < len(pivots) and upper[pivots[at]] >= need:
+        docs = pivots[at : at + step]
+        docs = docs[upper[docs] >= need]
+        total = sure[docs]
+        for w, p in several:
+            total = total + w * p.exact(docs).astype(np.int64)
+        kept = total >= need
+        found, scores = np.concatenate((found, docs[kept])), np.concatenate((scores, total[kept]))
+        top = np.lexsort((keys[found], -scores))[:k]
+        found, scores = found[top], scores[top]
+        if len(found) == k:
+            need = max(need, int(scores[-1]))
+        at, step = at + step, 4 * step
     return list(zip(found.tolist(), scores.tolist(), strict=True))
 
 
@@ -272,10 +255,10 @@ def _searched(k: int):
         keys, m = np.frombuffer(base.payload, "<i8"), np.frombuffer(base.lasts, "<u8").astype(np.int64)
         floors, lists = {x["query"]: x["value"] for x in base["queries"]}, defaultdict(list)
         for row in group[group.term.notna()].itertuples():
-            postings = Postings(row.lasts, row.tops, row.starts, row.payload)
+            postings = Postings(row.lasts, row.tops, row.starts, row.payload, m)
             for x in row.queries:
                 lists[x["query"]].append((x["value"], postings))
-        out = [(q, int(keys[d]), s) for q, mine in lists.items() for d, s in best(mine, keys, m, k, floors[q])]
+        out = [(q, int(keys[d]), s) for q, mine in lists.items() for d, s in best(mine, keys, k, floors[q])]
         frame = pd.DataFrame(out, columns=["query", "key", "score"])
         return frame.astype({"query": "int64", "key": "int64", "score": "int64"})
 
