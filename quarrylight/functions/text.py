@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -107,6 +109,50 @@ def compact_lines(text: Column, limit: int = 500) -> Column:
     return F.array_join(F.transform(F.array_distinct(lines), lambda x: F.substring(x, 1, limit)), "\n")
 
 
+def distinct_lines(text: Column) -> Column:
+    """The lines with single spaces, each once whatever its case, in order.
+
+    Repeats are found as neighbours of a sorted array, so long texts take n log n.
+    """
+    tidy = F.transform(F.split(text_of(text), r"\r\n|\r|\n"), lambda x: F.btrim(F.regexp_replace(x, r"(?U)\s+", " ")))
+    lines = F.filter(F.transform(tidy, lambda x, i: F.struct(F.lower(x).alias("key"), i.alias("at"), x.alias("line"))), lambda s: s["line"] != "")
+    fresh = let(F.array_sort(lines), lambda a: F.filter(a, lambda s, i: (i == 0) | (s["key"] != F.get(a, i - 1)["key"])))
+    return F.transform(F.array_sort(F.transform(fresh, lambda s: F.struct(s["at"], s["line"], s["key"]))), lambda s: F.struct(s["line"].alias("line"), s["key"].alias("key")))
+
+
+def _any_of(words: list[str]) -> Column:
+    return F.lit("|".join(re.escape(w) for w in words))
+
+
+def signal_lines(text: Column, limit: int = 500, short: int = 160) -> Column:
+    """What a page says about people: lines with a signal and the lines beside them; noise goes if short.
+
+    Marks are spread by one line to both sides over the distinct lines; lines with neither signal nor
+    noise stay, and each is cut at ``limit`` characters. A null text gives an empty one.
+    """
+
+    def kept(lines: Column) -> Column:
+        marks = F.transform(lines, lambda s: F.contains(s["key"], F.lit("@")) | F.rlike(s["key"], _any_of(V.COMPACT_SIGNALS)))
+
+        def chosen(m: Column) -> Column:
+            near = lambda i: F.get(m, i) | F.coalesce(F.get(m, i - 1), F.lit(False)) | F.coalesce(F.get(m, i + 1), F.lit(False))
+            noise = lambda s: F.rlike(s["key"], _any_of(V.COMPACT_NOISE)) & (F.length(s["line"]) <= short)
+            return F.filter(lines, lambda s, i: near(i) | ~noise(s))
+
+        return let(marks, chosen)
+
+    return F.array_join(F.transform(let(distinct_lines(text), kept), lambda s: F.rtrim(F.substring(s["line"], 1, limit))), "\n")
+
+
+def truncate_middle(text: Column, most: int) -> Column:
+    """Head and tail of half the budget each where a text is longer; nothing for a budget of zero."""
+    if most <= 0:
+        return F.lit("")
+    half = max(1, most // 2)
+    head, tail = F.regexp_replace(F.substring(text, 1, half), r"(?U)\s+$", ""), F.regexp_replace(F.substring(text, -half, half), r"^(?U)\s+", "")
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(head, F.lit("\n\n...[truncated]...\n\n"), tail))
+
+
 def spans_exist(spans: Column, text: Column) -> Column:
     """Whether there are spans and each is part of the text."""
     return (F.size(spans) > 0) & F.forall(spans, lambda s: (F.btrim(s) != "") & F.contains(text_of(text), s))

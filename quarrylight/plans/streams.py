@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quarrylight.plans.base import Catalog, table
 from quarrylight.sources.tables import shared_dir
 from quarrylight.streaming import events as E
+from quarrylight.streaming import jobs as J
 
 catalog = Catalog()
 
@@ -57,3 +58,29 @@ def status_fold(spark, d):
     """The last status of each user, kept as an aggregate that every batch brings up to date."""
     last = _stream(spark, d).groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("status"))
     return _finished(last, "complete")
+
+
+@catalog("stream_job_lives", """WITH e AS (SELECT user_id || '@' || strftime(ts, '%Y-%m-%d') AS job, epoch_ms(ts) AS t, event_id, CASE event_type WHEN 'view' THEN 'submit' WHEN 'signup' THEN 'assign' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'fail' WHEN 'click' THEN 'skip' END AS event FROM events),
+opened AS (SELECT job, min([t, event_id]) AS o, min(t) + 10800000 AS deadline FROM e WHERE event = 'submit' GROUP BY 1),
+mine AS (SELECT e.*, deadline FROM e JOIN opened USING (job) WHERE [t, event_id] > o AND event <> 'submit'),
+closing AS (SELECT job, deadline, min([t, event_id]) FILTER (event IN ('complete', 'fail', 'skip') AND t <= deadline) AS f, min([t, event_id]) FILTER (event = 'complete' AND t > deadline) AS again,
+  min([t, event_id]) FILTER (t > deadline) AS passed FROM mine GROUP BY 1, 2),
+named AS (SELECT opened.job, opened.deadline, f, again, passed, (SELECT any_value(event) FROM mine WHERE mine.job = opened.job AND [t, event_id] = f) AS how FROM opened LEFT JOIN closing USING (job)),
+hits AS (SELECT job, count(*) AS n FROM mine JOIN named USING (job) WHERE event = 'assign' AND t <= mine.deadline AND (f IS NULL OR [t, event_id] < f) GROUP BY 1),
+fin AS (SELECT *, deadline <= (SELECT max(t) FROM e) - 3600000 OR passed IS NOT NULL AS over, job IN (SELECT job FROM hits) AS held FROM named)
+SELECT job, CASE WHEN how = 'complete' THEN 'completed' WHEN how = 'skip' THEN 'skipped' WHEN how = 'fail' THEN 'failed' WHEN again IS NOT NULL THEN 'completed' WHEN over THEN 'failed' WHEN held THEN 'assigned' ELSE 'pending' END AS status,
+  CASE WHEN how = 'fail' THEN 'failed' WHEN how IS NULL AND again IS NULL AND over THEN 'timeout' END AS message,
+  how IS NULL AND again IS NOT NULL AS late, CAST(1 + CASE WHEN held THEN 1 ELSE 0 END + CASE WHEN how IS NOT NULL THEN 1 WHEN again IS NOT NULL THEN 2 WHEN over THEN 1 ELSE 0 END AS BIGINT) AS changes FROM fin""")
+def job_lives(spark, d):
+    """Each user's day is a job of three hours: views ask, signups take, purchases complete, errors fail, clicks skip."""
+    said = F.create_map(*map(F.lit, ["view", "submit", "signup", "assign", "purchase", "complete", "error", "fail", "click", "skip"]))
+    job = F.concat_ws("@", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"))
+    stream = _stream(spark, d).select(job.alias("job"), "ts", F.col("event_id").alias("number"), said[F.col("event_type")].alias("event"))
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", J.ROCKSDB)
+    try:
+        done = _finished(J.job_changes(stream, 3 * 3600), "append")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    last = done.groupBy("job").agg(F.max_by(F.struct("status", "message", "late"), "change").alias("r"), F.max("change").alias("changes"))
+    return last.select("job", "r.*", "changes")

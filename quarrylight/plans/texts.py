@@ -9,6 +9,7 @@ from quarrylight.functions import text as T
 from quarrylight.functions import vocabulary as V
 from quarrylight.functions.python_udfs import chunk_text
 from quarrylight.operators import search as S
+from quarrylight.operators.batches import greedy_batches
 from quarrylight.operators.ladder import ranked
 from quarrylight.plans.base import Catalog, table
 
@@ -146,22 +147,45 @@ def chunk_messages(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(chunk_text(64)("text")).alias("chunk", "text"))
 
 
-@catalog("row_batches", """SELECT conv_id, turn, CAST(floor((sum(n) OVER (PARTITION BY conv_id ORDER BY turn) - 1) / 100) AS BIGINT) AS batch FROM (SELECT conv_id, turn, greatest(1, len(string_split(trim(text), ' '))) AS n FROM conversations)""")
+@catalog("row_batches", """WITH RECURSIVE r AS (SELECT conv_id, turn, greatest(1, len(string_split(trim(text), ' '))) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
+b AS (SELECT conv_id, turn, k, n AS used, 0 AS batch FROM r WHERE k = 1 UNION ALL SELECT r.conv_id, r.turn, r.k, CASE WHEN used + r.n > 100 THEN r.n ELSE used + r.n END, batch + CASE WHEN used + r.n > 100 THEN 1 ELSE 0 END FROM b JOIN r ON r.conv_id = b.conv_id AND r.k = b.k + 1)
+SELECT conv_id, turn, CAST(batch AS BIGINT) AS batch FROM b""")
 def row_batches(spark, d):
-    """Rows of a conversation in batches by running word count."""
-    from pyspark.sql import Window
+    """Turns of a conversation in batches of at most 100 words; a turn that would overflow begins the next."""
+    words = F.greatest(F.lit(1), F.size(F.split(F.trim("text"), " ")))
+    return greedy_batches(table(spark, d, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn", words, 100).select("conv_id", "turn", "batch")
+
 
-    n = F.greatest(F.lit(1), F.size(F.split(F.trim("text"), " ")))
-    total = F.sum("n").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return table(spark, d, "conversations").select("conv_id", "turn", n.alias("n")).select("conv_id", "turn", F.floor((total - 1) / 100).alias("batch"))
+@catalog("document_batches", """WITH RECURSIVE r AS (SELECT source, doc_id, n_chars AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+b AS (SELECT source, doc_id, k, n AS used, 0 AS batch FROM r WHERE k = 1 UNION ALL SELECT r.source, r.doc_id, r.k, CASE WHEN used + r.n > 8000 THEN r.n ELSE used + r.n END, batch + CASE WHEN used + r.n > 8000 THEN 1 ELSE 0 END FROM b JOIN r ON r.source = b.source AND r.k = b.k + 1)
+SELECT source, doc_id, CAST(batch AS BIGINT) AS batch FROM b""")
+def document_batches(spark, d):
+    """Each source's documents in batches of at most 8000 characters, one source with a third of all rows."""
+    return greedy_batches(table(spark, d, "documents").select("source", "doc_id", "n_chars"), "source", "doc_id", F.col("n_chars"), 8000).select("source", "doc_id", "batch")
 
 
-@catalog("keep_last_within_budget", """SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS used FROM conversations) WHERE used <= 400""")
+@catalog("keep_last_within_budget", """WITH f AS (SELECT conv_id, max(turn) AS top FROM conversations WHERE length(text) <= 400 GROUP BY 1)
+SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS used FROM conversations JOIN f USING (conv_id) WHERE turn <= top) WHERE used <= 400""")
 def keep_last(spark, d):
+    """The last turns within 400 characters; later turns that alone are over the budget are passed over."""
     from pyspark.sql import Window
 
-    used = F.sum(F.length("text")).over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
-    return table(spark, d, "conversations").withColumn("used", used).where("used <= 400").select("conv_id", "turn")
+    turns = table(spark, d, "conversations").select("conv_id", "turn", F.length("text").alias("n"))
+    top = turns.where("n <= 400").groupBy("conv_id").agg(F.max("turn").alias("top"))
+    used = F.sum("n").over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
+    return turns.join(top, "conv_id").where("turn <= top").withColumn("used", used).where("used <= 400").select("conv_id", "turn")
+
+
+@catalog("signal_lines", rf"""WITH l AS (SELECT doc_id, trim(regexp_replace(unnest(regexp_split_to_array(text, '\r\n|\r|\n')), '\s+', ' ', 'g')) AS line, unnest(range(len(regexp_split_to_array(text, '\r\n|\r|\n')))) AS p FROM documents),
+u AS (SELECT doc_id, arg_min(line, p) AS line, lower(line) AS key, min(p) AS p FROM l WHERE line <> '' GROUP BY doc_id, lower(line)),
+m AS (SELECT *, contains(key, '@') OR regexp_matches(key, '{"|".join(V.COMPACT_SIGNALS)}') AS s, regexp_matches(key, '{"|".join(V.COMPACT_NOISE)}') AND length(line) <= 160 AS z FROM u),
+n AS (SELECT *, s OR coalesce(lag(s) OVER w, false) OR coalesce(lead(s) OVER w, false) AS near FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+c AS (SELECT doc_id, string_agg(rtrim(substr(line, 1, 500)), chr(10) ORDER BY p) AS page FROM n WHERE near OR NOT z GROUP BY 1)
+SELECT doc_id, md5(page) AS page_md5, CASE WHEN length(page) <= 1200 THEN page ELSE rtrim(page[1:600], E' \n\t') || E'\n\n...[truncated]...\n\n' || ltrim(page[-600:], E' \n\t') END AS excerpt FROM c""")
+def signal_lines(spark, d):
+    """Whole documents compacted to their signal lines, and that cut in the middle to a budget."""
+    page = table(spark, d, "documents").select("doc_id", T.signal_lines(F.col("text")).alias("page")).where("page <> ''")
+    return page.select("doc_id", F.md5("page").alias("page_md5"), T.truncate_middle(F.col("page"), 1200).alias("excerpt"))
 
 
 @catalog("message_building", """SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS prompt, count(*) AS turns FROM conversations GROUP BY 1""")
