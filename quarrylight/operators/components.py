@@ -5,22 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.sources.tables import saved
+from quarrylight.sources.tables import Scratch
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) with the least node of each component, for edges (a, b).
 
-    Labels fall by the least neighbouring label and then by the label's own label, so long chains
-    halve; every round is written to the shared folder.
+    Every round names each node by its least neighbour or itself, follows the names twice, and
+    contracts the edges to the new names, so that edges within a component vanish and long chains
+    halve. A node's name is looked up in a table of its own, so a giant component is no one key. What
+    a round supersedes is deleted; the result's table stays.
     """
-    both = saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = both.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        low = labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("low"))
-        jump = low.select(F.col("node").alias("low"), F.col("low").alias("lower"))
-        new = saved(low.join(jump, "low").select("node", "was", F.least("low", "lower").alias("root")))
-        labels = new.select("node", "root")
-        if new.where("was <> root").isEmpty():
-            return labels
+    scratch = Scratch(edges.sparkSession)
+    rest = scratch.save(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    nodes = rest.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    labels = scratch.save(nodes.withColumn("root", F.col("node")), "labels")
+    while not rest.isEmpty():
+        both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = scratch.save(both.groupBy(F.col("a").alias("name")).agg(F.least(F.min("b"), F.first("a")).alias("low")), "low")
+        names = low
+        for step in ("once", "twice"):  # a name's own name is lower still, or the same
+            up = low.select(F.col("name").alias("low"), F.col("low").alias("lower"))
+            names = scratch.save(names.join(up, "low", "left").select("name", F.coalesce("lower", "low").alias("low")), f"names-{step}")
+        labels = scratch.save(labels.join(names, labels["root"] == names["name"], "left").select("node", F.coalesce("low", "root").alias("root")), "labels")
+        to = lambda c: names.select(F.col("name").alias(c), F.col("low").alias(f"{c}2"))
+        moved = rest.join(to("a"), "a").join(to("b"), "b").where("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b"))
+        rest = scratch.save(moved.distinct(), "edges")
+    scratch.free("edges", "low", "names-once", "names-twice")
+    return labels

@@ -28,6 +28,26 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """The written tables of one run, by name: a name that is written again, or freed, loses its old table."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.free(name)
+        self.paths[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def free(self, *names: str) -> None:
+        for name in names:
+            if path := self.paths.pop(name, None):
+                target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def with_columns(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Only the schema's columns, cast to its types; absent ones are NULL."""
     present = {c.lower() for c in df.columns}
