@@ -7,9 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-#: Fuzzy targets that may meet all candidates.
-MOST_TARGETS = 10_000
+from quarrylight.operators.grams import contained, like_pairs
+from quarrylight.sources.tables import saved
 
 
 def ladder_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, rungs: list[tuple[str, Column, Column]]) -> DataFrame:
@@ -36,26 +35,46 @@ def any_key_match(left: DataFrame, right: DataFrame, left_id: str, left_keys: Co
     return met.select(left_id, "m.key", f"m.{label}")
 
 
-def unique_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, condition: Column, on: str | None = None) -> DataFrame:
-    """Pairs of which the left row has exactly one; ``on`` is an equality that keeps this a hash join."""
+def unique_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, condition: Column | None = None, on: str | None = None) -> DataFrame:
+    """Pairs of which the left row has exactly one.
+
+    ``on`` is an equality of both sides. If it is all there is, keys with one right row are found
+    first, so that no key's rows meet; a further ``condition`` is looked at pair by pair.
+    """
+    if on and condition is None:
+        single = right.groupBy(on).agg(F.min(right_id).alias(right_id), F.countDistinct(right_id).alias("n")).where("n = 1")
+        return left.select(left_id, on).distinct().join(single, on).select(left_id, right_id)
     joined = left.join(right, on) if on else left.join(right, condition)
     met = (joined.where(condition) if on else joined).groupBy(left_id).agg(F.min(right_id).alias(right_id), F.countDistinct(right_id).alias("n"))
     return met.where("n = 1").select(left_id, right_id)
 
 
+def unique_container(left: DataFrame, right: DataFrame, left_id: str, text: str, right_id: str, name: str) -> DataFrame:
+    """(left_id, right_id) where a left text holds the name of exactly one right row."""
+    pairs = contained(left, right, left_id, text, right_id, name)
+    return pairs.groupBy(left_id).agg(F.min(right_id).alias(right_id), F.count("*").alias("n")).where("n = 1").select(left_id, right_id)
+
+
 def best_fuzzy(targets: DataFrame, candidates: DataFrame, target: str, candidate: str, threshold: float = 0.75, on: str | None = None) -> DataFrame:
     """(target, candidate, score): the best-scoring candidate of each target, at the threshold or above.
 
-    Equal names score 1, contained ones by their share, others by difflib's ratio, which only the
-    pairs without containment reach. Targets are a caller's list of at most MOST_TARGETS, counted; a
-    longer one needs ``on``, a blocking column of both sides.
+    Equal names score 1, contained ones by their share, others by difflib's ratio. Pairs that can
+    reach the threshold are found by shared letter grams; ``on``, a blocking column of both sides,
+    takes all pairs of a block instead, and is needed for thresholds of 2/3 or less.
     """
     from quarrylight.functions.python_udfs import sequence_ratio
 
-    if on is None and targets.count() > MOST_TARGETS:
-        raise ValueError(f"more than {MOST_TARGETS} targets need a blocking column")
     q, c = match_text(F.col(target)), match_text(F.col(candidate))
-    pairs = (targets.join(candidates, on) if on else targets.hint("broadcast").join(candidates)).withColumns({"q": q, "c": c}).where("q <> '' and c <> ''")
+    asked, named = targets.withColumn("q", q).where("q <> ''"), candidates.withColumn("c", c).where("c <> ''")
+    if on:
+        pairs = asked.join(named, on)
+    else:
+        if threshold <= 0.67:
+            raise ValueError("a threshold of 2/3 or less needs a blocking column")
+        lefts, rights = asked.select("q").distinct(), named.select("c").distinct()
+        near = contained(rights, lefts, "c", "c", "q", "q").select("q", "c").unionByName(contained(lefts, rights, "q", "q", "c", "c").select("q", "c"))
+        near = saved(near.unionByName(like_pairs(lefts, rights, "q", "c", threshold)).distinct())
+        pairs = asked.join(near, "q").join(named, "c")
     share = F.length("q") / F.length("c")
     inner = F.least(F.lit(0.99), F.greatest(F.lit(0.90), 0.85 + share * 0.15))
     outer = F.least(F.lit(0.89), F.greatest(F.lit(0.75), 0.68 + 0.21 / share))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.operators import ladder as M
 from quarrylight.operators import merge as R
+from quarrylight.operators.grams import contained
 from quarrylight.plans.base import Catalog, table
 from quarrylight.sources import sinks
 from quarrylight.sources.tables import saved
@@ -33,23 +34,33 @@ def any_key(spark, d):
 @catalog("unique_parent_containment", """SELECT p_partkey, min(r_name) AS parent FROM (SELECT DISTINCT p_partkey, w AS r_name FROM part JOIN (SELECT DISTINCT string_split(p_type, ' ')[1] AS w FROM part) t ON contains(p_type, w)) GROUP BY 1 HAVING count(*) = 1""")
 def unique_parent(spark, d):
     part = table(spark, d, "part")
-    parents = part.select(F.split("p_type", " ")[0].alias("parent")).distinct()
-    return M.unique_match(part.select("p_partkey", "p_type"), F.broadcast(parents) if parents.count() < 10_000 else parents, "p_partkey", "parent", F.contains("p_type", "parent"))
+    parents = part.select(F.split("p_type", " ")[0].alias("parent")).distinct().withColumn("name", F.col("parent"))
+    return M.unique_container(part.select("p_partkey", "p_type"), parents, "p_partkey", "p_type", "parent", "name")
 
 
 @catalog("unique_parent_same_key", "SELECT c_custkey, min(s_suppkey) AS s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey GROUP BY 1 HAVING count(*) = 1")
 def unique_same_key(spark, d):
     s = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("k"))
-    return M.unique_match(table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("k")), s, "c_custkey", "s_suppkey", F.lit(True), on="k")
-
-
-@catalog("fuzzy_best_match", "SELECT n_name AS target, n_name AS candidate, 1.0::DOUBLE AS score FROM nation")
+    return M.unique_match(table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("k")), s, "c_custkey", "s_suppkey", on="k")
+
+
+@catalog("fuzzy_best_match", """WITH names AS (SELECT n_name AS candidate, lower(regexp_replace(n_name, '[ _]', '', 'g')) AS c FROM nation), forms AS (
+  SELECT candidate AS own, ' ' || upper(candidate) AS said FROM names UNION ALL SELECT candidate, candidate || ' Republic' FROM names
+  UNION ALL SELECT candidate, left(c, length(c) - 1) FROM names UNION ALL SELECT candidate, substr(c, 1, length(c) // 2) || '0' || substr(c, length(c) // 2 + 2) FROM names),
+asked AS (SELECT DISTINCT own, said, lower(regexp_replace(said, '[ _]', '', 'g')) AS q FROM forms),
+scored AS (SELECT said, candidate, CASE WHEN q = c THEN 1.0::DOUBLE WHEN contains(c, q) THEN least(0.99::DOUBLE, greatest(0.90::DOUBLE, 0.85::DOUBLE + length(q)::DOUBLE / length(c) * 0.15::DOUBLE))
+  WHEN contains(q, c) THEN least(0.89::DOUBLE, greatest(0.75::DOUBLE, 0.68::DOUBLE + 0.21::DOUBLE / (length(q)::DOUBLE / length(c))))
+  WHEN own = candidate THEN 2.0::DOUBLE * (length(c) - 1) / (2 * length(c)) END AS score FROM asked, names),
+r AS (SELECT *, row_number() OVER (PARTITION BY said ORDER BY score DESC, length(candidate), candidate DESC) AS r FROM scored WHERE score >= 0.75)
+SELECT said, candidate, score FROM r WHERE r = 1""")
 def fuzzy_best(spark, d):
-    """Each nation's name, as a target in other letters, among all names; the exact one must win."""
+    """Names in other letters, longer, shorter, and with a letter changed, among all names."""
     names = table(spark, d, "nation").select(F.col("n_name").alias("candidate"))
-    targets = names.select(F.concat(F.lit(" "), F.upper("candidate")).alias("said"), F.col("candidate").alias("target"))
-    best = M.best_fuzzy(targets.select("said"), names, "said", "candidate")
-    return best.join(targets, "said").select("target", "candidate", "score")
+    low = M.match_text(F.col("candidate"))
+    half = F.floor(F.length(low) / 2).cast("int")
+    changed = F.concat(F.substring(low, F.lit(1), half), F.lit("0"), F.substring(low, half + 2, F.length(low)))
+    forms = F.array(F.concat(F.lit(" "), F.upper("candidate")), F.concat("candidate", F.lit(" Republic")), F.substring(low, F.lit(1), F.length(low) - 1), changed)
+    return M.best_fuzzy(names.select(F.explode(forms).alias("said")).distinct(), names, "said", "candidate")
 
 
 @catalog("merge_policy", """WITH e AS (SELECT c_custkey, c_name, CASE WHEN c_nationkey = 3 THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_acctbal > 0), i AS (SELECT c_custkey, upper(c_name) AS c_name, 'NEW' AS c_mktsegment FROM customer WHERE c_mktsegment <> 'BUILDING')
@@ -161,10 +172,9 @@ def identity_components_documents(spark, d):
     from quarrylight.operators.components import components
 
     docs = table(spark, d, "documents").where("doc_id is not null").select("doc_id", "text")
-    items = table(spark, d, "benchmark").where("text <> ''").select("item_id", F.col("text").alias("span"))
-    side = F.broadcast(items) if items.count() <= 10_000 else items
+    items = table(spark, d, "benchmark").select(F.md5("text").alias("item"), F.col("text").alias("span")).where("span <> ''").distinct()
     same = docs.where("btrim(text) <> ''").select("doc_id", F.concat(F.lit("t:"), F.md5("text")).alias("key"))
-    shared = docs.join(side, F.contains("text", "span")).select("doc_id", F.concat(F.lit("p:"), F.md5("span")).alias("key"))
+    shared = contained(docs, items, "doc_id", "text", "item", "span").select("doc_id", F.concat(F.lit("p:"), F.col("item")).alias("key"))
     keyed = saved(same.unionByName(shared).distinct())
     hub = keyed.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
     found = components(keyed.join(hub, "key").select("a", F.col("doc_id").alias("b")))

@@ -10,6 +10,7 @@ from quarrylight.functions import vocabulary as V
 from quarrylight.functions.python_udfs import chunk_text
 from quarrylight.operators import search as S
 from quarrylight.operators.batches import greedy_batches
+from quarrylight.operators.grams import contained
 from quarrylight.operators.ladder import ranked
 from quarrylight.plans.base import Catalog, table
 
@@ -81,10 +82,9 @@ def noise_ratio(spark, d):
 
 @catalog("evidence_span_check", "SELECT doc_id, item_id FROM documents JOIN benchmark ON contains(documents.text, benchmark.text) WHERE benchmark.text <> ''")
 def evidence_spans(spark, d):
-    """Whole passages in documents; the passages are a bounded question list, their size is checked."""
-    items = table(spark, d, "benchmark").where("text <> ''").select("item_id", F.col("text").alias("span"))
-    side = F.broadcast(items) if items.count() <= 10_000 else items
-    return table(spark, d, "documents").join(side, F.contains("text", "span")).select("doc_id", "item_id")
+    """Whole passages in documents, each looked up by its rarest pair of words."""
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("span"))
+    return contained(table(spark, d, "documents"), items, "doc_id", "text", "item_id", "span")
 
 
 @catalog("duplicate_groups", "SELECT md5(text) AS key, min(doc_id) AS keeper, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
