@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("reports", "texts", "matching", "graphs", "pages", "crawls", "writes", "streams", "rebuilds")
+MODULES = ("reports", "texts", "matching", "graphs", "pages", "crawls", "writes", "streams", "rebuilds", "routes")
 
 
 @dataclass(frozen=True)
