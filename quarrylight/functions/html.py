@@ -103,8 +103,9 @@ def hrefs(html: Column) -> Column:
 
 # How scripted anchors set a form's page field and send it, the field that jumps to any page, and
 # the URL parameters that say which page this is.
-ASSIGN = r"(?:document\.)?([A-Za-z_]\w*)\.([A-Za-z_]\w*)\.value\s*=\s*['\"]?(\d+)"
-SUBMIT = r"(?:document\.)?([A-Za-z_]\w*)\.submit\("
+_FORM = r"(?:document\.)?(?:forms(?:\.|\[\s*['\"]))?([A-Za-z_]\w*)(?:['\"]\s*\])?"
+ASSIGN = _FORM + r"\.([A-Za-z_]\w*)\.value\s*=\s*['\"]?(\d+)"
+SUBMIT = _FORM + r"\.submit\("
 GOTO = r"(?i)^(\w*?)GOPAGE$"
 PAGE_KEYS = "pagenum|page|p|pn|fromwennowpage"
 
@@ -118,7 +119,12 @@ def form_pagination(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     URL, else the first) are left out.
     """
     html, url = F.coalesce(F.col(html_col), F.lit("")), F.coalesce(F.col(url_col), F.lit(""))
-    attribute = lambda tag, name: F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b[^>]*?\b{name}\s*=\s*[\"']([^\"']+)[\"']"), F.lit(1))
+
+    def attribute(tag: str, name: str) -> Column:
+        """Values in double quotes, then those in single ones; a script may hold the other kind."""
+        quoted = lambda q: F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b[^>]*?\b{name}\s*=\s*{q}([^{q}]+){q}"), F.lit(1))
+        return F.transform(F.concat(quoted('"'), quoted("'")), lambda v: F.regexp_replace(F.regexp_replace(v, "&#39;|&apos;", "'"), "&quot;|&#34;", '"'))
+
     marked = F.nullif(F.regexp_extract(html, r"(?is)<span\b[^>]*this-page[^>]*>\s*(\d+)\s*<", 1), F.lit(""))
     named = F.nullif(F.regexp_extract(url, rf"(?i)[?&](?:{PAGE_KEYS})=0*([1-9]\d*)(?:[&#]|$)", 1), F.lit(""))
     read = pages.select(
@@ -127,7 +133,7 @@ def form_pagination(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     )
     part = lambda k: F.regexp_extract("script", ASSIGN, k)
     sent = F.regexp_extract("script", SUBMIT, 1)
-    set_to = read.select("id", "base", "here", "inputs", part(1).alias("form"), part(2).alias("field"), part(3).cast("int").alias("page"), sent.alias("sent")).where("page > 0 and (sent = '' or sent = form)")
+    set_to = read.select("id", "base", "here", "inputs", part(1).alias("form"), part(2).alias("field"), part(3).try_cast("int").alias("page"), sent.alias("sent")).where("page > 0 and (sent = '' or sent = form)")
     jumps = F.exists("inputs", lambda n: n.rlike(GOTO) & F.lower(F.col("field")).startswith(F.lower(F.regexp_extract(n, GOTO, 1))))
     forms = set_to.withColumn("jumps", jumps).groupBy("id", "base", "here", "form", "field").agg(F.max("page").alias("total_pages"), F.collect_set("page").alias("set"), F.bool_or("jumps").alias("jumps"))
     listed = forms.withColumn("page_index", F.explode(F.when(F.col("jumps"), F.sequence(F.lit(1), "total_pages")).otherwise(F.col("set")))).where("page_index > 1 and page_index <> here")

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.functions import html as H
+from quarrylight.functions import people as P
 from quarrylight.functions import urls as U
 from quarrylight.operators import routes as R
 from quarrylight.plans.base import Catalog, table
-from quarrylight.sources.tables import saved
+from quarrylight.sources.tables import newest_first, saved
 
 catalog = Catalog()
 
@@ -128,3 +129,61 @@ def skill_choice(spark, d):
     tools = F.slice(F.array(F.lit("one"), F.lit("two")), F.lit(1), (F.count("*") % 3).cast("int"))
     states = part.groupBy(F.col("p_brand").alias("state")).agg(tools.alias("tools"))
     return R.select_skills(R.skills_of(files), states).select("state", "rank", "name", F.md5("rendered").alias("rendered_md5"))
+
+
+@catalog("form_pages", """WITH c AS (SELECT c_custkey AS k, 2 + c_custkey % 9 AS top, c_custkey % 3 AS style, c_custkey % 2 = 0 AS jump, 1 + c_nationkey % 3 AS here FROM customer)
+SELECT k AS id, 'f' || k AS form, 'f' || k || 'NOW' AS field, p::INT AS page_index, top::INT AS total_pages FROM (SELECT *, unnest(CASE WHEN jump THEN range(1, top + 1) ELSE [2, top] END) AS p FROM c) WHERE p > 1 AND p <> here GROUP BY ALL""")
+def form_pages(spark, d):
+    """Customers as pages with a form: set by subscript in either quotes or by name, with or without a jump to any page."""
+    k, text = F.col("c_custkey"), lambda c: c.cast("string")
+    name = F.concat(F.lit("f"), text(k))
+    at = F.when(k % 3 == 0, F.concat(F.lit("document.forms['"), name, F.lit("']"))).when(k % 3 == 1, F.concat(F.lit("document.forms[&quot;"), name, F.lit("&quot;]"))).otherwise(F.concat(F.lit("document."), name))
+    link = lambda p: F.concat(F.lit('<a href="javascript:'), at, F.lit("."), name, F.lit("NOW.value="), text(p), F.lit(";"), at, F.lit('.submit()">'), text(p), F.lit("</a>"))
+    jump = F.when(k % 2 == 0, F.concat(F.lit('<input name="'), name, F.lit('GOPAGE">'))).otherwise(F.lit(""))
+    html = F.concat(F.lit('<form name="'), name, F.lit('"><a href="/plain">x</a><span class="this-page"> '), text(1 + F.col("c_nationkey") % 3), F.lit(" </span>"), link(F.lit(2)), link(2 + k % 9), jump, F.lit("</form>"))
+    pages = table(spark, d, "customer").select(k.alias("page_id"), F.lit("https://a.edu.cn/x.jsp").alias("url"), html.alias("html"))
+    return H.form_pagination(pages).drop("synthetic_url")
+
+
+#: Sentences about a person (``{n}``), and whether they claim the title.
+CLAIMS = [
+    ("带领团队攻关，2019年当选中国工程院院士", True), ("{n}，中国科学院院士，博士生导师。", True), ("教授, 博导, 中国工程院院士", True), ("毕业于北京，导师为张三院士。", False), ("与荷兰皇家科学院院士Maarten教授合作。", False),
+    ("王华明院士领衔的创新团队骨干成员。", False), ("参与基金、院士工作站项目。", False), ("[两院院士](https://a.edu.cn/x)\n## {n}", False), ("{n} was elected academician in 2010.", True), ("His advisor is an academician.", False), ("教授", False),
+]
+#: Sentences of biographies, and the fields they name.
+FIELDS = [
+    ("研究方向：{n}学；视觉、图像处理。生于北京。", "{n}学；视觉；图像处理"), ("在{n}材料和纳米等方面取得了重要研究成果。", "{n}材料；纳米"), ("率先倡导环境和{n}研究。", "环境和{n}"), ("主要从事{n}计算等方面的研究。", "{n}计算"),
+    ("在教学方面取得优异评价。", None), ("长期在{n}学院方面开展招生工作。", None), ("主要从事委员会{n}研究。", None), ("他喜欢{n}。", None),
+]
+
+
+def _cases(cases: list[tuple], k: str) -> str:
+    quoted = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, bool) else "'" + x.replace("'", "''").replace("{n}", "' || n || '") + "'"
+    return "CASE " + " ".join(f"WHEN {k} % {len(cases)} = {i} THEN {quoted(want)}" for i, (_, want) in enumerate(cases)) + " END"
+
+
+def _said(spark, d, cases):
+    k, n = F.col("c_custkey"), F.concat(F.lit("N"), F.translate(F.col("c_custkey").cast("string"), "0123456789", "abcdefghij"))
+    said = reduce(lambda rest, i: F.when(k % len(cases) == i, F.replace(F.lit(cases[i][0]), F.lit("{n}"), n)).otherwise(rest), range(len(cases)), F.lit(None).cast("string"))
+    return table(spark, d, "customer").select("c_custkey", n.alias("n"), said.alias("said"))
+
+
+@catalog("academician_claims", f"SELECT c_custkey, {_cases(CLAIMS, 'c_custkey')} AS claims FROM customer")
+def academician_claims(spark, d):
+    """Customers' biographies, which claim the title, mention another's, or neither."""
+    return _said(spark, d, CLAIMS).select("c_custkey", P.claims_academician(F.col("n"), F.col("said")).alias("claims"))
+
+
+@catalog("research_fields", f"SELECT c_custkey, {_cases(FIELDS, 'c_custkey')} AS fields FROM (SELECT c_custkey, 'N' || translate(CAST(c_custkey AS VARCHAR), '0123456789', 'abcdefghij') AS n FROM customer)")
+def research_fields(spark, d):
+    """The fields that customers' biographies name."""
+    return _said(spark, d, FIELDS).select("c_custkey", P.infer_research(F.col("said")).alias("fields"))
+
+
+@catalog("newest_of_each", "SELECT o_custkey % 10 AS part, arg_max(o_orderkey, [o_orderdate::VARCHAR, lpad(CAST(o_orderkey AS VARCHAR), 12, '0')]) AS newest, count(*) AS n FROM orders GROUP BY 1")
+def newest_of_each(spark, d):
+    """Orders as files with a time each: of every folder the newest, of equal times the last by name."""
+    o = table(spark, d, "orders")
+    files = o.select((F.col("o_custkey") % 10).alias("part"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("path"), F.col("o_orderdate").alias("modified"), "o_orderkey")
+    best = newest_first(files, "part")
+    return best.join(files, ["part", "path"]).join(files.groupBy("part").agg(F.count("*").alias("n")), "part").select("part", F.col("o_orderkey").alias("newest"), "n")

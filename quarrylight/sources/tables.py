@@ -62,6 +62,16 @@ def optional_table(spark: SparkSession, path: str, schema: T.StructType) -> Data
     return with_columns(spark.read.parquet(path), schema)
 
 
+def files_of(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(path, modified) of a folder's files, without their content."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", F.col("modificationTime").alias("modified"))
+
+
+def newest_first(files: DataFrame, by: str) -> DataFrame:
+    """(by, path) of the newest file of each, of equal times the last by name; one grouped maximum."""
+    return files.groupBy(by).agg(F.max_by("path", F.struct("modified", "path")).alias("path"))
+
+
 def select_sources(files: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sources (name, path) whose name or root is wanted, whatever its case, and the wanted names without one."""
     keyed = files.select("name", "path", F.explode(F.array_distinct(F.array(F.lower("name"), F.lower("root")))).alias("key"))

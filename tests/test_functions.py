@@ -111,6 +111,18 @@ def test_form_pagination(spark):
     assert found[1][2] == (19, "http://a.cn/x.jsp?form=fromWen&field=fromWenNOWPAGE&to=2") and found[2][19][1] == "http://a.cn/x.jsp?id=7&form=fromWen&field=fromWenNOWPAGE&to=19"
 
 
+def test_form_pagination_by_subscript(spark):
+    to = lambda k: f"""<a class="Next" href="javascript:document.forms['fromWen'].fromWenNOWPAGE.value={k};document.forms['fromWen'].submit();">{k}</a>"""
+    head = """<form name="fromWen" method="post"><input type="hidden" name="fromWenNOWPAGE" value="1"><input type="hidden" name="actiontype" value=""><span class="this-page">1</span>"""
+    jump = """<a href="javascript:document.forms['fromWen'].actiontype.value='NextPage';document.forms['fromWen'].submit()" class="Next">next</a><input type="button" name="fromWenFind" onclick="document.forms['fromWen'].fromWenNOWPAGE.value=document.forms['fromWen'].fromWenGOPAGE.value;"><input size="2" name="fromWenGOPAGE" value="">"""
+    single = """<a href='javascript:document.forms["f"].p.value=3;document.forms["f"].submit()'>3</a><a href="document.forms[&#39;f&#39;].p.value=4">4</a>"""
+    rows = [(1, "https://a.cn/x.jsp?id=2031", head + "".join(map(to, [2, 3, 4, 5, 6, 19])) + jump + "</form>"), (2, "https://a.cn/p.jsp?py=a", head + to(2) + to(3)), (3, "https://a.cn/q", single)]
+    found = {}
+    for r in H.form_pagination(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        found.setdefault((r.id, r.form, r.field), []).append(r.page_index)
+    assert {k: sorted(v) for k, v in found.items()} == {(1, "fromWen", "fromWenNOWPAGE"): list(range(2, 20)), (2, "fromWen", "fromWenNOWPAGE"): [2, 3], (3, "f", "p"): [3, 4]}
+
+
 def test_links_have_headings_and_context(spark):
     page = '<div class="nav"><h2>师资</h2><ul><li><a href="/a">甲</a></li></ul></div><h3>B</h3><p><a href="http://x.cn/b">乙</a><a href="/a">甲老师</a>'
     rows = H.page_links(spark.createDataFrame([(1, "http://s.cn/i", page)], "page_id long, url string, html string")).orderBy("link_order").collect()
@@ -131,8 +143,12 @@ def test_chunks():
 
 @pytest.mark.parametrize(
     ("name", "text", "claims"),
-    [("王五", "中国工程院院士", True), ("王五", "王五，2019年当选中国科学院院士。", True), ("王五", "师从李四院士，从事光学研究。", False), ("王五", "王五教授与李四院士团队合作。", False), ("王五", "教授", False), ("Wang Wu", "Wang Wu was elected academician in 2010.", True), ("Wang Wu", "His advisor is an academician.", False), ("王五", "与李四院士合作", False), (None, None, False)],
-)
+    [("王五", "中国工程院院士", True), ("王五", "王五，2019年当选中国科学院院士。", True), ("王五", "师从李四院士，从事光学研究。", False), ("王五", "王五教授与李四院士团队合作。", False), ("王五", "教授", False), ("Wang Wu", "Wang Wu was elected academician in 2010.", True), ("Wang Wu", "His advisor is an academician.", False), ("王五", "与李四院士合作", False), (None, None, False),
+     ("王五", "带领团队攻关，2019年当选中国工程院院士", True), ("李未", "李未，中国科学院院士，博士生导师。", True), ("李未", "李未院士是我国著名的计算机科学家。", True), ("Someone", "教授, 博导, 中国工程院院士", True),
+     ("宫本一夫", "宮本一夫 博士，美国艺术与科学院院士（2018）。", True), ("王峰", "博士毕业于北京航空航天大学，导师为张彦仲院士。", False), ("雷文强", "与荷兰皇家科学院院士Maarten de Rijke教授等世界一流学者联袂作tutorial。", False),
+     ("汤海波", "王华明院士领衔的重点领域创新团队骨干成员。", False), ("黄晶", "参与国家自然科学基金、院士工作站项目等科研项目。", False), ("范菊", "* [两院院士](https://a.edu.cn/jc_rc.html)\n# 师资名录", False),
+     ("范菊", "* [两院院士](https://a.edu.cn/jc_rc.html)\n范菊，中国科学院院士，长期从事船舶与海洋工程研究。", True)],
+)
 def test_academician_claims(spark, name, text, claims):
     df = spark.createDataFrame([(name, text)], "n string, x string")
     assert df.select(P.claims_academician(F.col("n"), F.col("x"), F.lit(None).cast("string")).alias("r")).first().r is claims
@@ -140,7 +156,8 @@ def test_academician_claims(spark, name, text, claims):
 
 @pytest.mark.parametrize(
     ("bio", "fields"),
-    [("研究方向：机器学习；计算机视觉、图像处理。生于北京。", "机器学习；计算机视觉；图像处理"), ("在催化材料方面取得了重要研究成果。", "催化材料"), ("率先倡导环境和健康研究。", "环境和健康"), (None, None)],
+    [("研究方向：机器学习；计算机视觉、图像处理。生于北京。", "机器学习；计算机视觉；图像处理"), ("在催化材料方面取得了重要研究成果。", "催化材料"), ("率先倡导环境和健康研究。", "环境和健康"), (None, None), ("在教学方面取得优异评价。", None), ("长期在学院方面开展招生工作。", None), ("主要从事量子计算研究，担任委员会顾问研究。", "量子计算"),
+     ("李未院士在实用并发语言操作语义、形式理论序列和修正演算等方面取得了开创性研究成果。李未院士在我国率先倡导进行海量信息计算的理论与方法研究。", "实用并发语言操作语义；形式理论序列；修正演算；海量信息计算的理论与方法")],
 )
 def test_research_fields(spark, bio, fields):
     assert one(spark, P.infer_research(F.col("x")), x=bio) == fields

@@ -95,3 +95,15 @@ def test_skills_by_front_matter(spark):
     assert [n for n, _ in got["FIND_FACULTY_PAGES"]] == ["extract-links", "none", "open", "plain"]
     assert got["FIND_FACULTY_PAGES"][0][1].endswith("\n[truncated by skill token_budget]") and "Allowed tools: extract_links" in got["FIND_FACULTY_PAGES"][0][1]
     assert [n for n, _ in got["EXTRACT_PROFESSORS"]] == ["first", "none", "open", "plain", "save-professors"] and [n for n, _ in got["OTHER"]] == ["none", "open", "plain"]
+
+
+def test_newest_file(spark, tmp_path):
+    import os
+
+    from quarrylight.sources.tables import files_of, newest_first
+
+    for name, at in (("a.db", 100), ("b.db", 300), ("c.db", 300), ("d.txt", 900)):
+        (tmp_path / name).write_text("x")
+        os.utime(tmp_path / name, (at, at))
+    files = files_of(spark, f"file://{tmp_path}", "*.db").withColumn("kind", F.lit("backup"))
+    assert [r.path.rsplit("/", 1)[-1] for r in newest_first(files, "kind").collect()] == ["c.db"]
