@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from quarrylight.llm.components import connected_components
 from quarrylight.llm.store import Scratch, light
 
-#: Shingles of up to SHINGLE characters of the lower-cased line. In a run of letters and digits they start at the
-#: first and at each STEP-th character after it, else at each character that isn't white space (punctuation, and
-#: scripts that put no spaces between words). So shingles overlap and every character is in at least one.
-SHINGLE, STEP = 8, 5
-RUN = r"0-9a-z\x{80}-\x{DFF}\x{1200}-\x{167F}\x{AC00}-\x{D7A3}"
-SHINGLES = rf"(?s)(?=(\S.{{0,{SHINGLE - 1}}}))(?:[{RUN}]{{1,{STEP}}}|\S)"
+#: Shingles of up to SHINGLE characters of the lower-cased line, one from each character that isn't white space: the
+#: sets whose similarity decides.
+SHINGLE = 8
+SHINGLES = rf"(?s)(?=(\S.{{0,{SHINGLE - 1}}}))\S"
+#: The signature of a long line takes those that start at CHOSEN characters, or at any that isn't a letter or digit of
+#: ASCII. The choice depends on the character alone, so what is put in or taken out moves no other shingle.
+CHOSEN = "aio0369"
+SAMPLED = rf"(?s)(?=(\S.{{0,{SHINGLE - 1}}}))[{CHOSEN}\x21-\x2F\x3A-\x60\x7B-\x7E\x{{80}}-\x{{10FFFF}}]"
+#: Lines of up to WHOLE characters, or with few such starts, have all their shingles in a signature; those from PART on
+#: have the chosen ones in another. Between the two, and between FEWEST and MOST starts, lines have both signatures, as
+#: lines on both sides can be similar.
+WHOLE, PART, FEWEST, MOST = 80, 52, 8, 20
 #: The hashes of a line lie on a circle; a band is the run of WIDE that follow one of BANDS even starts. Runs of
 #: WIDE agree with the fourth power of the similarity, so lines at the threshold of 0.8 meet in one of the ten
 #: with a probability of 0.992 to 0.998, by simulation. Lines of up to SHORT shingles have runs of FEW as well: at
@@ -26,8 +32,8 @@ PAIRWISE = 16
 BLOCK = 256
 
 
-def shingle_hashes(line: Column) -> Column:
-    return F.transform(F.regexp_extract_all(F.lower(line), F.lit(SHINGLES), F.lit(1)), lambda s: F.xxhash64(s))
+def shingle_hashes(line: Column, form: str = SHINGLES) -> Column:
+    return F.transform(F.regexp_extract_all(F.lower(line), F.lit(form), F.lit(1)), lambda s: F.xxhash64(s))
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -39,20 +45,29 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _banded(lines: DataFrame) -> DataFrame:
-    """(id, row, pos, lh, bands): the line's hash and its band values."""
-    hashed = lines.select("id", "row", "pos", F.xxhash64("line").alias("lh"), F.sort_array(F.array_distinct(shingle_hashes(F.col("line")))).alias("h"))
+    """(id, row, pos, lh, bands): the line's hash and the band values of its one or two signatures."""
+    none, size = F.array().cast("array<bigint>"), F.length("line")
+    sampled = F.when(size >= PART, F.array_distinct(shingle_hashes(F.col("line"), SAMPLED))).otherwise(none)
+    read = lines.select("id", "row", "pos", "line", F.xxhash64("line").alias("lh"), sampled.alias("part"))
+    whole = F.when((size <= WHOLE) | (F.size("part") <= MOST), F.array_distinct(shingle_hashes(F.col("line")))).otherwise(none)
+    part = F.when(F.size("part") >= FEWEST, F.col("part")).otherwise(none)
+    hashed = read.select("id", "row", "pos", "lh", *[F.sort_array(h).alias(f"h{k}") for k, h in enumerate((whole, part))])
     # sorted in among the hashes, a start shows how many of them come before it
-    placed = hashed.select("id", "row", "pos", "lh", F.size("h").alias("n"), F.concat("h", F.slice("h", 1, WIDE)).alias("circle"), F.sort_array(F.concat("h", F.array(*[F.lit(s) for s in STARTS]))).alias("among"))
+    starts = F.array(*[F.lit(s) for s in STARTS])
+    rings = [c for k in (0, 1) for c in (F.concat(f"h{k}", F.slice(f"h{k}", 1, WIDE)).alias(f"circle{k}"), F.sort_array(F.concat(f"h{k}", starts)).alias(f"among{k}"))]
+    placed = hashed.select("id", "row", "pos", "lh", "h0", "h1", *rings)
 
     # by a lambda: written out for each start, the generated code would be too long to be compiled at run time
-    starts = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(start).alias("start")) for b, start in enumerate(STARTS)])
+    each = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(start).alias("start")) for b, start in enumerate(STARTS)])
 
-    def runs(wide: int) -> Column:
-        first = lambda s: (F.array_position("among", s["start"]) - s["b"]).cast("int")
-        return F.transform(starts, lambda s: F.xxhash64(s["b"], F.lit(wide), F.slice("circle", first(s), wide)))
+    def runs(k: int, wide: int) -> Column:
+        first = lambda s: (F.array_position(f"among{k}", s["start"]) - s["b"]).cast("int")
+        return F.transform(each, lambda s: F.xxhash64(F.lit(k), s["b"], F.lit(wide), F.slice(f"circle{k}", first(s), wide)))
 
-    few = F.when(F.col("n") <= SHORT, runs(FEW)).otherwise(F.array().cast("array<bigint>"))
-    return placed.select("id", "row", "pos", "lh", F.concat(runs(WIDE), few).alias("bands"))
+    bands = []
+    for k in (0, 1):
+        bands += [F.when(F.size(f"h{k}") > 0, runs(k, WIDE)).otherwise(none), F.when(F.size(f"h{k}").between(1, SHORT), runs(k, FEW)).otherwise(none)]
+    return placed.select("id", "row", "pos", "lh", F.concat(*bands).alias("bands"))
 
 
 def _verified(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
@@ -188,8 +203,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with one line kept of each class of equal or near-equal lines.
 
     Adds n_lines (lines that aren't blank) and n_kept. Lines end at line feeds. Two lines are linked
-    if they are equal or if their sets of shingles (see SHINGLES: eight characters, lower-cased, every
-    character is covered) have a Jaccard similarity of at least ``similarity``; classes are the
+    if they are equal or if their sets of shingles (see SHINGLES: eight characters from each that is
+    no white space, lower-cased) have a Jaccard similarity of at least ``similarity``; classes are the
     links' components. The line of least id, then least text hash and place, stays, the others go
     from their texts; blank lines stay as they are. Distinct lines are told apart by 64-bit hashes.
 
