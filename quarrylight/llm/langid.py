@@ -22,7 +22,6 @@ VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 #: Runs of word characters without digits and underscores.
 WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
-MAX_PIECE = 8
 UNKNOWN = "und"
 #: About so many labelled rows at most, those of least hash, fit the model, with all their words.
 FIT_ROWS = 20_000
@@ -33,10 +32,14 @@ CACHE_WORDS = 400_000
 
 @functools.cache
 def pieces(path: str = VOCABULARY) -> tuple[str, ...]:
-    """The vocabulary's lower-case pieces of letters, at most MAX_PIECE characters with the word start."""
+    """The vocabulary's lower-case pieces of letters, with or without the word start."""
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = (model.id_to_piece(k) for k in range(model.get_piece_size()))
-    return tuple(sorted({p for p in found if len(p) <= MAX_PIECE and (p.lstrip(START).isalpha() and p.count(START) <= 1 or p == START) and p == p.lower()}))
+    return tuple(sorted({p for p in found if (p.lstrip(START).isalpha() and p.count(START) <= 1 or p == START) and p == p.lower()}))
+
+
+#: Characters of the longest piece, with the word start.
+MAX_PIECE = max(map(len, pieces()))
 
 
 def _hash(codes: np.ndarray) -> np.ndarray:

@@ -1,6 +1,7 @@
 import collections
 import functools
 import hashlib
+import math
 import re
 import zlib
 
@@ -9,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import regex
+import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -399,6 +401,67 @@ def test_forward_sums_all_segmentations(model):
     assert np.isfinite(model.forward(["ab" * 5000])).all() and np.allclose(model._long(["thing"], 5), model.forward(["thing"]))
 
 
+def plain_language(rows, rounds=2):
+    """The whole operator word by word: fit on the allowed fold, then score every text."""
+    words = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    mine = [(t, lang) for i, t, lang in rows if t is not None and lang not in (None, "und") and zlib.crc32(str(i).encode()) % 3 != 1]
+    langs, number = sorted({lang for _, lang in mine}), {p: k for k, p in enumerate(langid.pieces())}
+    longest, sp = max(map(len, number)), sentencepiece.SentencePieceProcessor(model_file=langid.VOCABULARY)
+    counted = {lang: collections.Counter(w for t, x in mine if x == lang for w in words(t)) for lang in langs}
+
+    def probabilities(weights):
+        smooth = np.array(weights) + 0.05
+        p = smooth / smooth.sum()
+        return p, p.min() * 0.01
+
+    def ways(word, p, stray, back=False):
+        """Sums over segmentations up to each place, from the start or the end."""
+        word, out = langid.START + word, [1.0]
+        for e in range(1, len(word) + 1):
+            total = 0.0
+            for n in range(1, min(e, longest) + 1):
+                piece = word[len(word) - e : len(word) - e + n] if back else word[e - n : e]
+                total += out[e - n] * (p[number[piece]] if piece in number else stray if n == 1 else 0)
+            out.append(total)
+        return out
+
+    model = {}
+    for lang in langs:
+        weights = np.zeros(len(number))
+        for w, n in counted[lang].items():
+            for piece in sp.encode(w, out_type=str):
+                if piece in number:
+                    weights[number[piece]] += n
+        for _ in range(rounds):
+            p, stray = probabilities(weights)
+            weights = np.zeros(len(number))
+            for w, n in counted[lang].items():
+                ahead, behind, full = ways(w, p, stray), ways(w, p, stray, True), langid.START + w
+                for e in range(1, len(full) + 1):
+                    for k in range(1, min(e, longest) + 1):
+                        if full[e - k : e] in number:
+                            at = number[full[e - k : e]]
+                            weights[at] += n * ahead[e - k] * p[at] * behind[len(full) - e] / ahead[-1]
+        model[lang] = probabilities(weights)
+    prior = {lang: math.log(sum(x == lang for _, x in mine) / len(mine)) for lang in langs}
+    out = {}
+    for i, t, _ in rows:
+        logs = [prior[lang] + sum(math.log(ways(w, *model[lang])[-1]) for w in words(t)) for lang in langs]
+        best = max(range(len(langs)), key=lambda k: logs[k])
+        known = any(c.isalpha() for w in words(t) for c in w)
+        out[i] = (langs[best], 1 / sum(math.exp(x - logs[best]) for x in logs)) if known else ("und", 0.0)
+    return out
+
+
+def test_language_of_few_documents_equals_the_plain_form(spark, documents):
+    texts = documents.where("length(text) < 500").orderBy("doc_id").limit(36).collect()
+    rows = [(r.doc_id, r.text, r.lang) for r in texts] + [(10_001, None, "en"), (10_002, "internationalisation of the " + "x" * 70, "en"), (10_003, "42", None)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    want = plain_language(rows)
+    assert {r.doc_id: r.lang_pred for r in got} == {i: x[0] for i, x in want.items()}
+    assert all(r.score == pytest.approx(want[r.doc_id][1], abs=1e-6) for r in got) and max(map(len, langid.pieces())) > 12
+
+
 def test_held_out_accuracy_and_folds(documents, model):
     rows = langid.identify(documents, model=model).join(documents.select("doc_id", "lang"), "doc_id").collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
