@@ -26,7 +26,7 @@ NEVER = frozenset("head script style noscript template iframe object svg math ca
 STEM = 6
 HOME = frozenset("html body main article".split())
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|([^<]+|<)",
+    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*)>|([^<]+|<)",
     re.S,
 )
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -165,24 +165,30 @@ def _pieces(page: str, wrappers: set[int]) -> tuple[list[Piece], dict[int, Held]
     has_home = False
     breaks = True
     raw = ""
+    texts: dict[int, list[str]] = {}  # the runs of each text, joined once at the end
     at, end = 0, len(page)
+    closed = page.rfind(">")  # nothing after the last ">" is a tag, so no more is looked for
     while at < end:
         if raw:
             close = re.compile(rf"</{raw}[\s/>]", re.I).search(page, at)
             at, raw = (close.start() if close else end), ""
             continue
         place = at
-        token = TOKEN.match(page, at)
-        at = token.end()
-        if (text := token[7]) is not None:
+        if at > closed:
+            text, at = page[at:].partition("<!--")[0], end
+        else:
+            token = TOKEN.match(page, at)
+            text, at = token[7], token.end()
+        if text is not None:
             if not firm:
                 n = len(text.split())
                 seen, shown = seen.plus(n), shown if off else shown.plus(n)
             if out and out[-1].kind not in ("tag", "br") and not breaks:
-                out[-1] = out[-1]._replace(text=out[-1].text + text)
+                texts[len(out) - 1].append(text)
             else:
                 kind = "off" if off else "article" if home else "link" if link else "plain"
-                out.append(Piece(kind, text, 0, breaks))
+                texts[len(out)] = [text]
+                out.append(Piece(kind, "", 0, breaks))
                 breaks = False
             continue
         name = (token[2] or token[5] or "").lower()
@@ -233,6 +239,8 @@ def _pieces(page: str, wrappers: set[int]) -> tuple[list[Piece], dict[int, Held]
     for *_, since in stack:
         if since >= 0:
             named[since] = seen.since(named[since])
+    for k, runs in texts.items():
+        out[k] = out[k]._replace(text="".join(runs))
     if has_home:
         out = [p._replace(kind="outside") if p.kind in ("plain", "link") else p for p in out]
     return [p if p.kind in ("tag", "br") else p._replace(words=len(p.text.split())) for p in out], named, shown

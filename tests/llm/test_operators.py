@@ -3,6 +3,7 @@ import functools
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import duckdb
@@ -716,6 +717,16 @@ def test_wrappers_of_all_names_keep_the_text(wrapper):
     assert htmltext.main_text(f"<html><body>{wrapper}{body}</div></body></html>").startswith("Wall\nNobody")
 
 
+@pytest.mark.parametrize("form", ["<a ", "</x ", "< ", "<a '", '<a "> ', "<!", "<!-- ", "<?", "<p>x ", "&amp; "])
+def test_broken_tags_take_linear_time(form):
+    """A page of a million characters without an end to its tags; a quadratic search would take hours."""
+    for page in (form * (1_000_000 // len(form)), form * (1_000_000 // len(form)) + ">"):
+        begin = time.perf_counter()
+        htmltext.main_text(page)
+        assert time.perf_counter() - begin < 60
+    assert htmltext.main_text("<article><p>One two three.</p> <b four") == "One two three.\n<b four"
+
+
 def test_extraction_keeps_to_its_columns_and_bears_hostile_pages(spark):
     deep = "<div>" * 20_000 + "<p>Deep words stay here in the page.</p>" + "</b>" * 2_000
     rows = [(1, "u", deep, "x", 7), (1, "u", deep, "x", 7), (None, None, None, None, None)]
