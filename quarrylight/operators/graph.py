@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.functions import urls as U
 from quarrylight.functions import vocabulary as V
 from quarrylight.functions.text import text_of
-from quarrylight.sources.tables import saved
+from quarrylight.sources.tables import saved, shared_dir
 
 
 def node_key(kind: Column, url: Column, org_name: Column, org_id: Column) -> Column:
@@ -88,32 +90,42 @@ def crawl(seeds: DataFrame, links: DataFrame, max_depth: int = 3) -> DataFrame:
     return seen
 
 
-def claim_loop(nodes: DataFrame, links: DataFrame, at_once: int, rounds: int, max_depth: int = 3) -> DataFrame:
-    """Nodes after up to ``rounds`` of claiming the ``at_once`` best, reading their pages and adding what these link to.
+def claim_loop(nodes: DataFrame, links: DataFrame, at_once: int, rounds: int | None = None, max_depth: int = 3) -> DataFrame:
+    """Nodes after claiming the ``at_once`` best, reading their pages and adding what these link to, until none waits.
 
     ``nodes`` has (id, base_priority, confidence, depth, status, attempt_count), ``links`` (src, dst,
     base_priority, confidence) the captured pages. A claimed node with a page is done, one without is
-    tried again later; what it links to waits one level deeper, unless it is known or too deep. A
-    node is claimed once a run. Adds round, NULL for what was never claimed. Only the claimed ids,
-    ``at_once`` a round, are broadcast; each round's nodes are written to the shared folder.
+    tried again in the next run; what it links to waits one level deeper, unless it is known or too
+    deep. A node is claimed once a run. Adds round, NULL for what was never claimed; ``rounds`` is a
+    bound on them. A round writes what changed only, as the log's next part: the nodes it claimed,
+    ``at_once`` at most, and those it found. The state is the log, read anew.
     """
-    nodes = saved(nodes.select("id", "base_priority", "confidence", "depth", "status", "attempt_count").withColumn("round", F.lit(None).cast("int")))
+    spark, at = nodes.sparkSession, f"{shared_dir(nodes.sparkSession)}/claims-{uuid.uuid4().hex}"
+    fields = "id", "base_priority", "confidence", "depth", "status", "attempt_count"
+    seeds = nodes.select(*fields)
+    seeds.write.parquet(f"{at}/nodes/part=0")
+    # the empty first part gives the claims a schema
+    seeds.limit(0).select("id", "depth", F.lit(True).alias("got"), F.lit(0).alias("round")).write.parquet(f"{at}/claims/part=0")
     pages = links.select(F.col("src").alias("id"), F.lit(True).alias("has_page")).distinct()
-    for k in range(1, rounds + 1):
-        claimed = claim_next(nodes, nodes.where("round is not null"), at_once).select("id", "depth").join(pages, "id", "left")
-        claimed = saved(claimed)
+    state = seeds.schema
+    claim_schema = spark.read.parquet(f"{at}/claims/part=0").schema
+    known = lambda: spark.read.schema(state).parquet(f"{at}/nodes/*")
+    taken = lambda: spark.read.schema(claim_schema).parquet(f"{at}/claims/*")
+    k = 0
+    while rounds is None or k < rounds:
+        k += 1
+        best = claim_next(known(), taken(), at_once).select("id", "depth").join(pages, "id", "left")
+        best.select("id", "depth", F.coalesce("has_page", F.lit(False)).alias("got"), F.lit(k).alias("round")).write.parquet(f"{at}/claims/part={k}")
+        claimed = spark.read.schema(claim_schema).parquet(f"{at}/claims/part={k}")
         if claimed.isEmpty():
             break
-        state = nodes.join(F.broadcast(claimed.select("id", F.coalesce("has_page", F.lit(False)).alias("got"))), "id", "left")
-        hit = F.col("got").isNotNull()
-        state = state.withColumns({
-            "status": F.when(F.col("got"), "done").when(hit, "retry").otherwise(F.col("status")), "attempt_count": F.col("attempt_count") + hit.cast("int"), "round": F.when(hit, k).otherwise(F.col("round")),
-        }).drop("got")
-        found = links.join(F.broadcast(claimed.where(F.col("depth") < max_depth).select(F.col("id").alias("src"), "depth")), "src")
-        found = found.groupBy(F.col("dst").alias("id")).agg(F.max("base_priority").alias("base_priority"), F.max("confidence").alias("confidence"), (F.min("depth") + 1).alias("depth"))
-        new = found.join(nodes.select("id"), "id", "left_anti").select("id", "base_priority", "confidence", "depth", F.lit("pending").alias("status"), F.lit(0).alias("attempt_count"), F.lit(None).cast("int").alias("round"))
-        nodes = saved(state.unionByName(new))
-    return nodes
+        found = links.join(claimed.where(F.col("depth") < max_depth).select(F.col("id").alias("src"), "depth"), "src")
+        found = found.groupBy(F.col("dst").alias("id")).agg(F.max("base_priority").alias("base_priority"), F.max("confidence").alias("confidence"), (F.min("depth") + 1).cast(state["depth"].dataType).alias("depth"))
+        new = found.join(known().select("id"), "id", "left_anti").select("id", "base_priority", "confidence", "depth", F.lit("pending").alias("status"), F.lit(0).cast(state["attempt_count"].dataType).alias("attempt_count"))
+        new.write.parquet(f"{at}/nodes/part={k}")
+    joined = known().join(taken().select("id", "got", "round"), "id", "left")
+    hit = F.col("got").isNotNull()
+    return joined.select("id", "base_priority", "confidence", "depth", F.when(F.col("got"), "done").when(hit, "retry").otherwise(F.col("status")).alias("status"), (F.col("attempt_count") + hit.cast("int")).alias("attempt_count"), "round")
 
 
 def knowledge_graph(universities: DataFrame, units: DataFrame, people: DataFrame) -> tuple[DataFrame, DataFrame]:

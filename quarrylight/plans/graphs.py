@@ -121,11 +121,14 @@ def order_links(spark, d):
     return links.where("src % 7 <> 0").withColumn("confidence", (F.col("dst") % 10).cast("double"))
 
 
-@catalog("claim_loop")
+@catalog("claim_loop", """WITH RECURSIVE t AS (SELECT o_orderkey AS id, (o_orderkey - 1) // 2 AS up FROM orders WHERE o_orderkey > 0), r AS (SELECT o_orderkey AS id, 0 AS depth FROM orders WHERE o_orderkey = 0 UNION ALL SELECT t.id, r.depth + 1 FROM t JOIN r ON t.up = r.id)
+SELECT id, CASE WHEN id = 0 THEN 60.0 ELSE 40.0 + id % 50 END::DOUBLE AS base_priority, CASE WHEN id = 0 THEN 1.0 ELSE id % 10 END::DOUBLE AS confidence, depth, CASE WHEN id IN (SELECT up FROM t) THEN 'done' ELSE 'retry' END AS status, 1 AS attempt_count FROM r""")
 def claim_loop(spark, d):
-    """Ten rounds of claiming the 20 best from the first ten orders on; tested against a plain loop."""
-    seeds = table(spark, d, "orders").where("o_orderkey < 10").select(F.col("o_orderkey").alias("id"), F.lit(60.0).alias("base_priority"), F.lit(1.0).alias("confidence"), F.lit(0).alias("depth"), F.lit("pending").alias("status"), F.lit(0).alias("attempt_count"))
-    return G.claim_loop(seeds, order_links(spark, d), 20, 10, 5)
+    """Every order is claimed, from the first one on over a tree of links, a quarter of all at once at most."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
+    seeds = o.where("id = 0").select("id", F.lit(60.0).alias("base_priority"), F.lit(1.0).alias("confidence"), F.lit(0).alias("depth"), F.lit("pending").alias("status"), F.lit(0).alias("attempt_count"))
+    links = o.where("id > 0").select(F.floor((F.col("id") - 1) / 2).alias("src"), F.col("id").alias("dst"), (40.0 + F.col("id") % 50).alias("base_priority"), (F.col("id") % 10).cast("double").alias("confidence"))
+    return G.claim_loop(seeds, links, max(20, o.count() // 4), max_depth=64).drop("round")
 
 
 @catalog("discovered_nodes", r"""SELECT DISTINCT 'faculty_list_url:url:' || regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || h AS node_key, 83.0::DOUBLE AS priority_score, 1 AS depth FROM (SELECT url, unnest(regexp_extract_all(html, '<a [^>]*?href="(/[^"]*)"', 1)) AS h FROM pages)""")

@@ -117,9 +117,18 @@ def test_claim_loop_equals_a_plain_loop(spark):
     seeds = [(k, 60.0, 1.0, 0, "pending", 0) for k in range(5)]
     schema = "id long, base_priority double, confidence double, depth int, status string, attempt_count int"
     got = G.claim_loop(spark.createDataFrame(seeds, schema), spark.createDataFrame(links, "src long, dst long, base_priority double, confidence double"), 4, 6, 3)
+    assert {r.id: [r.base_priority, r.confidence, r.depth, r.status, r.attempt_count, r.round] for r in got.collect()} == plain_claims(seeds, links, 4, 6)
+    whole = G.claim_loop(spark.createDataFrame(seeds, schema), spark.createDataFrame(links, "src long, dst long, base_priority double, confidence double"), 9, max_depth=3)
+    end = {r.id: [r.base_priority, r.confidence, r.depth, r.status, r.attempt_count, r.round] for r in whole.collect()}
+    assert end == plain_claims(seeds, links, 9, 99) and all(n[5] for n in end.values())
+    empty = spark.createDataFrame([], schema)
+    assert G.claim_loop(empty, spark.createDataFrame([], "src long, dst long, base_priority double, confidence double"), 4).count() == 0
+
+
+def plain_claims(seeds, links, at_once, rounds):
     nodes, pages = {s[0]: [*s[1:], None] for s in seeds}, {x[0] for x in links}
-    for k in range(1, 7):
-        waiting = sorted((i for i, n in nodes.items() if n[3] in ("pending", "retry") and n[5] is None), key=lambda i: (-(nodes[i][0] - 5 * nodes[i][4]), -nodes[i][1], nodes[i][2], nodes[i][4], i))[:4]
+    for k in range(1, rounds + 1):
+        waiting = sorted((i for i, n in nodes.items() if n[3] in ("pending", "retry") and n[5] is None), key=lambda i: (-(nodes[i][0] - 5 * nodes[i][4]), -nodes[i][1], nodes[i][2], nodes[i][4], i))[:at_once]
         found = {}
         for i in waiting:
             nodes[i][3:] = ["done" if i in pages else "retry", nodes[i][4] + 1, k]
@@ -129,7 +138,7 @@ def test_claim_loop_equals_a_plain_loop(spark):
                     found[b] = (max(p, old[0]), max(c, old[1]), min(nodes[i][2], old[2]))
         for b, (p, c, depth) in found.items():
             nodes.setdefault(b, [p, c, depth + 1, "pending", 0, None])
-    assert {r.id: [r.base_priority, r.confidence, r.depth, r.status, r.attempt_count, r.round] for r in got.collect()} == nodes
+    return nodes
 
 
 def test_steward_promotes_into_the_other_table(spark):
