@@ -70,7 +70,7 @@ def labelled(text: Column, labels: str) -> Column:
 def snapshot_record(text: Column, url: Column) -> Column:
     """A profile from a page's text: the heading is the name, labels give the fields; NULL for a page
     that the gate stops, that has no name, or that says nothing about it."""
-    head = P.normalise_name(F.regexp_replace(lines_of(text)[0], r"^#{1,6}\s*", ""))
+    head = P.normalise_name(F.regexp_replace(F.coalesce(F.get(lines_of(text), F.lit(0)), F.lit("")), r"^#{1,6}\s*", ""))
     fields = {f: labelled(text, words) for f, words in LABELS.items()}
     fields["title"] = P.normalise_title(fields["title"])
     fields["email"] = F.nullif(F.array_join(P.emails(text), "; "), F.lit(""))

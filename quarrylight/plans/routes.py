@@ -187,3 +187,41 @@ def newest_of_each(spark, d):
     files = o.select((F.col("o_custkey") % 10).alias("part"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("path"), F.col("o_orderdate").alias("modified"), "o_orderkey")
     best = newest_first(files, "part")
     return best.join(files, ["part", "path"]).join(files.groupBy("part").agg(F.count("*").alias("n")), "part").select("part", F.col("o_orderkey").alias("newest"), "n")
+
+
+@catalog("payload_normalisation", """WITH o AS (SELECT o_orderkey AS id, o_orderkey % 6 AS kind, o_orderkey % 5 = 0 AS lists, o_orderstatus = 'F' AS blank FROM orders),
+r AS (SELECT *, CASE WHEN lists THEN 'list_suppressed' WHEN kind = 1 THEN 'teaching_center_dropped' WHEN kind = 5 THEN 'synthesized' WHEN kind = 2 THEN 'alias_rewritten' WHEN kind = 3 THEN 'sub_department_rewritten' ELSE 'kept' END AS route FROM o)
+SELECT id AS task_id, CASE WHEN kind = 4 THEN '化学学院' ELSE '物理学院' END AS org_unit_name, CASE WHEN kind = 4 THEN 'https://hx.a.edu.cn/' ELSE 'https://wl.a.edu.cn/' END AS org_unit_url, route, 'N' || lpad(CAST(id AS VARCHAR), 8, 'x') AS name,
+  CASE WHEN kind = 5 OR blank THEN '副教授' ELSE '讲师' END AS title, 'x' || id || '@b.cn' AS email, 'https://wl.a.edu.cn/p/' || id AS homepage FROM r WHERE route NOT IN ('list_suppressed', 'teaching_center_dropped')""")
+def payload_normalisation(spark, d):
+    """Orders as extraction tasks: payloads of list pages, teaching centres, aliases, departments, other units, and none."""
+    from quarrylight.operators import payloads as N
+
+    k, text = F.col("o_orderkey"), lambda c: c.cast("string")
+    name = F.concat(F.lit("N"), F.lpad(text(k), 8, "x"))
+    page = F.concat(F.lit("# "), name, F.lit("\n职称：副教授\nE-mail x"), text(k), F.lit("@b.cn\n["), name, F.lit("](https://wl.a.edu.cn/p/"), text(k), F.lit(") [other](https://wl.a.edu.cn/longer/address)"))
+    o = table(spark, d, "orders")
+    tasks = o.select(k.alias("task_id"), (k % 5 != 0).alias("detail"), F.lit("物理学院").alias("org_unit_name"), F.lit("https://wl.a.edu.cn/").alias("org_unit_url"), F.lit("https://wl.a.edu.cn/x").alias("source_url"), page.alias("page_text"), F.lit(None).cast("string").alias("page_url"))
+    unit = F.when(k % 6 == 1, "实验教学中心").when(k % 6 == 2, "理学院物理部").when(k % 6 == 3, "光学系").when(k % 6 == 4, "化学学院").otherwise("")
+    none = F.lit(None).cast("string")
+    person = F.struct(name.alias("name"), F.when(F.col("o_orderstatus") != "F", "讲师").alias("title"), F.lit(" ").alias("email"), none.alias("research_areas"), none.alias("bio"), none.alias("homepage"))
+    given = o.where(k % 6 != 5).select(k.alias("task_id"), unit.alias("org_unit_name"), F.when(k % 6 == 4, "https://hx.a.edu.cn/").otherwise("").alias("org_unit_url"), none.alias("source_url"), F.array(person).alias("professors"))
+    aliases = spark.createDataFrame([("物理学院", "理学院物理部")], "canonical string, alias string")
+    out, _ = N.normalised_payloads(given, tasks, aliases)
+    return out.select("task_id", "org_unit_name", "org_unit_url", "route", F.explode("professors").alias("p")).select("task_id", "org_unit_name", "org_unit_url", "route", "p.name", "p.title", "p.email", "p.homepage")
+
+
+@catalog("recorded_units", """WITH u AS (SELECT s_suppkey AS id, s_name AS name, 'https://u' || s_suppkey || '.edu.cn/' AS url, CASE WHEN s_suppkey % 4 <> 0 THEN 'https://n' || s_nationkey || '.edu.cn/jgsz.htm' END AS page FROM supplier)
+SELECT 'node' AS row, 'org_listing_url:url:' || page AS key, 'done' AS status, 90.0::DOUBLE AS score, NULL::VARCHAR AS to_key FROM u WHERE page IS NOT NULL GROUP BY page
+UNION ALL SELECT 'node', 'org_unit:id:' || id, 'pending', 100.0::DOUBLE, NULL FROM u
+UNION ALL SELECT 'edge', 'org_listing_url:url:' || page, NULL, 1.0::DOUBLE, 'org_unit:id:' || id FROM u WHERE page IS NOT NULL""")
+def recorded_units(spark, d):
+    """Suppliers as units that were found on their nation's listing page, or on none."""
+    from quarrylight.operators import payloads as N
+
+    s, text = table(spark, d, "supplier"), lambda c: F.col(c).cast("string")
+    page = F.when(F.col("s_suppkey") % 4 != 0, F.concat(F.lit("https://n"), text("s_nationkey"), F.lit(".edu.cn/jgsz.htm")))
+    nodes, edges = N.recorded_units(s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.concat(F.lit("https://u"), text("s_suppkey"), F.lit(".edu.cn/")).alias("url"), page.alias("source_url")))
+    none = F.lit(None).cast("string")
+    a = nodes.select(F.lit("node").alias("row"), F.col("node_key").alias("key"), "status", F.col("priority_score").alias("score"), none.alias("to_key"))
+    return a.unionByName(edges.select(F.lit("edge").alias("row"), F.col("from_key").alias("key"), none.alias("status"), F.col("confidence").alias("score"), "to_key"))

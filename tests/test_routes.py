@@ -107,3 +107,26 @@ def test_newest_file(spark, tmp_path):
         os.utime(tmp_path / name, (at, at))
     files = files_of(spark, f"file://{tmp_path}", "*.db").withColumn("kind", F.lit("backup"))
     assert [r.path.rsplit("/", 1)[-1] for r in newest_first(files, "kind").collect()] == ["c.db"]
+
+
+def test_payloads_are_made_fit_for_saving(spark):
+    from quarrylight.operators import payloads as N
+
+    page = "# 王伟\n职称：教授\n邮箱：w@a.edu.cn\n[王 伟](https://a.edu.cn/p/ww) [王伟](/p)"
+    tasks = [(k, k != 1, "物理学院", "https://wl.a.edu.cn/", f"https://a.edu.cn/{k}", page if k != 6 else None, None) for k in range(1, 8)] + [(8, True, None, None, None, None, None)]
+    unit = {1: "物理学院", 2: "实验教学中心", 3: "光学系", 4: "化学学院", 6: None, 8: " "}
+    people = [("王伟", None, " ", None, None, None), ("李明", "讲师", None, None, None, None)]
+    given = [(k, u, None, "", people) for k, u in unit.items()] + [(5, "理物", None, None, None)]
+    df = spark.createDataFrame(given, f"task_id int, org_unit_name string, org_unit_url string, source_url string, professors {N.from_page_type()}")
+    t = spark.createDataFrame(tasks, "task_id int, detail boolean, org_unit_name string, org_unit_url string, source_url string, page_text string, page_url string")
+    out, counters = N.normalised_payloads(df, t, spark.createDataFrame([("物理学院", "理物"), ("物理学院", "理物")], "canonical string, alias string"))
+    got = {r.task_id: r for r in out.collect()}
+    assert {k: (r.org_unit_name, r.org_unit_url, r.source_url, r.route) for k, r in got.items()} == {
+        3: ("物理学院", "https://wl.a.edu.cn/", "https://a.edu.cn/3", "sub_department_rewritten"), 4: ("化学学院", "https://wl.a.edu.cn/", "https://a.edu.cn/4", "kept"),
+        5: ("物理学院", "https://wl.a.edu.cn/", "https://a.edu.cn/5", "alias_rewritten"), 6: ("物理学院", "https://wl.a.edu.cn/", "https://a.edu.cn/6", "kept"),
+        7: ("物理学院", "https://wl.a.edu.cn/", "https://a.edu.cn/7", "synthesized"), 8: ("Unknown", None, None, "kept"),
+    }
+    first, second = got[3].professors
+    assert (first.title, first.email, first.homepage) == ("教授", "w@a.edu.cn", "https://a.edu.cn/p/ww") and (second.title, second.email, second.homepage) == ("讲师", None, None)
+    assert got[5].professors == [] and got[7].professors[0].name == "王伟" and got[6].professors[0].title is None
+    assert {r.route: r.n for r in counters.collect()} == {"list_suppressed": 1, "teaching_center_dropped": 1, "sub_department_rewritten": 1, "kept": 3, "alias_rewritten": 1, "synthesized": 1}
