@@ -164,6 +164,11 @@ def upsert_edges(found: DataFrame) -> DataFrame:
     return found.groupBy("from_key", "to_key", "edge_type").agg(F.max("confidence").alias("confidence"))
 
 
+def upsert_affiliations(found: DataFrame, keys: list[str], source: str, quality: Column) -> DataFrame:
+    """One row for each of ``keys``, with the source of the highest ``quality`` and n, how often it was found."""
+    return found.groupBy(*keys).agg(F.max_by(source, quality).alias("source"), F.count("*").alias("n"))
+
+
 def rewrite_keys(df: DataFrame, key: str, moved: DataFrame, unique: list[str], row_id: str = "id") -> DataFrame:
     """Point ``key`` at its new owner by ``moved`` (old, new) and drop what then repeats ``unique``.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,7 +15,7 @@ from quarrylight.functions.text import text_of
 from quarrylight.operators.ladder import ladder_match
 from quarrylight.operators.merge import repair_identities
 from quarrylight.operators.writes import moved_rows
-from quarrylight.sources.tables import saved, with_columns
+from quarrylight.sources.tables import newest_first, saved, with_columns
 
 AUDIT = ["entity_type", "entity_id", "issue_type", "field_name", "reason", "confidence", "action"]
 #: What marks a profile that was made up from a page's navigation.
@@ -147,3 +148,19 @@ def run(tables: dict[str, DataFrame], apply: bool) -> tuple[dict[str, DataFrame]
     gaps = missing_fields(reasons, ["title", "research_areas", "email", "bio"])
     audits.append(audit(gaps, "professor", "missing_field", F.col("reason"), F.col("confidence"), apply, F.col("field_name"), action="recrawl"))
     return t, reduce(DataFrame.unionByName, audits)
+
+
+def compared_with_newest(active: dict[str, DataFrame], backups: DataFrame, load: Callable[[str], dict[str, DataFrame]]) -> DataFrame:
+    """(table, active, backup, gained) row counts of the live tables and of the newest backup (path, modified).
+
+    Of equal times the last path counts; a table that the backup hasn't counts 0 there. Without any
+    backup all of its counts are NULL.
+    """
+    newest = newest_first(backups.withColumn("all", F.lit(1)), "all").first()
+    held = load(newest.path) if newest else {}
+    parts = []
+    for name, df in active.items():
+        old = held[name].agg(F.count("*").alias("backup")) if name in held else None
+        now = df.agg(F.count("*").alias("active")).withColumn("table", F.lit(name))
+        parts.append(now.withColumn("backup", old.select("backup").scalar()) if old is not None else now.withColumn("backup", F.lit(0 if newest else None).cast("long")))
+    return reduce(DataFrame.unionByName, parts).select("table", "active", "backup", (F.col("active") - F.col("backup")).alias("gained"))

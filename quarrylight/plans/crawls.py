@@ -15,11 +15,12 @@ catalog = Catalog()
 
 
 @catalog("fetch_gate", r"""WITH p AS (SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host, url, strlen(url) % 5 AS depth, regexp_extract(lower(regexp_extract(url, '://([^/?#]*)', 1)), '([^.]+\.[^.]+)$', 1) AS root, regexp_matches(url, '[?]') AS q FROM pages)
-SELECT page_id, CASE WHEN depth > 3 THEN 'depth' WHEN root <> 'example.com' THEN 'external' WHEN q THEN 'visited' END AS skip FROM p""")
+SELECT page_id, CASE WHEN depth > 3 THEN 'depth' WHEN root <> 'example.com' THEN 'external' WHEN q THEN 'visited' WHEN page_id % 3 = 0 THEN 'already_crawled' END AS skip FROM p""")
 def fetch_gate(spark, d):
     pages = table(spark, d, "pages").select("page_id", "url", (F.octet_length("url") % 5).alias("depth"))
     visited = pages.where(F.contains("url", F.lit("?"))).select(U.normalise_url(F.col("url")).alias("url"))
-    return K.fetch_gate(pages, "www.example.com", 3, visited, visited.limit(0)).select("page_id", "skip")
+    crawled = pages.where("page_id % 3 = 0").select(U.normalise_url(F.col("url")).alias("url"))
+    return K.fetch_gate(pages, "www.example.com", 3, visited, crawled).select("page_id", "skip")
 
 
 @catalog("task_upsert", """WITH l AS (SELECT *, l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey AS seq FROM lineitem)

@@ -82,7 +82,7 @@ def last_write(spark, d):
 @catalog("affiliation_upsert", "SELECT l_partkey, l_suppkey, arg_max(l_orderkey, [l_quantity, -l_orderkey, -l_linenumber]) AS source, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def affiliations(spark, d):
     order = F.struct("l_quantity", -F.col("l_orderkey"), -F.col("l_linenumber"))
-    return table(spark, d, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.max_by("l_orderkey", order).alias("source"), F.count("*").alias("n"))
+    return R.upsert_affiliations(table(spark, d, "lineitem"), ["l_partkey", "l_suppkey"], "l_orderkey", order)
 
 
 @catalog("edge_upsert", "SELECT l_suppkey AS from_key, l_partkey AS to_key, l_returnflag AS edge_type, max(l_discount) AS confidence FROM lineitem GROUP BY 1, 2, 3")
@@ -105,7 +105,8 @@ def node_fold(spark, d):
 
 @catalog("node_upsert_extremes", "SELECT user_id, max(value) AS priority_score, min(event_id % 4) AS depth FROM events GROUP BY 1")
 def node_extremes(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.max("value").alias("priority_score"), F.min(F.col("event_id") % 4).alias("depth"))
+    found = table(spark, d, "events").select(F.col("user_id").alias("node_key"), F.col("value").alias("priority_score"), F.col("value").alias("base_priority"), F.lit(1.0).alias("confidence"), (F.col("event_id") % 4).alias("depth"), F.lit("pending").alias("status"), F.col("event_id").alias("seq"))
+    return R.upsert_nodes(found).select(F.col("node_key").alias("user_id"), "priority_score", "depth")
 
 
 @catalog("key_rewrite_dedupe", """SELECT k, l_suppkey, arg_min(l_orderkey, [m, l_orderkey, l_linenumber]) AS kept FROM (SELECT CASE WHEN p_size = 1 THEN l_partkey + 1 ELSE l_partkey END AS k, CASE WHEN p_size = 1 THEN 1 ELSE 0 END AS m, lineitem.* FROM lineitem JOIN part ON p_partkey = l_partkey) GROUP BY 1, 2""")
@@ -182,10 +183,16 @@ def identity_components_documents(spark, d):
     return every.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-@catalog("backup_comparison", "SELECT (SELECT count(*) FROM customer) AS active, (SELECT count(*) FROM customer WHERE c_acctbal > 0) AS backup")
+@catalog("backup_comparison", """SELECT 'customer' AS "table", count(*) AS active, count(*) FILTER (c_acctbal > 0) AS backup, count(*) - count(*) FILTER (c_acctbal > 0) AS gained FROM customer
+UNION ALL SELECT 'orders', count(*), 0, count(*) FROM orders""")
 def backup(spark, d):
+    """The live tables against the newer of two backups, which has customers only."""
+    from quarrylight.operators.steward import compared_with_newest
+
     c = table(spark, d, "customer")
-    return c.agg(F.count("*").alias("active"), F.count_if(F.col("c_acctbal") > 0).alias("backup"))
+    kept = {"old": {"customer": c.where("c_acctbal > 5000")}, "new": {"customer": c.where("c_acctbal > 0")}}
+    files = spark.createDataFrame([("new", 20), ("old", 10)], "path string, modified int")
+    return compared_with_newest({"customer": c, "orders": table(spark, d, "orders")}, files, kept.__getitem__)
 
 
 @catalog("incremental_skip", "SELECT p_partkey FROM part WHERE p_size > 25")
