@@ -36,6 +36,11 @@ def shingle_hashes(line: Column, form: str = SHINGLES) -> Column:
     return F.transform(F.regexp_extract_all(F.lower(line), F.lit(form), F.lit(1)), lambda s: F.xxhash64(s))
 
 
+def shingle_set(line: Column) -> Column:
+    """The distinct shingles as 32-bit hashes: half the size on disk, and of the few hundred of a line hardly two share one."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(F.lower(line), F.lit(SHINGLES), F.lit(1)), lambda s: F.hash(s)))
+
+
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, row, pos, line) for each line that isn't blank; ``row`` hashes id and text."""
     # the hash comes before the lines, else it would be taken once for each of them
@@ -168,7 +173,7 @@ def line_classes(docs: DataFrame, occurrences: DataFrame, id_col: str, text_col:
     nodes = scratch.save(members.select("lh").distinct(), "nodes")
     lines = lines_of(docs, id_col, text_col).select(F.xxhash64("line").alias("lh"), "line")
     texts = lines.join(F.broadcast(nodes) if light(nodes, 16) else nodes, "lh", "left_semi").groupBy("lh").agg(F.first("line").alias("line"))
-    sets = scratch.save(texts.select("lh", F.array_distinct(shingle_hashes(F.col("line"))).alias("s")), "sets")
+    sets = scratch.save(texts.select("lh", shingle_set(F.col("line")).alias("s")), "sets")
     scratch.free("groups", "nodes")
 
     def grown(links: DataFrame, pairs: DataFrame, name: str) -> tuple[DataFrame, DataFrame, bool]:
