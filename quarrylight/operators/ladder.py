@@ -28,11 +28,15 @@ def ladder_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
 
 
 def any_key_match(left: DataFrame, right: DataFrame, left_id: str, left_keys: Column, right_keys: Column, label: str) -> DataFrame:
-    """(left_id, key, label) by the least key that any of several keys of both sides share."""
+    """(left_id, key, label) by the least key that any of several keys of both sides share.
+
+    Of a key's right rows the least label is found first, so a key that many rows of both sides have
+    makes no pairs of them.
+    """
     a = left.select(left_id, F.explode(F.array_distinct(left_keys)).alias("key")).where("key <> ''")
-    b = right.select(F.explode(F.array_distinct(right_keys)).alias("key"), F.col(label)).where("key <> ''")
-    met = a.join(b, "key").groupBy(left_id).agg(F.min(F.struct("key", label)).alias("m"))
-    return met.select(left_id, "m.key", f"m.{label}")
+    b = right.select(F.explode(F.array_distinct(right_keys)).alias("key"), F.struct(label).alias("one")).where("key <> ''").groupBy("key").agg(F.min("one").alias("one"))
+    met = a.join(b, "key").groupBy(left_id).agg(F.min(F.struct("key", "one")).alias("m"))
+    return met.select(left_id, "m.key", f"m.one.{label}")
 
 
 def unique_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, condition: Column | None = None, on: str | None = None) -> DataFrame:

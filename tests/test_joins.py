@@ -132,3 +132,17 @@ def test_kept_index_states(spark, tmp_path):
     assert index.update([("u/1:x", None)], load) == {"u/1:x": "indexed"}
     index.reset()
     assert held() == set() and index.ledger().count() == 0
+
+
+def test_a_key_of_many_rows_makes_no_pairs(spark):
+    left = [(k, [f"n:{k % 2}", f"b:{k % 5}", "", None]) for k in range(60)]
+    right = [(None if k % 7 == 3 else k, [f"n:{k % 3}", f"b:{k % 4}", f"b:{k % 4}"]) for k in range(50)]
+    got = ladder.any_key_match(spark.createDataFrame(left, "l int, lk array<string>"), spark.createDataFrame(right, "r int, rk array<string>"), "l", F.col("lk"), F.col("rk"), "r")
+    want = {}
+    for k, keys in left:
+        met = [(key, r is not None, r or 0) for r, others in right for key in keys if key and key in others]
+        key, there, r = min(met)
+        want[k] = (key, r if there else None)
+    assert {x.l: (x.key, x.r) for x in got.collect()} == want
+    # one right row a key goes into the join
+    assert got._jdf.queryExecution().optimizedPlan().toString().split("Join")[1].count("Aggregate") == 1
