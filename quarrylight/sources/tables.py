@@ -28,6 +28,15 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly over at least two tasks a core, before work that is heavy for each row.
+
+    Files of few bytes can hold many rows, and their bytes alone decide how many tasks read them.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 class Scratch:
     """The written tables of one run, by name: a name that is written again, or freed, loses its old table."""
 

@@ -130,3 +130,16 @@ def test_payloads_are_made_fit_for_saving(spark):
     assert (first.title, first.email, first.homepage) == ("教授", "w@a.edu.cn", "https://a.edu.cn/p/ww") and (second.title, second.email, second.homepage) == ("讲师", None, None)
     assert got[5].professors == [] and got[7].professors[0].name == "王伟" and got[6].professors[0].title is None
     assert {r.route: r.n for r in counters.collect()} == {"list_suppressed": 1, "teaching_center_dropped": 1, "sub_department_rewritten": 1, "kept": 3, "alias_rewritten": 1, "synthesized": 1}
+
+
+def test_list_pages_are_dealt_out_and_read_once(spark):
+    k = F.col("id").cast("string")
+    url = F.concat(F.lit("https://a.edu.cn/szdw/list"), k, F.lit(".htm"))
+    text = F.when(F.col("id") % 2 == 0, F.concat(F.lit("# 王伟\n职称：教授\n邮箱：w"), k, F.lit("@a.edu.cn"))).otherwise("教师名录\n王伟 李明")
+    fetched = spark.range(0, 400, 1, 1).select(k.alias("node_key"), url.alias("asked"), url.alias("got"), text.alias("text"), F.lit("u").alias("label"))
+    parts = R.traverse_lists(fetched)
+    assert parts[0].where("rescued").count() == 200 and parts[1].count() == 200
+    # one task's rows were dealt to several, and no result reads the pages again
+    assert len(parts[0].inputFiles()) > 1
+    for df in parts:
+        assert "regexp" not in df._jdf.queryExecution().optimizedPlan().toString()
