@@ -155,8 +155,8 @@ def _exact_pairs(sets: DataFrame, similarity: float, scratch: Scratch) -> DataFr
     return _pairwise(rare.where(F.col("n") <= PAIRWISE), fits).unionByName(_in_cells(rare.where(F.col("n") > PAIRWISE), fits))
 
 
-def line_classes(docs: DataFrame, occurrences: DataFrame, id_col: str, text_col: str, similarity: float, scratch: Scratch) -> DataFrame:
-    """(lh, root) for the lines that have a near copy of other text.
+def line_classes(docs: DataFrame, occurrences: DataFrame, id_col: str, text_col: str, similarity: float, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The lines without their bands (id, row, pos, lh), and (lh, root) for those that have a near copy of other text.
 
     In each band's groups, every line is compared with the group's least hash. Where a group's lines
     are in different components after that, a small group's lines are compared across components
@@ -170,6 +170,9 @@ def line_classes(docs: DataFrame, occurrences: DataFrame, id_col: str, text_col:
     groups = scratch.save(groups.where("rep <> last").select("band", "rep"), "groups")
     met = banded.join(F.broadcast(groups) if light(groups, 24) else groups, "band")
     members = scratch.save(met.select("band", "rep", "lh").distinct(), "members")
+    # the bands are most of that table, and no longer needed
+    places = scratch.save(occurrences.select("id", "row", "pos", "lh"), "places")
+    scratch.free("lines")
     nodes = scratch.save(members.select("lh").distinct(), "nodes")
     lines = lines_of(docs, id_col, text_col).select(F.xxhash64("line").alias("lh"), "line")
     texts = lines.join(F.broadcast(nodes) if light(nodes, 16) else nodes, "lh", "left_semi").groupBy("lh").agg(F.first("line").alias("line"))
@@ -200,8 +203,8 @@ def line_classes(docs: DataFrame, occurrences: DataFrame, id_col: str, text_col:
         if not many.isEmpty():
             held = sets.join(F.broadcast(many) if light(many, 24) else many, "lh")
             links, roots, _ = grown(links, _exact_pairs(held, similarity, scratch), "most")
-    scratch.free(*(name for name in list(scratch.paths) if name not in ("lines", "roots")))
-    return roots
+    scratch.free(*(name for name in list(scratch.paths) if name not in ("places", "roots")))
+    return places, roots
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
@@ -220,12 +223,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     scratch = Scratch(docs.sparkSession)
     occurrences = scratch.save(_banded(lines_of(docs, id_col, text_col)), "lines")
-    classes = line_classes(docs, occurrences, id_col, text_col, similarity, scratch)
+    places, classes = line_classes(docs, occurrences, id_col, text_col, similarity, scratch)
     few = F.broadcast(classes) if light(classes, 16) else classes
-    placed = occurrences.select("id", "row", "pos", "lh").join(few, "lh", "left").select("id", "row", "pos", F.coalesce("root", "lh").alias("class"))
+    placed = places.join(few, "lh", "left").select("id", "row", "pos", F.coalesce("root", "lh").alias("class"))
     repeated = scratch.save(placed.groupBy("class").count().where("count > 1").select("class"), "repeated")
     copies = scratch.save(placed.join(F.broadcast(repeated) if light(repeated, 8) else repeated, "class"), "copies")
-    scratch.free("lines", "roots", "repeated")
+    scratch.free("places", "roots", "repeated")
     firsts = scratch.save(copies.groupBy("class").agg(F.min(F.struct("id", "row", "pos")).alias("first")), "firsts")
     dropped = copies.join(F.broadcast(firsts) if light(firsts, 48) else firsts, "class").where(~F.struct("id", "row", "pos").eqNullSafe(F.col("first"))).groupBy("row").agg(F.collect_set("pos").alias("gone"))
     dropped = scratch.save(dropped, "dropped")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: A side of a join is broadcast only if its counted rows, by their width, stay below this.
 BROADCAST_BYTES = 32 << 20
+#: Without this, a finished job's shuffle files stay until the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,10 +36,17 @@ def drop(spark: SparkSession, path: str) -> None:
 
 
 def save(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as Parquet and read it back: cuts lineage and outlives lost executors."""
+    """Write ``df`` as Parquet and read it back: cuts lineage and outlives lost executors.
+
+    The shuffle files of the write go as soon as it ends, as nothing reads them again.
+    """
     spark = df.sparkSession
-    path = work_dir(spark, name)
-    df.write.parquet(path)
+    path, before = work_dir(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 

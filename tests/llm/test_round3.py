@@ -280,3 +280,19 @@ def test_fill_in_middle_edges(spark, edges):
     assert out.columns == ["doc_id", "text", "marked", "whole", "digest", "n", "form", "prefix", "middle", "suffix", "output", "restored"]
     assert all(r.restored == (r.text or "") and r.marked == "x" for r in out.collect())
     assert fim.fill_in_middle(df.limit(0)).count() == 0
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    import time
+
+    from quarrylight.llm import store
+
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {str(f) for f in (lambda files: [files.apply(i).getName() for i in range(files.size())])(manager.getAllFiles().toList()) if str(f).startswith("shuffle_")}
+    before, setting = held(), spark.conf.get(store.CLEANUP, "false")
+    table, _ = store.save(spark.range(20000).selectExpr("id % 1000 AS k", "id").groupBy("k").sum("id"), "sums")
+    until = time.time() + 10
+    while held() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not held() - before
+    assert table.count() == 1000 and spark.conf.get(store.CLEANUP, "false") == setting
