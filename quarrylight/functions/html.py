@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from quarrylight.sources.tables import spread
+
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 CONTEXT = ("nav", "menu", "tab", "tree", "list", "ul", "ol")
 SKIPPED = {"script", "style", "head"}
@@ -116,7 +118,7 @@ def form_pagination(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     Columns: id, form, field, page_index, total_pages, synthetic_url. The pages that scripted anchors
     assign are summed up per form and field; where an input jumps to any page of that field, all up
     to the largest count. The first page and the current one (marked in the text, else named by the
-    URL, else the first) are left out.
+    URL, else the first) are left out. Pages are dealt out evenly before they are read.
     """
     html, url = F.coalesce(F.col(html_col), F.lit("")), F.coalesce(F.col(url_col), F.lit(""))
 
@@ -127,7 +129,7 @@ def form_pagination(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
 
     marked = F.nullif(F.regexp_extract(html, r"(?is)<span\b[^>]*this-page[^>]*>\s*(\d+)\s*<", 1), F.lit(""))
     named = F.nullif(F.regexp_extract(url, rf"(?i)[?&](?:{PAGE_KEYS})=0*([1-9]\d*)(?:[&#]|$)", 1), F.lit(""))
-    read = pages.select(
+    read = spread(pages.select(*dict.fromkeys([id_col, url_col, html_col]))).select(
         F.col(id_col).alias("id"), F.regexp_replace(url, "#.*$", "").alias("base"), F.coalesce(marked, named, F.lit("1")).cast("int").alias("here"),
         attribute("input", "name").alias("inputs"), F.explode(attribute("a", "href")).alias("script"),
     )

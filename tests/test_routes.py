@@ -161,3 +161,13 @@ def test_skills_are_ranked_without_their_bodies(spark):
     plan = chosen._jdf.queryExecution().optimizedPlan().toString().splitlines()
     at = next(n for n, line in enumerate(plan) if "row_number" in line)
     assert "body" not in plan[at] and "body" not in plan[at + 1]
+
+
+def test_pages_with_forms_are_dealt_out(spark):
+    from quarrylight.functions.html import form_pagination
+
+    html = F.concat(F.lit('<a href="javascript:document.f.fNOW.value='), F.col("id").cast("string"), F.lit(';document.f.submit()">x</a>'))
+    pages = spark.range(0, 60, 1, 1).select("id", F.lit("https://a.edu.cn/x.jsp").alias("url"), html.alias("html"))
+    found = form_pagination(pages, "id")
+    assert sorted((r.id, r.page_index) for r in found.collect()) == [(k, k) for k in range(2, 60)]
+    assert "RoundRobinPartitioning" in found._jdf.queryExecution().executedPlan().toString()
