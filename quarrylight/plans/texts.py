@@ -8,9 +8,10 @@ from quarrylight.functions import people as P
 from quarrylight.functions import text as T
 from quarrylight.functions import vocabulary as V
 from quarrylight.functions.python_udfs import chunk_text
+from quarrylight.operators import nearest as N
 from quarrylight.operators import search as S
 from quarrylight.operators.batches import greedy_batches
-from quarrylight.operators.grams import bounded, contained
+from quarrylight.operators.grams import contained
 from quarrylight.operators.ladder import ranked
 from quarrylight.plans.base import Catalog, table
 
@@ -197,11 +198,5 @@ def messages(spark, d):
 @catalog("cosine_topk", """WITH q AS (SELECT vec_id AS q_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q_id, vec_id, round(list_cosine_similarity(q.e, CAST(embedding AS DOUBLE[])), 6) AS score FROM q JOIN embeddings ON vec_id <> q_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT q_id, vec_id, score, rank FROM r WHERE rank <= 5""")
 def cosine_topk(spark, d):
-    """A stated query set against all vectors, natively; it is broadcast while its bytes are few."""
-    v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    v = v.withColumn("norm", F.sqrt(dot("e", "e")))
-    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("e").alias("qe"), F.col("norm").alias("qn"))
-    scored = v.join(bounded(q, 16_384), F.col("vec_id") != F.col("q_id")).select("q_id", "vec_id", F.round(dot("e", "qe") / (F.col("norm") * F.col("qn")), 6).alias("score"))
-    r = ranked(scored, ["q_id"], [F.desc("score"), F.col("vec_id")])
-    return r.where("rank <= 5").select("q_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
+    """A stated query set against all vectors, in cells of bounded size."""
+    return N.cosine_topk(table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0, "vec_id", "embedding", 5)
