@@ -12,7 +12,7 @@ from quarrylight.functions import people as P
 from quarrylight.functions import urls as U
 from quarrylight.operators import routes as R
 from quarrylight.plans.base import Catalog, table
-from quarrylight.sources.tables import newest_first, saved
+from quarrylight.sources.tables import newest_first, saved, spread
 
 catalog = Catalog()
 
@@ -32,17 +32,18 @@ SELECT 'task' AS kind, CAST(id AS VARCHAR) AS key, CASE WHEN done THEN 'save' WH
 UNION ALL SELECT 'node', key, action, status, error, 1 FROM fates UNION ALL SELECT 'record', CAST(id AS VARCHAR), NULL, NULL, NULL, 1 FROM t WHERE done OR link""")
 def repair_replay(spark, d):
     """All orders as failed tasks, two to a URL; their nodes of other kinds, some of them twice, some keys held by other URLs. The replay of its own results logs nothing."""
-    o = table(spark, d, "orders")
+    o = spread(table(spark, d, "orders"))
     url = F.concat(F.lit("https://h"), (F.col("o_custkey") % 7).cast("string"), F.lit(".edu.cn/info/1/"), F.floor(F.col("o_orderkey") / 2).cast("string"))
     record = lambda on: F.when(on, F.struct(F.concat(F.lit("P"), F.col("o_orderkey").cast("string")).alias("name")))
     t = o.select(
         F.col("o_orderkey").alias("id"), url.alias("source_url"), F.lit("list_page").alias("task_kind"), F.lit("failed").alias("status"), F.lit(3).alias("attempt"), F.lit(0).alias("priority"), F.lit(None).cast("string").alias("last_error"),
         record(F.col("o_orderstatus") == "F").alias("snapshot_record"), record(F.col("o_orderpriority").startswith("1-")).alias("link_record"),
     )
+    t = saved(t)
     kinds = [("faculty_list_url", 3), ("pagination_url", 4), ("detail_url", 5)]
     at = lambda kind: F.when((F.col("id") % 2 == 1) & F.lit(kind == "detail_url"), F.concat("source_url", F.lit("0/old"))).otherwise(F.col("source_url"))
     found = [t.where(F.col("id") % n == 0).select(F.concat(F.lit(f"{kind}:url:"), "source_url").alias("node_key"), F.lit(kind).alias("type"), at(kind).alias("url")) for kind, n in kinds]
-    n = reduce(DataFrame.unionByName, found).distinct().select("*", F.lit("failed").alias("status"), F.lit(2).alias("attempt_count"), F.lit(60.0).alias("priority_score"), F.lit(60.0).alias("base_priority"), F.lit(None).cast("string").alias("last_error"))
+    n = saved(reduce(DataFrame.unionByName, found).distinct()).select("*", F.lit("failed").alias("status"), F.lit(2).alias("attempt_count"), F.lit(60.0).alias("priority_score"), F.lit(60.0).alias("base_priority"), F.lit(None).cast("string").alias("last_error"))
     none = F.lit(None).cast("long")
     tasks, nodes, records, log = R.replay(t, n, none)
     tasks, nodes = saved(tasks), saved(nodes)

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from quarrylight.operators import nearest
+from quarrylight.operators import nearest, routes
 from quarrylight.plans import registry
 
 
@@ -43,3 +43,12 @@ def test_cosine_topk_equals_all_pairs(spark):
 def test_cosine_topk_makes_no_pairs_in_the_plan(spark):
     plan = registry.queries()["cosine_topk"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_repair_replay_reads_addresses_once(spark):
+    """The log comes from written steps: no part of it normalises addresses again."""
+    tasks = spark.createDataFrame([(1, "https://a.edu.cn/p/1", "list_page", "failed", 1, 0, None, None, None)], "id long, source_url string, task_kind string, status string, attempt int, priority int, last_error string, snapshot_record struct<name:string>, link_record struct<name:string>")
+    nodes = spark.createDataFrame([("k", "detail_url", "https://a.edu.cn/p/1/", "failed", 1, 1.0, 1.0, None)], "node_key string, type string, url string, status string, attempt_count int, priority_score double, base_priority double, last_error string")
+    log = routes.replay(tasks, nodes, F.lit(None).cast("long"))[3]
+    assert sorted((r.table, r.action) for r in log.collect()) == [("node", "retarget"), ("task", "reopen")]
+    assert "regexp_extract" not in log._jdf.queryExecution().optimizedPlan().toString()
