@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quarrylight.functions import urls as U
 from quarrylight.functions import vocabulary as V
 from quarrylight.functions.text import text_of
-from quarrylight.sources.tables import saved, shared_dir
+from quarrylight.sources.tables import Scratch, saved, shared_dir
 
 
 def node_key(kind: Column, url: Column, org_name: Column, org_id: Column) -> Column:
@@ -42,6 +42,26 @@ def claim_next(nodes: DataFrame, attempted: DataFrame | None = None, limit: int
     return claimable(nodes, attempted).orderBy(F.desc("effective"), F.desc("confidence"), "depth", "attempt_count", "id").limit(limit)
 
 
+def _first_of(waiting: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
+    """The rows of ``claim_next`` from claimable ones, without a sort of all in one task.
+
+    Ranges of the order are written; those that fit go whole, and only the range that the limit cuts
+    is sorted to it. The driver gets a number a range.
+    """
+    if waiting.count() <= limit:
+        return waiting
+    order = [F.desc("effective"), F.desc("confidence"), F.col("depth"), F.col("attempt_count"), F.col("id")]
+    placed = scratch.save(waiting.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "placed")
+    whole, left, cut = -1, limit, None
+    for at, n in sorted((r["range"], r["n"]) for r in placed.groupBy("range").agg(F.count("*").alias("n")).collect()):
+        if n > left:
+            cut = at
+            break
+        whole, left = at, left - n
+    first = placed.where(F.col("range") <= whole)
+    return (first if cut is None else first.unionByName(placed.where(F.col("range") == cut).orderBy(*order).limit(left))).drop("range")
+
+
 def ready_queue(nodes: DataFrame, limit: int) -> DataFrame:
     """The waiting nodes by their current priority, which re-discovery changes."""
     return nodes.where(F.col("status").isin("pending", "retry")).orderBy(F.desc("priority_score"), F.desc("confidence"), "depth", "attempt_count", "id").limit(limit)
@@ -98,7 +118,8 @@ def claim_loop(nodes: DataFrame, links: DataFrame, at_once: int, rounds: int | N
     tried again in the next run; what it links to waits one level deeper, unless it is known or too
     deep. A node is claimed once a run. Adds round, NULL for what was never claimed; ``rounds`` is a
     bound on them. A round writes what changed only, as the log's next part: the nodes it claimed,
-    ``at_once`` at most, and those it found. The state is the log, read anew.
+    ``at_once`` at most, and those it found. The state is the log, read anew; what waits is kept beside
+    it, so a round looks at no node that is done with.
     """
     spark, at = nodes.sparkSession, f"{shared_dir(nodes.sparkSession)}/claims-{uuid.uuid4().hex}"
     fields = "id", "base_priority", "confidence", "depth", "status", "attempt_count"
@@ -106,23 +127,29 @@ def claim_loop(nodes: DataFrame, links: DataFrame, at_once: int, rounds: int | N
     seeds.write.parquet(f"{at}/nodes/part=0")
     # the empty first part gives the claims a schema
     seeds.limit(0).select("id", "depth", F.lit(True).alias("got"), F.lit(0).alias("round")).write.parquet(f"{at}/claims/part=0")
-    pages = links.select(F.col("src").alias("id"), F.lit(True).alias("has_page")).distinct()
     state = seeds.schema
     claim_schema = spark.read.parquet(f"{at}/claims/part=0").schema
     known = lambda: spark.read.schema(state).parquet(f"{at}/nodes/*")
     taken = lambda: spark.read.schema(claim_schema).parquet(f"{at}/claims/*")
+    scratch = Scratch(spark)
+    waiting = scratch.save(claimable(seeds), "waiting")
     k = 0
     while rounds is None or k < rounds:
         k += 1
-        best = claim_next(known(), taken(), at_once).select("id", "depth").join(pages, "id", "left")
-        best.select("id", "depth", F.coalesce("has_page", F.lit(False)).alias("got"), F.lit(k).alias("round")).write.parquet(f"{at}/claims/part={k}")
-        claimed = spark.read.schema(claim_schema).parquet(f"{at}/claims/part={k}")
-        if claimed.isEmpty():
+        best = scratch.save(_first_of(waiting, at_once, scratch).select("id", "depth"), "best")
+        if best.isEmpty():
             break
-        found = links.join(claimed.where(F.col("depth") < max_depth).select(F.col("id").alias("src"), "depth"), "src")
+        # one pass over the links serves pages and finds
+        met = scratch.save(links.join(best.withColumnRenamed("id", "src"), "src"), "met")
+        paged = met.select(F.col("src").alias("id"), F.lit(True).alias("has_page")).distinct()
+        best.join(paged, "id", "left").select("id", "depth", F.coalesce("has_page", F.lit(False)).alias("got"), F.lit(k).alias("round")).write.parquet(f"{at}/claims/part={k}")
+        found = met.where(F.col("depth") < max_depth)
         found = found.groupBy(F.col("dst").alias("id")).agg(F.max("base_priority").alias("base_priority"), F.max("confidence").alias("confidence"), (F.min("depth") + 1).cast(state["depth"].dataType).alias("depth"))
         new = found.join(known().select("id"), "id", "left_anti").select("id", "base_priority", "confidence", "depth", F.lit("pending").alias("status"), F.lit(0).cast(state["attempt_count"].dataType).alias("attempt_count"))
         new.write.parquet(f"{at}/nodes/part={k}")
+        added = claimable(spark.read.schema(state).parquet(f"{at}/nodes/part={k}"))
+        waiting = scratch.save(waiting.join(best.select("id"), "id", "left_anti").select(*added.columns).unionByName(added), "waiting")
+    scratch.free("waiting", "placed", "best", "met")
     joined = known().join(taken().select("id", "got", "round"), "id", "left")
     hit = F.col("got").isNotNull()
     return joined.select("id", "base_priority", "confidence", "depth", F.when(F.col("got"), "done").when(hit, "retry").otherwise(F.col("status")).alias("status"), (F.col("attempt_count") + hit.cast("int")).alias("attempt_count"), "round")

@@ -3,8 +3,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from quarrylight.operators import nearest, routes
+from quarrylight.operators import graph, nearest, routes
 from quarrylight.plans import registry
+from quarrylight.sources.tables import Scratch
 
 
 def plain_cosines(rows, k):
@@ -52,3 +53,14 @@ def test_repair_replay_reads_addresses_once(spark):
     log = routes.replay(tasks, nodes, F.lit(None).cast("long"))[3]
     assert sorted((r.table, r.action) for r in log.collect()) == [("node", "retarget"), ("task", "reopen")]
     assert "regexp_extract" not in log._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_claim_loop_cuts_what_waits_by_ranges(spark, tmp_path):
+    """More wait than are claimed at once: no plan takes the best of all in one task."""
+    rows = [(i, float(i * 7 % 50), float(i % 3), i % 4, "pending", i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, base_priority double, confidence double, depth int, status string, attempt_count int").repartition(4)
+    scratch = Scratch(spark)
+    for limit in (0, 1, 137, 399, 400, 500):
+        got = graph._first_of(graph.claimable(df), limit, scratch)
+        want = graph.claim_next(df, limit=limit)
+        assert sorted(got.collect()) == sorted(want.select(*got.columns).collect())
