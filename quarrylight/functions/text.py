@@ -59,6 +59,21 @@ def tokenize(text: Column) -> Column:
     return F.concat(latin_tokens(text), cjk_tokens(text))
 
 
+def raw_tokens(text: Column) -> Column:
+    """``tokenize`` before its terms are trimmed and chosen: what is left to do is done on rows."""
+    return F.concat(F.regexp_extract_all(text_of(text), F.lit(V.LATIN_TOKEN), F.lit(1)), cjk_tokens(text))
+
+
+def trimmed_token(token: Column) -> Column:
+    """``normalise_term`` of a token, which holds no white space."""
+    return F.btrim(F.lower(token), F.lit(V.TERM_EDGE))
+
+
+def is_term(token: Column) -> Column:
+    """``is_useful`` of a trimmed token; those start with a letter, so none is a number."""
+    return (F.length(token) >= 2) & ~token.isin(V.STOP_TERMS)
+
+
 def top_terms(text: Column, limit: int = 24) -> Column:
     """The most frequent terms of a short text: by count, then length, then the term itself."""
     tokens = tokenize(text)

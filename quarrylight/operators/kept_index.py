@@ -75,7 +75,7 @@ class KeptIndex:
         """
         mine = rows.where(F.col("source").isin(sources) & F.col("key").isNotNull())
         one = mine.groupBy("source", "key").agg(F.max(F.struct("kind", "name", "text")).alias("r")).select("source", "key", "r.*")
-        terms = S.term_counts(one.withColumn("node", F.struct("source", "key")), "node", "text").select("node.source", "node.key", "term", "tf")
+        terms = S.term_counts(one, ["source", "key"], "text", together=True)
         held = {r[0] for r in self._write(one.select("key", "kind", "name", "source"), "nodes", "key")}
         filled = {r[0] for r in self._write(terms.select("key", "term", "tf", "source"), "postings", "term")}
         for source in sources:

@@ -3,7 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from quarrylight.operators import graph, nearest, routes
+from quarrylight.functions import text
+from quarrylight.operators import graph, nearest, routes, search
 from quarrylight.plans import registry
 from quarrylight.sources.tables import Scratch
 
@@ -64,3 +65,17 @@ def test_claim_loop_cuts_what_waits_by_ranges(spark, tmp_path):
         got = graph._first_of(graph.claimable(df), limit, scratch)
         want = graph.claim_next(df, limit=limit)
         assert sorted(got.collect()) == sorted(want.select(*got.columns).collect())
+
+
+def test_terms_do_not_move(spark):
+    """Texts move once; their terms are counted and ranked where they are."""
+    df = registry.queries()["top_terms_per_doc"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "REPARTITION_BY_NUM" in plan
+
+
+def test_term_counts_equal_tokenize(spark):
+    texts = ["C++ a.b. -x The the 12 a1 _-. K\u212a \u0130x", "量子计算 deep-learning 机器学习机器学习 is", None, "", "x..y ++ A_ zz-- 北京大学。北京"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = df.select("doc_id", F.explode(text.tokenize(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    assert sorted(map(tuple, search.term_counts(df, "doc_id", "text").collect())) == sorted(map(tuple, want.collect()))
