@@ -44,21 +44,25 @@ def page_gate(url: Column, text: Column) -> Column:
     """Why a page can't be a profile, or NULL: notices and news by their openings, then URLs without
     evidence, then a third of noise lines without a sign of staff."""
 
-    def reason(lines: Column) -> Column:
+    return let(lines_of(text), lambda lines: _gate(url, text, lines))
+
+
+def _gate(url: Column, text: Column, lines: Column) -> Column:
+    def reason(low: Column) -> Column:
         head = F.transform(F.slice(lines, 1, 8), lambda x: F.regexp_replace(F.regexp_replace(x, r"^#{1,6}\s*", ""), r"(?U)\s+", ""))
         notice = F.exists(head, lambda x: x.rlike("^关于.{2,60}的(?:通知|公告|通报|公示)$"))
         news = F.exists(head, lambda x: F.substring(x, 1, 4).isin(OPENINGS[:2]) | x.startswith(OPENINGS[2]))
-        low = F.lower(text_of(text))
         mail = F.contains(low, F.lit("@"))
         evidence = F.size(F.filter(F.array(*map(F.lit, EVIDENCE)), lambda w: F.contains(low, w))) >= 2
         noisy = F.size(F.filter(lines, lambda x: contains_any(x, NOISE_LINES))) / F.greatest(F.size(lines), F.lit(1))
+        signal = F.exists(F.array(*map(F.lit, SIGNALS)), lambda w: F.contains(low, w))
         stems = F.exists(F.split(F.lower(U.path_of(url)), "/"), lambda s: F.regexp_replace(s, r"\.[^.]*$", "").isin(POSTDOC_STEMS))
         return (
             F.when(stems, "postdoc_section").when(notice, "notice_issuance_title").when(news, "recent_school_news_opening")
-            .when(contains_any(url, NOISE_URLS) & ~(mail | evidence), "url_noise_token").when((noisy >= 0.35) & ~(mail | contains_any(text, SIGNALS)), "text_noise_ratio")
+            .when(contains_any(url, NOISE_URLS) & ~(mail | evidence), "url_noise_token").when((noisy >= 0.35) & ~(mail | signal), "text_noise_ratio")
         )
 
-    return let(lines_of(text), reason)
+    return let(F.lower(text_of(text)), reason)
 
 
 def labelled(text: Column, labels: str) -> Column:
@@ -70,14 +74,22 @@ def labelled(text: Column, labels: str) -> Column:
 def snapshot_record(text: Column, url: Column) -> Column:
     """A profile from a page's text: the heading is the name, labels give the fields; NULL for a page
     that the gate stops, that has no name, or that says nothing about it."""
-    head = P.normalise_name(F.regexp_replace(F.coalesce(F.get(lines_of(text), F.lit(0)), F.lit("")), r"^#{1,6}\s*", ""))
-    fields = {f: labelled(text, words) for f, words in LABELS.items()}
-    fields["title"] = P.normalise_title(fields["title"])
-    fields["email"] = F.nullif(F.array_join(P.emails(text), "; "), F.lit(""))
-    fields["bio"] = P.optional_text(F.regexp_extract(text_of(text), r"(?s)(?:个人简介|简介)\s*[:：]?\s*(.+?)(?:\n\s*\n|$)", 1))
-    person = (head != "") & (F.length(head) <= 40) & ~P.is_not_a_name(head) & page_gate(url, text).isNull()
-    says = F.coalesce(fields["title"], fields["email"], fields["research_areas"], fields["bio"]).isNotNull()
-    return F.when(person & says, F.struct(head.alias("name"), *[c.alias(f) for f, c in fields.items()]))
+
+    def read(lines: Column) -> Column:
+        return let(P.normalise_name(F.regexp_replace(F.coalesce(F.get(lines, F.lit(0)), F.lit("")), r"^#{1,6}\s*", "")), lambda head: by(lines, head))
+
+    def by(lines: Column, head: Column) -> Column:
+        # each part is bound to a name, as trees that repeat it are computed anew for every mention
+        fields = {f: labelled(text, words) for f, words in LABELS.items()}
+        fields["title"] = P.normalise_title(fields["title"])
+        fields["email"] = F.nullif(F.array_join(P.emails(text), "; "), F.lit(""))
+        fields["bio"] = P.optional_text(F.regexp_extract(text_of(text), r"(?s)(?:个人简介|简介)\s*[:：]?\s*(.+?)(?:\n\s*\n|$)", 1))
+        person = (head != "") & (F.length(head) <= 40) & ~P.is_not_a_name(head) & _gate(url, text, lines).isNull()
+        says = lambda f: F.coalesce(f["title"], f["email"], f["research_areas"], f["bio"]).isNotNull()
+        record = let(F.struct(head.alias("name"), *[c.alias(f) for f, c in fields.items()]), lambda f: F.when(says(f), f))
+        return F.when(person, record)
+
+    return let(lines_of(text), read)
 
 
 def is_profile_detail(url: Column) -> Column:
