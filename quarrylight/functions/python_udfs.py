@@ -5,11 +5,31 @@ from __future__ import annotations
 import difflib
 import json
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType
 
+from quarrylight.functions import vocabulary as V
+
+# a latin token to its last character that isn't trimmed; letters whose lower case is of ASCII, but who aren't, part tokens
+_LATIN, _CJK, _PART = re.compile(r"([a-z](?:[a-z0-9_+\-.]*[a-z0-9+\-]))[_.]*"), re.compile(V.CJK_RUN), re.compile("[\u0130\u212a]")
+
+
+def term_counts_of(text: str, longest: int = 6) -> Counter:
+    """The terms of one text, as ``tokenize`` gives them, and how often it has each."""
+    runs = () if text.isascii() else _CJK.findall(text)
+    counts = Counter(_LATIN.findall((text if text.isascii() else _PART.sub(" ", text)).lower()))
+    for run in runs:
+        n = len(run)
+        if 2 <= n <= 12:
+            counts[run] += 1
+        counts.update(run[at : at + size] for size in range(2, min(longest, n) + 1) for at in range(n - size + 1))
+    for word in V.STOP_TERMS:
+        counts.pop(word, None)
+    return counts
+
 
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:

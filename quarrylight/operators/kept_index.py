@@ -2,27 +2,76 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
-from collections.abc import Callable
+from array import array
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from functools import reduce
 from urllib.parse import unquote
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylight.functions.python_udfs import term_counts_of
 from quarrylight.operators import search as S
 
-POSTINGS = "key string, term string, tf long, source string"
+BLOCKS = "term string, keys array<string>, tfs array<bigint>, n long, total long, source string"
+#: A task writes its lists of keys as soon as they hold so many.
+HELD = 1_000_000
 NODES = "key string, kind string, name string, source string"
 LEDGER = "source string, content_hash string, batch long, state string, message string"
 
 
+def posting_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts (source, key, text) in, a row for each term of a source out: the keys that have it, how often, and both summed up.
+
+    A source has many rows for a term, one for each time that what is held is written.
+    """
+    codes, number = {}, itertools.count()  # by source, a number for each of its terms
+    keys, sizes, ids, tfs = [], [], array("q"), array("q")
+
+    def block() -> pa.RecordBatch:
+        given = np.concatenate([np.fromiter(of.values(), np.int64, len(of)) for of in codes.values()])
+        owners = np.repeat(np.arange(len(codes)), [len(of) for of in codes.values()])
+        by_code, flat, often = np.argsort(given), np.asarray(ids), np.asarray(tfs)
+        together = np.argsort(flat, kind="stable")
+        n = np.bincount(flat)
+        ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+        of_row = np.repeat(np.arange(len(keys)), sizes)[together]
+        total = np.add.reduceat(often[together], np.cumsum(n) - n)
+        columns = [
+            pa.array([t for of in codes.values() for t in of], pa.string()).take(pa.array(by_code)), pa.ListArray.from_arrays(ends, pa.array(keys, pa.string()).take(pa.array(of_row))),
+            pa.ListArray.from_arrays(ends, pa.array(often[together])), pa.array(n), pa.array(total), pa.array(list(codes), pa.string()).take(pa.array(owners[by_code])),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["term", "keys", "tfs", "n", "total", "source"])
+
+    for batch in batches:
+        for source, key, text in zip(*(batch.column(c).to_pylist() for c in ("source", "key", "text")), strict=True):
+            if not (counts := term_counts_of(text or "")):
+                continue
+            if source not in codes:
+                codes[source] = defaultdict(number.__next__)
+            keys.append(key)
+            sizes.append(len(counts))
+            ids.extend(map(codes[source].__getitem__, counts))
+            tfs.extend(counts.values())
+            if len(ids) >= HELD:
+                yield block()
+                codes, number = {}, itertools.count()
+                keys, sizes, ids, tfs = [], [], array("q"), array("q")
+    if keys:
+        yield block()
+
+
 class KeptIndex:
     """Tables below one folder: postings and nodes by source, and a ledger of what was indexed.
 
     The ledger gets its rows last, so an update that was cut short is done again by the next one.
-    Postings are sorted by term within a source, so a search reads the row groups of its terms only.
-    One writer at a time.
+    Postings are blocks: a row holds many keys of a term, so few rows move, sort and are read. They are
+    sorted by term within a source, so a search reads the row groups of its terms only. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -46,7 +95,13 @@ class KeptIndex:
         return {unquote(f.removeprefix("source=")): f for f in found if f.startswith("source=")}
 
     def postings(self) -> DataFrame:
-        return self._read("postings", POSTINGS)
+        """(key, term, tf, source), a row for each key and term."""
+        each = self._read("postings", BLOCKS).select("term", "source", F.explode(F.arrays_zip("keys", "tfs")).alias("x"))
+        return each.select(F.col("x.keys").alias("key"), "term", F.col("x.tfs").alias("tf"), "source")
+
+    def terms(self) -> DataFrame:
+        """(term, df, tf) over all sources, from the blocks' own counts."""
+        return self._read("postings", BLOCKS).groupBy("term").agg(F.sum("n").alias("df"), F.sum("total").alias("tf"))
 
     def nodes(self) -> DataFrame:
         return self._read("nodes", NODES)
@@ -74,10 +129,11 @@ class KeptIndex:
         keys are left out, a null text has no terms. A source without rows loses its partition.
         """
         mine = rows.where(F.col("source").isin(sources) & F.col("key").isNotNull())
-        one = mine.groupBy("source", "key").agg(F.max(F.struct("kind", "name", "text")).alias("r")).select("source", "key", "r.*")
-        terms = S.term_counts(one, ["source", "key"], "text", together=True)
-        held = {r[0] for r in self._write(one.select("key", "kind", "name", "source"), "nodes", "key")}
-        filled = {r[0] for r in self._write(terms.select("key", "term", "tf", "source"), "postings", "term")}
+        # the greatest kind and name are those of the greatest row, so nodes need no texts
+        nodes = mine.groupBy("source", "key").agg(F.max(F.struct("kind", "name")).alias("r")).select("key", "r.*", "source")
+        one = mine.groupBy("source", "key").agg(F.max(F.struct("kind", "name", "text")).alias("r")).select("source", "key", "r.text")
+        held = {r[0] for r in self._write(nodes, "nodes", "key")}
+        filled = {r[0] for r in self._write(one.mapInArrow(posting_blocks, BLOCKS), "postings", "term")}
         for source in sources:
             for name, written in (("nodes", held), ("postings", filled)):
                 if source not in written:
@@ -87,11 +143,12 @@ class KeptIndex:
     def _write(self, rows: DataFrame, name: str, order: str) -> list:
         """Overwrites the partitions that ``rows`` have, and names them. A hot source spans many tasks."""
         staged = f"{self.path}/_staged/{uuid.uuid4().hex}"
-        rows.repartitionByRange("source", order).sortWithinPartitions("source", order).write.parquet(staged)
+        # written before they are ranged: ranges are found by a pass of their own
+        rows.write.parquet(staged)
         again = self.spark.read.schema(rows.schema).parquet(staged)
         found = again.select("source").distinct().collect()
         if found:
-            again.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(f"{self.path}/{name}")
+            again.repartitionByRange("source", order).sortWithinPartitions("source", order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(f"{self.path}/{name}")
         fs, path, _ = self._there(staged.removeprefix(f"{self.path}/"))
         fs.delete(path, True)
         return found

@@ -8,17 +8,16 @@ from pyspark.sql import functions as F
 from quarrylight.functions import text as T
 
 
-def term_counts(docs: DataFrame, key: str | list[str], text: str, together: bool = False) -> DataFrame:
+def term_counts(docs: DataFrame, key: str | list[str], text: str) -> DataFrame:
     """The index: (key, term, tf); a key may span columns.
 
-    Rows are brought together by key before their texts are split, unless they are so, and texts move
-    where terms don't; what is grouped by key later finds them in place.
+    Rows are brought together by key before their texts are split, so texts move where terms don't;
+    what is grouped by key later finds them in place.
     """
     keys = [key] if isinstance(key, str) else key
     spark = docs.sparkSession
     parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(*keys, text)
-    terms = (rows if together else rows.repartition(parts, *keys)).select(*keys, F.explode(T.raw_tokens(F.col(text))).alias("term"))
+    terms = docs.select(*keys, text).repartition(parts, *keys).select(*keys, F.explode(T.raw_tokens(F.col(text))).alias("term"))
     terms = terms.withColumn("term", T.trimmed_token(F.col("term"))).where(T.is_term(F.col("term")))
     return terms.groupBy(*keys, "term").agg(F.count("*").alias("tf"))
 
