@@ -75,11 +75,11 @@ def job_lives(spark, d):
     """Each user's day is a job of three hours: views ask, signups take, purchases complete, errors fail, clicks skip."""
     said = F.create_map(*map(F.lit, ["view", "submit", "signup", "assign", "purchase", "complete", "error", "fail", "click", "skip"]))
     job = F.concat_ws("@", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"))
-    stream = _stream(spark, d).select(job.alias("job"), "ts", F.col("event_id").alias("number"), said[F.col("event_type")].alias("event"))
+    stream = _stream(spark, d).select(job.alias("job"), "user_id", "ts", F.col("event_id").alias("number"), said[F.col("event_type")].alias("event"))
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", J.ROCKSDB)
     try:
-        done = _finished(J.job_changes(stream, 3 * 3600), "append")
+        done = _finished(J.job_changes(stream, 3 * 3600, owner="user_id"), "append")
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     last = done.groupBy("job").agg(F.max_by(F.struct("status", "message", "late"), "change").alias("r"), F.max("change").alias("changes"))

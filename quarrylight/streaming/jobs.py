@@ -31,11 +31,13 @@ def after(status: str | None, message: str | None, event: str) -> tuple[str, str
     return None
 
 
-class JobLife(StatefulProcessor):
-    """One job: rows (at milliseconds, number, event) in, a row for each change of state out.
+class JobLives(StatefulProcessor):
+    """The jobs of an owner: rows (job, at milliseconds, number, event) in, a row for each change of state out.
 
-    The limit is a timer; a row that comes later than the limit but before the timer could fire (the
-    watermark lags behind) times the job out first. A second timer forgets the job, likewise.
+    Every call of the state store is a round trip, so an owner's live jobs are one value, read and
+    written once for all of its rows, with one timer for what comes next. The limit is a timer; a row
+    that comes later than the limit but before the timer could fire (the watermark lags behind) times
+    the job out first. Jobs are forgotten likewise.
     """
 
     def __init__(self, limit_ms: int, keep_ms: int):
@@ -43,45 +45,66 @@ class JobLife(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("job", "status string, message string, deadline long, changes long")
+        self.state = handle.getValueState("jobs", "timer long, jobs array<struct<job: string, status: string, message: string, deadline: long, changes: long>>")
+
+    def _read(self) -> tuple[int | None, dict[str, tuple]]:
+        timer, held = self.state.get() or (None, [])
+        return timer, {job: tuple(rest) for job, *rest in held}
+
+    def _write(self, had: tuple, timer: int | None, lives: dict[str, tuple], watermark: int) -> None:
+        """Stores what is live still, and sees that a timer is there for the first job to time out or be forgotten."""
+        closed = (*CLOSED, "failed")
+        lives = {job: life for job, life in lives.items() if life[0] not in closed or life[2] + self.keep_ms >= watermark}
+        if lives:
+            due = min(d + self.keep_ms + 1 if status in closed else d for status, _, d, _ in lives.values())
+            if timer is None or due < timer:
+                self.handle.registerTimer(timer := due)
+        if (timer, lives) != had:
+            if lives:
+                self.state.update((timer, [(job, *life) for job, life in lives.items()]))
+            else:
+                self.state.clear()
 
-    def _change(self, key: tuple, at: int, event: str) -> Iterator[Row]:
-        status, message, deadline, changes = self.state.get() if self.state.exists() else (None, None, None, 0)
+    def _change(self, lives: dict[str, tuple], job: str, at: int, event: str) -> Iterator[Row]:
+        status, message, deadline, changes = lives.get(job, (None, None, None, 0))
         new = after(status, message, event)
         if new is None:
             return
-        if status is None:
-            deadline = at + self.limit_ms
-            self.handle.registerTimer(deadline)
-            self.handle.registerTimer(deadline + self.keep_ms)
-        self.state.update((new[0], new[1], deadline, changes + 1))
+        lives[job] = (new[0], new[1], at + self.limit_ms if status is None else deadline, changes + 1)
         when = datetime.fromtimestamp(at / 1000, timezone.utc).replace(tzinfo=None)
-        yield Row(job=key[0], change=changes + 1, at=when, status=new[0], message=new[1], late=new[2])
+        yield Row(job=job, change=changes + 1, at=when, status=new[0], message=new[1], late=new[2])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        timer, lives = self._read()
+        had = (timer, dict(lives))
         for row in sorted(rows, key=lambda r: (r.at, r.number)):
-            if self.state.exists() and row.at > (deadline := self.state.get()[2]):
-                yield from self._change(key, deadline, "timeout")
+            if row.job in lives and row.at > (deadline := lives[row.job][2]):
+                yield from self._change(lives, row.job, deadline, "timeout")
                 if row.at > deadline + self.keep_ms:
-                    self.state.clear()
-            yield from self._change(key, row.at, row.event)
+                    del lives[row.job]
+            yield from self._change(lives, row.job, row.at, row.event)
+        self._write(had, timer, lives, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self.state.exists():
-            deadline = self.state.get()[2]
-            if expiredTimerInfo.getExpiryTimeInMs() > deadline:
-                self.state.clear()
-            else:
-                yield from self._change(key, deadline, "timeout")
+        timer, lives = self._read()
+        had, now = (timer, dict(lives)), timerValues.getCurrentWatermarkInMs()
+        for job, (_, _, deadline, _) in had[1].items():
+            if deadline <= now:
+                yield from self._change(lives, job, deadline, "timeout")
+        fired = expiredTimerInfo.getExpiryTimeInMs()
+        self._write(had, None if timer == fired else timer, lives, now)
 
 
-def job_changes(events: DataFrame, limit_seconds: int = 180, keep_seconds: int = 7 * 86400) -> DataFrame:
+def job_changes(events: DataFrame, limit_seconds: int = 180, keep_seconds: int = 7 * 86400, owner: str = "job") -> DataFrame:
     """A row for every change of a job, of a stream (job string, ts, number, event) with a watermark on ts.
 
     Events are submit, assign, complete, fail and skip; others, and those of a job that isn't there,
     change nothing. ``keep_seconds`` after its limit a job's state goes, so the store holds the jobs
-    of that time only; a completion after that is not known any more. Needs the RocksDB state store.
+    of that time only; a completion after that is not known any more. ``owner`` is a column that a
+    job's rows agree on: the live jobs of an owner, few for each, share a row of state. Needs the
+    RocksDB state store.
     """
-    rows = events.select(F.col("job").cast("string").alias("job"), "ts", F.unix_millis("ts").alias("at"), F.col("number").cast("long").alias("number"), "event")
-    life = JobLife(limit_seconds * 1000, keep_seconds * 1000)
-    return rows.groupBy("job").transformWithState(life, "job string, change long, at timestamp_ntz, status string, message string, late boolean", "Append", "EventTime")
+    own = F.col(owner).cast("string").alias("owner")
+    rows = events.select(own, F.col("job").cast("string").alias("job"), "ts", F.unix_millis("ts").alias("at"), F.col("number").cast("long").alias("number"), "event")
+    lives = JobLives(limit_seconds * 1000, keep_seconds * 1000)
+    return rows.groupBy("owner").transformWithState(lives, "job string, change long, at timestamp_ntz, status string, message string, late boolean", "Append", "EventTime")

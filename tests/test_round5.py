@@ -2,10 +2,12 @@
 
 import random
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quarrylight.functions import python_udfs, text
 from quarrylight.operators import kept_index
+from quarrylight.streaming import jobs
 
 
 def test_term_counts_of_equal_tokenize(spark):
@@ -45,3 +47,79 @@ def test_posting_blocks_by_the_held_limit(monkeypatch):
         got = [(r["source"], k, r["term"], n) for r in blocks for k, n in zip(r["keys"], r["tfs"], strict=True)]
         assert len(got) == len(want) and set(got) == want
         assert all(r["n"] == len(r["keys"]) and r["total"] == sum(r["tfs"]) for r in blocks)
+
+
+class Store:
+    """What a processor sees of its state, counting the round trips."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, *_):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.calls += 1
+        self.value = None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    getCurrentWatermarkInMs = getExpiryTimeInMs = lambda self: self.now
+
+
+def fed(owner_of, batches, limit, keep):
+    """The changes of (job, at, number, event) rows in batches of a stream, and the round trips; each batch comes after a watermark."""
+    life, stores, seen = jobs.JobLives(limit, keep), {}, []
+    for watermark, rows in batches:
+        for owner in {owner_of(r[0]): 0 for r in rows}:
+            store = stores.setdefault(owner, Store())
+            store.now = watermark
+            life.init(store)
+            mine = [Row(job=j, at=t, number=n, event=e) for j, t, n, e in rows if owner_of(j) == owner]
+            seen += life.handleInputRows((owner,), iter(mine), store)
+        for owner, store in stores.items():
+            life.init(store)
+            for at in sorted(t for t in store.timers if t <= watermark):
+                info = Store()
+                info.now, store.now = at, watermark
+                seen += life.handleExpiredTimer((owner,), store, info)
+                store.timers.discard(at)
+    return sorted((r.job, r.change, r.status, r.message or "", r.late) for r in seen), sum(s.calls for s in stores.values()), stores
+
+
+def test_jobs_of_an_owner_share_a_row_of_state():
+    """Whether jobs have a state each or share an owner's, they live the same lives; one row takes fewer round trips."""
+    rng = random.Random(8)
+    for _ in range(20):
+        rows = sorted((rng.randint(0, 3000), k, f"{rng.randint(0, 2)}@{rng.randint(0, 9)}", rng.choice(["submit", "submit", "assign", "complete", "fail", "skip"])) for k in range(300))
+        cuts, batches, top = sorted(rng.sample(range(300), 5)), [], 0
+        for a, b in zip([0, *cuts], [*cuts, 300], strict=True):
+            batches.append((top, [(j, t, k, e) for t, k, j, e in rows[a:b]]))
+            top = max([top, *(t for t, *_ in rows[a:b])]) if b > a else top
+        batches.append((top, []))
+        apart, many, _ = fed(lambda job: job, batches, 90, 400)
+        shared, few, stores = fed(lambda job: job[0], batches, 90, 400)
+        assert shared == apart and few < many / 2
+        # what is over is forgotten
+        assert all(life[3] + 400 >= top for s in stores.values() if s.value for life in s.value[1])
+
+
+def test_a_long_gap_times_out_before_it_forgets():
+    """The watermark passes both of a job's times between two rows of its owner."""
+    got, _, stores = fed(lambda job: job[0], [(0, [("a1", 0, 1, "submit")]), (10_000, [("a2", 10_000, 2, "submit")])], 10, 100)
+    assert got == [("a1", 1, "pending", "", False), ("a1", 2, "failed", "timeout", False), ("a2", 1, "pending", "", False)]
+    assert [life[0] for life in stores["a"].value[1]] == ["a2"]
