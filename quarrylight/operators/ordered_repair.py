@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from quarrylight.functions import people as P
 from quarrylight.functions import urls as U
 from quarrylight.functions import vocabulary as V
+from quarrylight.functions.text import let
 from quarrylight.operators.components import components
 from quarrylight.operators.merge import blank, keeper_score
-from quarrylight.sources.tables import Scratch
+from quarrylight.sources.tables import Scratch, spread
 
 REASONS = {0: "homepage_exact", 1: "same_org_name_key"}
 
@@ -56,8 +57,9 @@ def repair_in_order(people: DataFrame, affiliations: DataFrame) -> tuple[DataFra
     scratch, spark = Scratch(people.sparkSession), people.sparkSession
     fields = [f for f in V.REPAIR_FIELDS if f in people.columns]
     links = [f for f in ("homepage", "external_link") if f in people.columns]
-    clean = F.when(P.normalise_name(F.col("name")) != "", P.normalise_name(F.col("name"))).otherwise(F.col("name"))
-    rows = people.where("id is not null").withColumns({"homepage": U.profile_homepage(F.col("homepage")), "name": clean})
+    clean = let(P.normalise_name(F.col("name")), lambda name: F.when(name != "", name).otherwise(F.col("name")))
+    # many profiles fit into few bytes, and a task takes long to normalise them
+    rows = spread(people.where("id is not null")).withColumns({"homepage": U.profile_homepage(F.col("homepage")), "name": clean})
     rows = scratch.save(rows.withColumn("name_key", F.coalesce(P.normalise_name(F.col("name")), F.lit(""))), "start")
     units = affiliations.select(F.col("professor_id").alias("id"), "org_unit_id").where("id is not null").distinct()
     cells = closed_cells(rows, units, scratch)

@@ -6,7 +6,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quarrylight.functions import python_udfs, text
-from quarrylight.operators import kept_index
+from quarrylight.operators import kept_index, ordered_repair
 from quarrylight.streaming import jobs
 
 
@@ -123,3 +123,20 @@ def test_a_long_gap_times_out_before_it_forgets():
     got, _, stores = fed(lambda job: job[0], [(0, [("a1", 0, 1, "submit")]), (10_000, [("a2", 10_000, 2, "submit")])], 10, 100)
     assert got == [("a1", 1, "pending", "", False), ("a1", 2, "failed", "timeout", False), ("a2", 1, "pending", "", False)]
     assert [life[0] for life in stores["a"].value[1]] == ["a2"]
+
+
+def test_ordered_repair_deals_profiles_out_before_it_normalises_them(spark, monkeypatch):
+    """However few bytes the profiles have, more than one task normalises them."""
+    plans = {}
+
+    class Watched(ordered_repair.Scratch):
+        def save(self, df, name):
+            plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString())
+            return super().save(df, name)
+
+    monkeypatch.setattr(ordered_repair, "Scratch", Watched)
+    people = spark.createDataFrame([(1, "Ada", "https://h.example.edu.cn/person/a"), (2, "Bob", None)], "id long, name string, homepage string").coalesce(1)
+    whole, _, _ = ordered_repair.repair_in_order(people, spark.createDataFrame([(1, 1)], "professor_id long, org_unit_id int"))
+    assert whole.count() == 2
+    heavy, dealt = plans["start"].index("regexp"), plans["start"].index("Repartition")
+    assert heavy < dealt  # the plan is read from its end
