@@ -14,6 +14,7 @@ from quarrylight.operators.batches import greedy_batches
 from quarrylight.operators.grams import contained
 from quarrylight.operators.ladder import ranked
 from quarrylight.plans.base import Catalog, table
+from quarrylight.sources.tables import spread
 
 catalog = Catalog()
 _STOP = ", ".join(f"'{w}'" for w in V.STOP_TERMS)
@@ -185,7 +186,9 @@ c AS (SELECT doc_id, string_agg(rtrim(substr(line, 1, 500)), chr(10) ORDER BY p)
 SELECT doc_id, md5(page) AS page_md5, CASE WHEN length(page) <= 1200 THEN page ELSE rtrim(page[1:600], E' \n\t') || E'\n\n...[truncated]...\n\n' || ltrim(page[-600:], E' \n\t') END AS excerpt FROM c""")
 def signal_lines(spark, d):
     """Whole documents compacted to their signal lines, and that cut in the middle to a budget."""
-    page = table(spark, d, "documents").select("doc_id", T.signal_lines(F.col("text")).alias("page")).where("page <> ''")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    # exploded, as a filter on a column is moved below it and would compact every page again
+    page = docs.select("doc_id", F.explode(F.array(T.signal_lines(F.col("text")))).alias("page")).where("page <> ''")
     return page.select("doc_id", F.md5("page").alias("page_md5"), T.truncate_middle(F.col("page"), 1200).alias("excerpt"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import python_udfs, text
 from quarrylight.operators import kept_index, ordered_repair
+from quarrylight.plans import registry
 from quarrylight.streaming import jobs
 
 
@@ -140,3 +141,9 @@ def test_ordered_repair_deals_profiles_out_before_it_normalises_them(spark, monk
     assert whole.count() == 2
     heavy, dealt = plans["start"].index("regexp"), plans["start"].index("Repartition")
     assert heavy < dealt  # the plan is read from its end
+
+
+def test_signal_lines_compacts_a_page_once(spark):
+    """No filter repeats the work, and pages are dealt out before it."""
+    plan = registry.queries()["signal_lines"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_join") == 1 and plan.index("array_join") < plan.index("Repartition")
