@@ -11,11 +11,11 @@ from quarrylight.llm.store import Scratch, light
 #: Shingles of up to SHINGLE characters of the lower-cased line, one from each character that isn't white space: the
 #: sets whose similarity decides.
 SHINGLE = 8
-SHINGLES = rf"(?s)(?=(\S.{{0,{SHINGLE - 1}}}))\S"
+SHINGLES = rf"(?s)(?=(\S.{{0,{SHINGLE - 1}}}))"
 #: The signature of a long line takes those that start at CHOSEN characters, or at any that isn't a letter or digit of
 #: ASCII. The choice depends on the character alone, so what is put in or taken out moves no other shingle.
 CHOSEN = "aio0369"
-SAMPLED = rf"(?s)(?=(\S.{{0,{SHINGLE - 1}}}))[{CHOSEN}\x21-\x2F\x3A-\x60\x7B-\x7E\x{{80}}-\x{{10FFFF}}]"
+SAMPLED = rf"(?s)(?=([{CHOSEN}\x21-\x2F\x3A-\x60\x7B-\x7E\x{{80}}-\x{{10FFFF}}].{{0,{SHINGLE - 1}}}))"
 #: Lines of up to WHOLE characters, or with few such starts, have all their shingles in a signature; those from PART on
 #: have the chosen ones in another. Between the two, and between FEWEST and MOST starts, lines have both signatures, as
 #: lines on both sides can be similar.
@@ -25,15 +25,18 @@ WHOLE, PART, FEWEST, MOST = 80, 52, 8, 20
 #: with a probability of 0.992 to 0.998, by simulation. Lines of up to SHORT shingles have runs of FEW as well: at
 #: the threshold, those meet with 0.98 (five shingles) to 0.999.
 BANDS, WIDE, SHORT, FEW = 10, 4, 16, 3
-STARTS = [((2 * b + 1) << 64) // (2 * BANDS) - (1 << 63) for b in range(BANDS)]
+#: Starts are even numbers and hashes are made odd.
+STARTS = [(((2 * b + 1) << 64) // (2 * BANDS) & ~1) - (1 << 63) for b in range(BANDS)]
 #: Groups of up to so many lines are compared pair by pair, where not yet linked.
 PAIRWISE = 16
-#: Larger groups that share a rare shingle are cut into blocks of about so many lines; a task's cell is two blocks.
+#: Larger groups of a band, up to so many lines, are compared by sketches of SKETCH words of 64 bits.
+GROUP, SKETCH = 2048, 16
+#: Larger groups that share a band or a rare shingle are cut into blocks of about so many lines; a task's cell is two blocks.
 BLOCK = 256
 
 
 def shingle_hashes(line: Column, form: str = SHINGLES) -> Column:
-    return F.transform(F.regexp_extract_all(F.lower(line), F.lit(form), F.lit(1)), lambda s: F.xxhash64(s))
+    return F.transform(F.regexp_extract_all(F.lower(line), F.lit(form), F.lit(1)), lambda s: F.xxhash64(s).bitwiseOR(F.lit(1)))
 
 
 def shingle_set(line: Column) -> Column:
@@ -41,12 +44,17 @@ def shingle_set(line: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(F.lower(line), F.lit(SHINGLES), F.lit(1)), lambda s: F.hash(s)))
 
 
+def _blank(line: Column) -> Column:
+    """Whether nothing but white space is in the line; only what leads it is read."""
+    return F.ltrim(line, F.lit(" \t\x0b\f\r")) == ""
+
+
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, row, pos, line) for each line that isn't blank; ``row`` hashes id and text."""
     # the hash comes before the lines, else it would be taken once for each of them
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.split(F.col(text_col), "\n").alias("lines"))
     cut = rows.select("id", "row", F.posexplode("lines").alias("pos", "line"))
-    return cut.where(F.col("line").rlike(r"\S"))
+    return cut.where(~_blank(F.col("line")))
 
 
 def _banded(lines: DataFrame) -> DataFrame:
@@ -60,14 +68,14 @@ def _banded(lines: DataFrame) -> DataFrame:
     # sorted in among the hashes, a start shows how many of them come before it
     starts = F.array(*[F.lit(s) for s in STARTS])
     rings = [c for k in (0, 1) for c in (F.concat(f"h{k}", F.slice(f"h{k}", 1, WIDE)).alias(f"circle{k}"), F.sort_array(F.concat(f"h{k}", starts)).alias(f"among{k}"))]
+    # one pass finds the starts: searching for each in a lambda would take an exception, and a slice a copy of the circle
+    turn = lambda x: F.shiftright((F.shiftright(x, 32) + (1 << 31)) * BANDS, 32)
+    places = lambda k: F.filter(F.transform(f"among{k}", lambda x, at: F.when(x.bitwiseAND(F.lit(1)) == 0, (at - turn(x)).cast("int"))), lambda at: at.isNotNull())
     placed = hashed.select("id", "row", "pos", "lh", "h0", "h1", *rings)
-
-    # by a lambda: written out for each start, the generated code would be too long to be compiled at run time
-    each = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(start).alias("start")) for b, start in enumerate(STARTS)])
+    placed = placed.select("id", "row", "pos", "lh", *[c for k in (0, 1) for c in (f"h{k}", f"circle{k}", F.when(F.size(f"h{k}") > 0, places(k)).alias(f"at{k}"))])
 
     def runs(k: int, wide: int) -> Column:
-        first = lambda s: (F.array_position(f"among{k}", s["start"]) - s["b"]).cast("int")
-        return F.transform(each, lambda s: F.xxhash64(F.lit(k), s["b"], F.lit(wide), F.slice(f"circle{k}", first(s), wide)))
+        return F.transform(f"at{k}", lambda at, b: F.xxhash64(F.lit(k), b, F.lit(wide), *[F.get(f"circle{k}", at + n) for n in range(wide)]))
 
     bands = []
     for k in (0, 1):
@@ -80,8 +88,9 @@ def _verified(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame
     pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     one, two = sets.select(F.col("lh").alias("a"), F.col("s").alias("sa")), sets.select(F.col("lh").alias("b"), F.col("s").alias("sb"))
     near = F.least(F.size("sa"), F.size("sb")) >= similarity * F.greatest(F.size("sa"), F.size("sb")) - 1e-9
-    met = pairs.join(one, "a").join(two, "b").where(near).select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("common"), (F.size("sa") + F.size("sb")).alias("both"))
-    return met.where(F.col("common") >= similarity * (F.col("both") - F.col("common"))).select("a", "b")
+    # bound by a lambda: named twice, what is common would be found twice
+    alike = F.exists(F.array(F.size(F.array_intersect("sa", "sb"))), lambda common: common >= similarity * (F.size("sa") + F.size("sb") - common))
+    return pairs.join(one, "a").join(two, "b").where(near).where(alike).select("a", "b")
 
 
 def _apart(placed: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -102,7 +111,7 @@ def _in_cells(rows: DataFrame, fits: Column) -> DataFrame:
     block = F.pmod(F.xxhash64("lh"), F.col("blocks"))
     cut = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", block)
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    cells = cut.withColumn("other", other).select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "pos", "size", "by", "lh", "root")
+    cells = cut.withColumn("other", other).select(*rows.columns, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block")
     once = F.expr("x.root < y.root and (x.block <> y.block or x.low = x.high)")
     met = cells.alias("x").join(cells.alias("y"), ["key", "low", "high"]).where(once & fits)
     return met.select(F.col("x.lh").alias("a"), F.col("y.lh").alias("b"))
@@ -143,9 +152,26 @@ def _may_be_similar(similarity: float) -> Column:
     """
     asked = (F.col("x.size") + F.col("y.size")) * (similarity / (1 + similarity)) - 1e-9
     placed = F.least(F.col("x.size") - F.col("x.pos"), F.col("y.size") - F.col("y.pos")) >= asked
-    shared = F.array_intersect("x.by", "y.by")
     left = F.greatest(F.col("x.size") - F.size("x.by"), F.col("y.size") - F.size("y.by"))
-    return placed & (F.size(shared) + left >= asked) & (F.get(shared, F.lit(0)) == F.col("x.key"))
+    # bound by a lambda: named twice, what is shared would be found twice
+    shared = F.array(F.array_intersect("x.by", "y.by"))
+    return placed & F.exists(shared, lambda by: (F.size(by) + left >= asked) & (F.get(by, F.lit(0)) == F.col("x.key")))
+
+
+def _sketches(sets: DataFrame) -> DataFrame:
+    """(lh, size, w0, w1, ...): the shingles of each line of ``sets`` (lh, s) as bits, and their number."""
+    tokens = sets.select("lh", F.explode("s").alias("t"))
+    bit = F.expr("shiftleft(1L, t & 63)")
+    words = [F.bit_or(F.when(F.shiftright("t", 6).bitwiseAND(F.lit(SKETCH - 1)) == k, bit).otherwise(0)).alias(f"w{k}") for k in range(SKETCH)]
+    return tokens.groupBy("lh").agg(F.count("*").alias("size"), *words)
+
+
+def _may_share_enough(similarity: float) -> Column:
+    """Whether the sketches of x and y leave it open that they are similar: each bit that differs is a shingle of one only."""
+    apart = sum(F.bit_count(F.col(f"x.w{k}").bitwiseXOR(F.col(f"y.w{k}"))) for k in range(SKETCH))
+    both = F.col("x.size") + F.col("y.size")
+    near = F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size") - 1e-9
+    return near & (both - apart >= 2 * similarity / (1 + similarity) * both - 1e-9)
 
 
 def _exact_pairs(sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
@@ -161,9 +187,10 @@ def line_classes(docs: DataFrame, occurrences: DataFrame, id_col: str, text_col:
     In each band's groups, every line is compared with the group's least hash. Where a group's lines
     are in different components after that, a small group's lines are compared across components
     pair by pair, those of a large one with its greatest hash. The lines of large groups that are
-    still apart are grouped anew by their rarest shingles, of which similar lines must share one;
-    these groups are compared pair by pair, large ones in cells of bounded size, so no such pair is
-    left out and no task holds a whole group. A pair is made only under the first shingle it shares.
+    still apart are compared pair by pair by sketches that rule out only what can't be similar. The
+    lines of groups beyond GROUP are grouped anew by their rarest shingles, of which similar lines
+    must share one; a pair is made only under the first shingle it shares. Large groups are compared
+    in cells of bounded size, so no such pair is left out and no task holds a whole group.
     """
     banded = occurrences.select("lh", F.explode("bands").alias("band"))
     groups = banded.groupBy("band").agg(F.min("lh").alias("rep"), F.max("lh").alias("last"))
@@ -199,10 +226,16 @@ def line_classes(docs: DataFrame, occurrences: DataFrame, id_col: str, text_col:
         pairs = large.where("root <> last_root").select(F.col("last").alias("a"), F.col("lh").alias("b"))
         links, roots, _ = grown(links, _pairwise(apart.where(F.col("n") <= PAIRWISE)).unionByName(pairs), "more")
         large = _apart(placed(large.select("key", "lh")), scratch, "large")
-        many = scratch.save(large.select("lh", "root").distinct(), "many")
+        group = large.where(F.col("n") <= GROUP)
+        some = scratch.save(group.select("lh").distinct(), "some")
+        if not some.isEmpty():
+            held = scratch.save(_sketches(sets.join(F.broadcast(some) if light(some, 16) else some, "lh", "left_semi")), "sketches")
+            rows = group.select("key", "lh", "root", "n").join(F.broadcast(held) if light(held, 16 + 8 * SKETCH) else held, "lh")
+            links, roots, _ = grown(links, _in_cells(rows, _may_share_enough(similarity)), "most")
+        many = scratch.save(large.where(F.col("n") > GROUP).select("lh", "root").distinct(), "many")
         if not many.isEmpty():
             held = sets.join(F.broadcast(many) if light(many, 24) else many, "lh")
-            links, roots, _ = grown(links, _exact_pairs(held, similarity, scratch), "most")
+            links, roots, _ = grown(links, _exact_pairs(held, similarity, scratch), "last")
     scratch.free(*(name for name in list(scratch.paths) if name not in ("places", "roots")))
     return places, roots
 
@@ -241,7 +274,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = packed.join(gone, "row", "left").select("d", F.split(F.col("d").getField(text_col), "\n").alias("lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     left = F.filter("lines", lambda line, at: ~F.array_contains("gone", at))
     counted = joined.select("d", "lines", "gone", F.when(F.size("gone") == 0, F.col("d").getField(text_col)).otherwise(F.concat_ws("\n", left)).alias("new"))
-    total = F.coalesce(F.size(F.filter("lines", lambda line: line.rlike(r"\S"))), F.lit(0)).cast("long")
+    total = F.coalesce(F.size(F.filter("lines", lambda line: ~_blank(line))), F.lit(0)).cast("long")
     total = F.when(F.col("d").getField(text_col).isNull(), F.lit(0).cast("long")).otherwise(total)
     columns = [(F.col("new") if c == text_col else F.col("d").getField(c)).alias(c) for c in own]
     return counted.select(*columns, total.alias("n_lines"), (total - F.size("gone")).alias("n_kept"))
